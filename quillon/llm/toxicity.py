@@ -35,7 +35,9 @@ from .shared import bytes_of, encode_dictionary, materialise, plain, remainder,
 MOST_LABELS, MOST_TERMS = 20_000, 2_000
 #: Share of toxic signatures that must hold a term, its least count, and its least lift.
 SUPPORT, LEAST, LIFT = 0.02, 3, 8.0
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7, 8)
+#: Log lift from which a term counts as strong.
+STRONG = 4.0
 THRESHOLD = 0.3
 # Second-person words of the four languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deinen ihr euch euer tu toi te ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -43,7 +45,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 EDGES = " .,;:!?\"'()[]{}<>|*#$%&@~`^_-+=/\\…«»“”‘’¡¿"
 OBFUSCATED = re.compile(r"[^\W\d_][\d@$*#!|.\-_]+[^\W\d_]")
-FEATURES = ("length", "lexicon", "stems", "hits", "kinds", "weight", "person", "near_person", "capitals", "punctuation", "exclamation", "question", "symbols", "digits", "obfuscated", "capital_words")
+FEATURES = ("length", "strong", "weak", "strong_count", "weak_count", "kinds", "weight", "person", "near_person", "capitals", "punctuation", "exclamation", "question", "symbols", "digits", "obfuscated", "capital_words")
 
 
 def normal(word: str) -> str:
@@ -92,19 +94,17 @@ def features(text: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
     offsets, flat = split_words(text)
     words = np.maximum(1, offsets[1:] - offsets[:-1])
     codes, distinct = encode_dictionary(flat)
-    table = np.zeros((len(distinct), 6))  # lexicon, stem, weight, person, obfuscated, capitals
+    table = np.zeros((len(distinct), 6))  # strong, weak, weight, person, obfuscated, capitals
+    gate = {t.lstrip("^")[:3] for t in lexicon}
     for k, word in enumerate(distinct.to_pylist()):
         low = normal(word.lower())
-        if low in lexicon:
-            table[k, 0], table[k, 2] = 1, lexicon[low]
-        for s in STEMS:
-            if len(low) > s and "^" + low[:s] in lexicon:
-                table[k, 1], table[k, 2] = 1, max(table[k, 2], lexicon["^" + low[:s]])
+        if low[:3] in gate and (weight := max((lexicon.get(t, 0.0) for t in terms_of(low)), default=0.0)):
+            table[k, :3] = weight >= STRONG, weight < STRONG, weight
         table[k, 3] = low in SECOND_PERSON
         table[k, 5] = len(word) > 2 and word.isupper()
         if not word.isalpha() and OBFUSCATED.search(word.strip(EDGES)):
             table[k, 4] = 1
-    hit = (table[:, 0] + table[:, 1]) > 0
+    hit = table[:, 0] > 0
     sums = [sums_between(table[codes, k], offsets) for k in range(6)] if len(codes) else [np.zeros(n)] * 6
     places = np.nonzero(hit[codes])[0] if len(codes) else np.zeros(0, np.int64)
     doc = np.searchsorted(offsets, places, side="right") - 1
@@ -115,7 +115,7 @@ def features(text: pa.Array, lexicon: dict[str, float]) -> np.ndarray:
     near = person[np.minimum(places + 6, offsets[doc + 1])] - person[np.maximum(places - 5, offsets[doc])] > 0
     near_person = np.bincount(doc[near], minlength=n)
     columns = (
-        np.log1p(offsets[1:] - offsets[:-1]), sums[0] / words, sums[1] / words, np.log1p(hits), np.log1p(kinds), sums[2] / np.sqrt(words), sums[3] / words, near_person / words,
+        np.log1p(offsets[1:] - offsets[:-1]), sums[0] / words, sums[1] / words, np.log1p(hits), np.log1p(sums[1]), np.log1p(kinds), sums[2] / np.sqrt(words), sums[3] / words, near_person / words,
         capitals / np.maximum(1, letters), count(of(".,;:'\"()-")) / size, count(of("!")) / size, count(of("?")) / size, count(of("#*$%&|<>@")) / size, count(of("0123456789")) / size, sums[4] / words, sums[5] / words,
     )
     return np.stack(columns, axis=1)
