@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .shared import slices
 
-#: Distinct pieces of one recursive query, and of the memory kept between batches.
-PIECES, REMEMBERED = 50_000, 250_000
+#: Distinct pieces of one recursive query, and of each of the two generations kept between batches.
+PIECES, REMEMBERED = 50_000, 300_000
 
 CONTRACT = """
 WITH RECURSIVE state(w, ids, done) AS (
@@ -80,6 +80,7 @@ class Encoder:
             self.db.unregister("given")
         #: piece -> (ids as decimal text, number of ids, bytes decoded from the ids)
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.older: dict[str, tuple[str, int, bytes]] = {}
 
     def learn(self, pieces: list[str]) -> None:
         """Encode and decode pieces that are not known yet."""
@@ -101,15 +102,18 @@ class Encoder:
             self.db.unregister("pieces")
             self.db.unregister("encoded")
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[list[str], int, bytes]]:
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[tuple[str, ...], int, bytes]]:
         """(decimal ids of each piece, number of ids, decoded bytes) of each text."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         cut = [self.cut(t) if t else [] for t in texts]
-        self.learn(list({p for pieces in cut for p in pieces}.difference(self.known)))
+        new = set().union(*cut).difference(self.known)
+        for p in self.older.keys() & new:
+            self.known[p] = self.older[p]
+        self.learn(list(new.difference(self.older)))
         for pieces in cut:
-            got = list(map(self.known.__getitem__, pieces))
-            yield [g[0] for g in got], sum(g[1] for g in got), b"".join([g[2] for g in got])
+            said, counts, raw = zip(*map(self.known.__getitem__, pieces), strict=True) if pieces else ((), (), ())
+            yield said, sum(counts), b"".join(raw)
 
 
 @lru_cache(maxsize=1)
