@@ -95,27 +95,85 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def token_ids(text: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of every text, the end id included, and all ids in a row.
-
-    The tokenizer drops white space and never joins across it, so each distinct
-    word of the batch is encoded once and the texts are put together from those.
+class WordIds:
+    """Ids of words, each encoded once by the tokenizers library and kept for later batches.
+
+    The tokenizer drops white space, never joins across it, folds case, and cuts
+    letters from punctuation; so a word of letters with punctuation behind it
+    is two parts, and ASCII letters are folded before they are looked up.  New
+    parts are encoded many at a time, in one text with the word NUL between them;
+    a part that holds NUL itself is encoded alone.
     """
+
+    #: Parts kept, about; parts of one text.
+    MOST, AT_ONCE = 600_000, 1000
+    MARKS = ".,!?;:"
+
+    def __init__(self, path: str) -> None:
+        self.encode = tokenizer(path).encode_batch_fast
+        mark = self.encode(["\0"], add_special_tokens=False)[0].ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {"": 0}
+        self.at, self.pool = np.zeros(2, np.int64), np.zeros(0, np.int32)
+
+    def parts(self, word: str) -> tuple[str, str]:
+        body = word.rstrip(self.MARKS)
+        if body.isalpha() and "\u0130" not in body:
+            return body.lower() if body.isascii() else body, word[len(body) :]
+        return word, ""
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if "\0" not in w] if self.mark is not None else []
+        odd = [w for w in new if "\0" in w] if self.mark is not None else new
+        ids, sizes = [], []
+        texts = [" \0 ".join(plain[k : k + self.AT_ONCE]) for k in range(0, len(plain), self.AT_ONCE)]
+        for e in self.encode(texts, add_special_tokens=False):
+            row = np.array(e.ids, dtype=np.int32)
+            cuts = np.nonzero(row == self.mark)[0]
+            sizes.append(np.diff(np.concatenate(([-1], cuts, [len(row)]))) - 1)
+            ids.append(np.delete(row, cuts))
+        for e in self.encode(odd, add_special_tokens=False):
+            ids.append(np.array(e.ids, dtype=np.int32))
+            sizes.append(np.array([len(e.ids)]))
+        first = len(self.place)
+        self.place.update(zip(plain + odd, range(first, first + len(new)), strict=True))
+        self.pool = np.concatenate((self.pool, *ids))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(sizes))))
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Places of both parts of every word, [words, 2]."""
+        if len(self.place) > self.MOST:
+            self.clear()
+        both = [p for w in words for p in self.parts(w)]
+        if new := list(set(both).difference(self.place)):
+            self._learn(new)
+        return np.fromiter(map(self.place.__getitem__, both), np.int64, len(both)).reshape(-1, 2)
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per Python worker, kept between tasks."""
+    return WordIds(path)
+
+
+def token_ids(text: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of every text, the end id included, and all ids in a row."""
+    known = word_ids(path)
     offsets, flat = split_words(text)
     codes, words = encode_dictionary(flat)
-    encoded = tokenizer(path).encode_batch_fast(words.to_pylist(), add_special_tokens=False) if len(words) else []
-    ids = [e.ids for e in encoded]
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    pool = np.fromiter((x for i in ids for x in i), np.uint32, int(size.sum()))
-    at = np.concatenate(([0], np.cumsum(size)))
-    per_word = size[codes]
-    ends = np.concatenate(([0], np.cumsum(per_word)))
-    total = int(ends[-1])
-    source = np.arange(total) - np.repeat(ends[:-1], per_word) + np.repeat(at[:-1][codes], per_word)
-    lengths = ends[offsets[1:]] - ends[offsets[:-1]]
-    out = np.full(total + len(lengths), end_id, np.uint32)
-    shift = np.repeat(np.arange(len(lengths)), lengths)
-    out[np.arange(total) + shift] = pool[source]
+    place = known.places(words.to_pylist())[codes].ravel()
+    size = np.diff(known.at)[place]
+    ends = np.concatenate(([0], np.cumsum(size)))
+    source = np.arange(ends[-1])
+    source += np.repeat(known.at[place] - ends[:-1], size)
+    lengths = ends[2 * offsets[1:]] - ends[2 * offsets[:-1]]
+    out = np.full(len(source) + len(lengths), end_id, np.uint32)
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(lengths + 1) - 1] = False
+    out[inside] = known.pool[source]
     return lengths + 1, out
 
 
