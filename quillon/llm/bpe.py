@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import CACHES, slices
 
 #: Distinct pieces of one recursive query, and of each of the two generations kept between batches.
-PIECES, REMEMBERED = 50_000, 300_000
+PIECES, REMEMBERED = 50_000, 150_000
 
 CONTRACT = """
 WITH RECURSIVE state(w, ids, done) AS (
@@ -119,6 +119,7 @@ class Encoder:
 @lru_cache(maxsize=1)
 def encoder(path: str, pattern: str) -> Encoder:
     """One per Python worker, kept between tasks."""
+    CACHES["bpe"] = encoder.cache_clear
     return Encoder(path, pattern)
 
 
@@ -126,7 +127,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 4 << 20, "bpe"):
             n, ids, decoded = [], [], []
             for said, count, raw in encoder(path, pattern).encode(batch.column("text").to_pylist()):
                 n.append(count)
@@ -144,7 +145,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", n_tokens long, token_ids array<int>, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bpe_text", 2 << 20):
+        for batch in slices(batches, "bpe_text", 2 << 20, "bpe"):
             texts = batch.column("bpe_text").to_pylist()
             n, ids, same = [], [], []
             for text, (said, count, raw) in zip(texts, encoder(path, pattern).encode(texts), strict=True):

@@ -13,8 +13,8 @@ there are at most ``BROADCAST_SOURCES`` sources and salted beyond.
 Edge cases: a null source is a source of its own (''); a null text weighs one
 byte; a null id hashes as ''; repeated rows draw the same count; sources with a
 zero or missing weight vanish, by request; an empty table gives an empty result.
-Columns of the input are kept; they may not be called copy, n_copies or
-shuffle_key (clashing input columns are replaced).
+Columns of the input are kept, whatever their names; the added ones begin
+with mix_ (an input column of such a name is replaced).
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, total_bytes: int | None = None) -> DataFrame:
-    """One row per source: mix_source, rate (mean copies), steps, cdf of one step.
+    """One row per source: mix_source, mix_rate (mean copies), mix_steps, mix_cdf of one step.
 
     Without ``weights`` a source's weight is the square root of its bytes
     (temperature 2).  ``total_bytes`` is the size of the mixture, by default that
@@ -66,19 +66,19 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
         .where("weight > 0")
         .withColumn("rate", rate)
         .withColumn("steps", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int"))
-        .select("mix_source", "rate", "steps", cdf.alias("cdf"))
+        .select("mix_source", F.col("rate").alias("mix_rate"), F.col("steps").alias("mix_steps"), cdf.alias("mix_cdf"))
     )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, total_bytes: int | None = None, seed: int = 11) -> DataFrame:
-    """The mixture: the input's columns, plus n_copies, copy (1-based) and shuffle_key.
+    """The mixture: the input's columns, plus mix_copies, mix_copy (1-based) and mix_key.
 
     Rows lie in a global random order: a partition is chosen by the hash of the
     key, and rows are sorted by the key inside it.
     """
     from .shared import materialise
 
-    docs = docs.drop("copy", "n_copies", "shuffle_key", "mix_source", "mix_salt")
+    docs = docs.drop("mix_copy", "mix_copies", "mix_key", "mix_source", "mix_salt", "mix_rate", "mix_steps", "mix_cdf")
     table = materialise(rates(docs, source_col, text_col, weights, total_bytes), "mix-rates")
     keyed = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
     if table.count() <= BROADCAST_SOURCES:
@@ -87,14 +87,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = keyed.withColumn("mix_salt", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
     draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("steps")),
+        F.sequence(F.lit(1), F.col("mix_steps")),
         F.lit(0),
-        lambda a, k: a + F.size(F.filter("cdf", lambda c: c <= uniform(str(seed), F.col(id_col), k))),
+        lambda a, k: a + F.size(F.filter("mix_cdf", lambda c: c <= uniform(str(seed), F.col(id_col), k))),
     )
-    copies = joined.withColumn("n_copies", draw).drop("cdf", "rate", "steps", "mix_source").where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    text = F.concat_ws(":", F.lit(f"{seed}:shuffle"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string"))
-    keyed = copies.withColumn("shuffle_key", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col, "copy")
+    copies = joined.withColumn("mix_copies", draw).drop("mix_cdf", "mix_rate", "mix_steps", "mix_source").where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    text = F.concat_ws(":", F.lit(f"{seed}:shuffle"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string"))
+    keyed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key", id_col, "mix_copy")
 
 
 #: DuckDB, over the view ``documents`` (seed 11, square-root weights).

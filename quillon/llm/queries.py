@@ -52,7 +52,7 @@ def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), size.alias("size"), "n_copies", "copy", "shuffle_key")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("source", F.lit("")).alias("source"), size.alias("size"), F.col("mix_copies").alias("n_copies"), F.col("mix_copy").alias("copy"), F.col("mix_key").alias("shuffle_key"))
 
 
 def op7_lbl_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

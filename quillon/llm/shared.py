@@ -8,9 +8,12 @@ same files there.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +63,28 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
 # --------------------------------------------------------------------- Arrow
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: What Python workers keep between tasks: how to let go of it, by owner.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str = "") -> None:
+    """Let go of what other operators have kept in this Python worker."""
+    others = [CACHES.pop(k) for k in list(CACHES) if k != owner]
+    for clear in others:
+        clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds about ``limit`` bytes in each.
 
     A longer single text stays whole in a slice of its own.
     """
+    claim(owner)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -37,8 +37,10 @@ from .shared import connected_components, local_components, materialise, slices
 SEED = 42
 #: Fingerprints on which the trees are grown, at most.
 SAMPLE = 65_536
-#: Points of a leaf that the growth aims at, and the most that one task compares with its whole leaf.
-LEAF, CHUNK = 1024, 16_384
+#: Points of a leaf that the growth aims at, and of a block that one task compares with another.
+LEAF, CHUNK = 1024, 32_768
+#: Bytes of the shingle sets that one block holds, about.
+BLOCK_BYTES = 24 << 20
 #: No tree has more leaves; this bounds what the driver holds.
 MOST_LEAVES = 4096
 
@@ -167,17 +169,42 @@ def grow_forest(distinct: DataFrame, max_bits: int, blocks: int) -> list[Tree]:
     return [Tree((1 << edges[k + 1]) - (1 << edges[k]), max_bits // blocks, sample, n) for k in range(blocks)]
 
 
-def near_pairs_in(home: np.ndarray, visitors: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (into home, into home + visitors) within max_bits, each once."""
-    every, step = np.concatenate((home, visitors)), max(1, (1 << 22) // max(1, len(home) + len(visitors)))
+def near_pairs_in(home: np.ndarray, others: np.ndarray, max_bits: int, own: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (into home, into home + others) within max_bits, each once;
+    without ``own`` the points of home aren't compared with each other."""
+    every, step = np.concatenate((home, others)), max(1, (1 << 22) // max(1, len(home) + len(others)))
     for at in range(0, len(home), step):
-        rows = home[at : at + step]
-        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ every[None, at:]) <= max_bits)
-        i, j = i + at, j + at
+        first = at if own else len(home)
+        i, j = np.nonzero(np.bitwise_count(home[at : at + step][:, None] ^ every[None, first:]) <= max_bits)
+        i, j = i + at, j + first
         keep = j > i
         yield i[keep], j[keep]
 
 
+def cells(rows: DataFrame, block: str, home: str, parts: str, visiting: str) -> DataFrame:
+    """Send blocks to the cells (i, j) in which each pair of blocks meets once.
+
+    ``parts`` own blocks and ``visiting`` blocks of visitors: cell (i, i) holds
+    own block i and visitor block 0, (i, j) with j > i two own blocks, (i, -k) own
+    block i and visitor block k.  ``first`` marks the rows of own block i.  So a
+    cell holds two blocks, however large the whole is.
+    """
+    o, p, v, none = F.col(block), F.col(parts), F.col(visiting), F.array().cast("array<struct<i:int,j:int,first:boolean>>")
+    cell = lambda i, j, first: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(first).alias("first"))
+    left = F.transform(F.sequence(o, p - 1), lambda j: cell(o, j, True))
+    right = F.when(o > 0, F.transform(F.sequence(F.lit(0), o - 1), lambda i: cell(i, o, False))).otherwise(none)
+    cross = F.when(v > 1, F.transform(F.sequence(F.lit(1), v - 1), lambda k: cell(o, -k, True))).otherwise(none)
+    visits = F.when(p > 0, F.transform(F.sequence(F.lit(0), p - 1), lambda i: cell(i, F.when(o == 0, i).otherwise(-o), False))).otherwise(none)
+    return rows.withColumn("cell", F.explode(F.when(F.col(home), F.concat(left, right, cross)).otherwise(visits))).drop(block, home, parts, visiting).select("*", "cell.*").drop("cell")
+
+
+def _lookup(counts: dict[int, int], key, default: int):
+    """counts[key] as a column; the driver holds a number for each leaf or band."""
+    if not counts:
+        return F.lit(default)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in counts.items() for x in kv]), key), F.lit(default))
+
+
 def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -> DataFrame:
     """Spanning links (src, dst) between the distinct fingerprints ``fp``."""
     forest = grow_forest(distinct, max_bits, blocks)
@@ -199,28 +226,25 @@ def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -> DataFrame:
                     )
 
     routed = materialise(distinct.select("fp").mapInArrow(route, "leaf int, fp long, home boolean"), "vp-routed")
-    # at most MOST_LEAVES rows a tree; a leaf with many own points is compared by several tasks
-    large = {r["leaf"]: int(-(-r["n"] // CHUNK)) for r in routed.where("home").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).collect()}
-    if large:
-        parts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in large.items() for x in kv]), F.col("leaf")), F.lit(1))
-        own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-        # rows of a chunk are at home in it and visit the chunks before it
-        cut = routed.withColumn("own", own).withColumn("chunk", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("own"))).otherwise(F.sequence(F.lit(0), parts - 1))))
-        cut = cut.select("leaf", "chunk", "fp", (F.col("home") & (F.col("own") == F.col("chunk"))).alias("home"))
-    else:
-        cut = routed.withColumn("chunk", F.lit(0))
+    # at most MOST_LEAVES rows a tree; only leaves of several blocks are kept
+    counts = routed.groupBy("leaf").agg(F.count(F.when(F.col("home"), 1)).alias("n"), F.count(F.when(~F.col("home"), 1)).alias("m"))
+    large = counts.where((F.col("n") > CHUNK) | (F.col("m") > CHUNK)).collect()
+    parts = _lookup({r["leaf"]: -(-r["n"] // CHUNK) for r in large}, F.col("leaf"), 1)
+    visiting = _lookup({r["leaf"]: -(-r["m"] // CHUNK) for r in large}, F.col("leaf"), 1)
+    dealt = routed.withColumns({"parts": parts, "visiting": visiting})
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.when(F.col("home"), F.col("parts")).otherwise(F.col("visiting")))).cast("int"))
 
     def compare(group: pa.Table) -> pa.Table:
-        fps, home = group.column("fp").to_numpy().view(np.uint64), group.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.concatenate((np.nonzero(home)[0], np.nonzero(~home)[0]))
+        fps, first = group.column("fp").to_numpy().view(np.uint64), group.column("first").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.concatenate((np.nonzero(first)[0], np.nonzero(~first)[0]))
         label = np.arange(len(order))
-        for i, j in near_pairs_in(fps[home], fps[~home], max_bits):
+        for i, j in near_pairs_in(fps[first], fps[~first], max_bits, group.column("i")[0] == group.column("j")[0]):
             local_components(label, i, j)
         out = np.nonzero(label != np.arange(len(order)))[0]
         point = fps[order].view(np.int64)
         return pa.table({"src": point[out], "dst": point[label[out]]})
 
-    return cut.groupBy("leaf", "chunk").applyInArrow(compare, "src long, dst long")
+    return cells(dealt, "block", "home", "parts", "visiting").groupBy("leaf", "i", "j").applyInArrow(compare, "src long, dst long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, blocks: int = 3) -> DataFrame:
@@ -256,25 +280,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = F.greatest(F.lit(1), (F.octet_length("shingles") / 4).cast("int"))
     band = F.floor(F.log(n.cast("double")) / F.lit(-float(np.log(similarity))) + F.lit(1e-9)).cast("int")
     sized = distinct.select("v", "fp", "shingles", band.alias("band"))
-    counts = {r["band"]: r["n"] for r in sized.groupBy("band").agg(F.count("*").alias("n")).collect()}  # a few dozen bands
-    block = 4096
-    parts = {b: max(1, -(-c // block)) for b, c in counts.items()}
-    if not parts:
-        empty = docs.sparkSession.createDataFrame([], "doc_id long, n_rows long, component_id long")
-        return empty
-    own_parts = F.element_at(F.create_map(*[F.lit(int(x)) for kv in parts.items() for x in kv]), F.col("band"))
-    below = F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in parts.items() for x in kv]), F.col("band") - 1), F.lit(0))
-    dealt = sized.withColumn("own", F.pmod(F.xxhash64("fp", "v"), own_parts).cast("int")).withColumn("below", below)
-    own = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("own")))).select("band", "chunk", "v", "fp", "shingles", (F.col("own") == F.col("chunk")).alias("home"))
-    visit = (
-        dealt.where("below > 0")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("below") - 1)))
-        .select((F.col("band") - 1).alias("band"), "chunk", "v", "fp", "shingles", F.lit(False).alias("home"))
-    )
+    bands = sized.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes")).collect()  # a few dozen
+    if not bands:
+        return docs.sparkSession.createDataFrame([], "doc_id long, n_rows long, component_id long")
+    parts = {r["band"]: max(-(-r["n"] // CHUNK), -(-r["bytes"] // BLOCK_BYTES), 1) for r in bands}
+    blocked = sized.withColumn("block", F.pmod(F.xxhash64("fp", "v"), _lookup(parts, F.col("band"), 1)).cast("int"))
+    own = blocked.withColumns({"home": F.lit(True), "parts": _lookup(parts, F.col("band"), 1), "visiting": _lookup(parts, F.col("band") + 1, 0)})
+    visit = blocked.withColumn("band", F.col("band") - 1).withColumns({"home": F.lit(False), "parts": _lookup(parts, F.col("band"), 0), "visiting": F.lit(0)})
 
     def compare(group: pa.Table) -> pa.Table:
-        home = group.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.concatenate((np.nonzero(home)[0], np.nonzero(~home)[0]))
+        first = group.column("first").to_numpy(zero_copy_only=False).astype(bool)
+        order = np.concatenate((np.nonzero(first)[0], np.nonzero(~first)[0]))
         fps, v = group.column("fp").to_numpy().view(np.uint64)[order], group.column("v").to_numpy()[order]
         raw = group.column("shingles").combine_chunks()
         sets: dict[int, np.ndarray] = {}
@@ -287,8 +303,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return sets[k]
 
         label = np.arange(len(order))
-        n_home = int(home.sum())
-        for i, j in near_pairs_in(fps[:n_home], fps[n_home:], max_bits):
+        n_first = int(first.sum())
+        for i, j in near_pairs_in(fps[:n_first], fps[n_first:], max_bits, group.column("i")[0] == group.column("j")[0]):
             for a, b in zip(i.tolist(), j.tolist(), strict=True):
                 while label[a] != label[label[a]]:
                     label[a] = label[label[a]]
@@ -308,7 +324,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = np.nonzero(label != np.arange(len(order)))[0]
         return pa.table({"src": v[out], "dst": v[label[out]]})
 
-    found = own.unionByName(visit).groupBy("band", "chunk").applyInArrow(compare, "src long, dst long")
+    met = cells(own.unionByName(visit), "block", "home", "parts", "visiting")
+    found = met.groupBy("band", "i", "j").applyInArrow(compare, "src long, dst long")
     component = connected_components(found)
     named = distinct.select("v", "fp", "shingles", "least", "n_rows").join(component, "v", "left").withColumn("component", F.coalesce("component", "v"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

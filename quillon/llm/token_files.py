@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import encode_dictionary, materialise, scratch, slices, split_words
+from .shared import CACHES, encode_dictionary, materialise, scratch, slices, split_words
 from .warc import _input, _output
 
 #: Ones between two sampled positions of the upper bits.
@@ -106,7 +106,7 @@ class WordIds:
     """
 
     #: Parts kept, about; parts of one text.
-    MOST, AT_ONCE = 600_000, 1000
+    MOST, AT_ONCE = 400_000, 1000
     MARKS = ".,!?;:"
 
     def __init__(self, path: str) -> None:
@@ -156,6 +156,7 @@ class WordIds:
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """One per Python worker, kept between tasks."""
+    CACHES["words"] = word_ids.cache_clear
     return WordIds(path)
 
 
@@ -185,7 +186,7 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, sizes, ids_of, nulls = f"{uuid.uuid4().hex}.ids", None, [], [], 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="words"):
             out = out or _output(folder, name)
             lengths, ids = token_ids(batch.column("text"), path, end_id)
             out.write(ids.astype(dtype).tobytes())
