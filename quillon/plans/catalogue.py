@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, rules, scalars
 from ..functions import unicode as uni
-from ..operators import browse, ensemble, resolve
+from ..operators import browse, components, ensemble, resolve
 from ..sources import feeds, html, tables
 from ..streaming import upsert
 from . import fixtures as fx
@@ -398,6 +398,150 @@ def csv_projection(spark, folder):
     return tables.csv_lines(tables.export_columns(fx.results(spark, folder)))
 
 
+# ------------------------------------------------- components and lookups
+
+_items = f"""o AS (SELECT o_custkey AS profile_id, o_orderkey, o_orderpriority, o_orderstatus, {o.TS} - to_days((o_orderkey % 90)::INT) AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)"""
+
+
+def _gallery_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with their orders as gallery items, every third without a date."""
+    key = F.col("o_orderkey")
+    when = fx.as_of() - F.make_dt_interval((key % 90).cast("int"))
+    item = F.struct(key.alias("k"), F.col("o_orderpriority").alias("title"), F.when(key % 2 == 0, F.col("o_orderstatus")).alias("description"), F.lit("tag").alias("tags"), F.when(key % 3 != 0, when).alias("event_time"), F.concat(F.lit("u/"), key.cast("string")).alias("url"))
+    items = tables.table(spark, folder, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    c = F.col("c_custkey")
+    rows = tables.table(spark, folder, "customer").join(items, F.col("o_custkey") == c, "left")
+    none = F.array().cast(items.schema["items"].dataType)
+    return rows.select(
+        c.alias("profile_id"), fx.phrase(c).alias("bio"), F.when(c % 2 == 0, F.concat(F.lit("journal "), c.cast("string"))).otherwise("").alias("journal"),
+        F.when(c % 3 == 0, "unknown").when(c % 3 == 1, "open").otherwise("closed").alias("commission_status"), fx.as_of().alias("last_updated"), F.coalesce("items", none).alias("items"),
+    )
+
+
+@query(f"""WITH {_items} SELECT c_custkey AS profile_id, 'bio' AS kind, 0::BIGINT AS pos, {o.PHRASE("c_custkey")} AS text, NULL::TIMESTAMP AS event_time, NULL::VARCHAR AS url FROM customer
+UNION ALL SELECT c_custkey, 'commission_status', 0, CASE c_custkey % 3 WHEN 1 THEN 'open' ELSE 'closed' END, NULL, NULL FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_custkey, 'journal', 0, 'journal ' || c_custkey, {o.TS}, NULL FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT profile_id, 'gallery', pos, o_orderpriority || ' ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE '' END || ' tag', CASE WHEN o_orderkey % 3 <> 0 THEN t ELSE {o.TS} END, 'u/' || o_orderkey FROM o""")
+def component_projection_gallery(spark, folder):
+    out = components.of_gallery_profiles(_gallery_profiles(spark, folder))
+    return out.select("profile_id", "kind", "pos", "text", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "url")
+
+
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events), u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id AS profile_id, 'display_name' AS kind, 0::BIGINT AS pos, 'user ' || user_id AS text, false AS is_pinned, NULL::BIGINT AS likes FROM u
+UNION ALL SELECT user_id, 'bio', 0, 'bio', false, NULL FROM u WHERE user_id % 2 = 0 UNION ALL SELECT user_id, 'post', pos, event_type, pos = 1, CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 9 END FROM e""")
+def component_projection_feed(spark, folder):
+    key = F.col("event_id")
+    likes = F.when(key % 5 != 0, key % 9)
+    post = F.struct(key.alias("k"), F.concat(F.lit("at://"), key.cast("string")).alias("uri"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("created_at"), F.lit("u").alias("url"), likes.alias("like_count"), likes.alias("repost_count"), likes.alias("reply_count"))
+    rows = tables.table(spark, folder, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(post)).alias("posts"))
+    rows = rows.select(F.col("user_id").alias("profile_id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("display_name"), F.when(F.col("user_id") % 2 == 0, "bio").otherwise("").alias("bio"), F.get("posts", F.lit(1))["uri"].alias("pinned_uri"), "posts")
+    return components.of_feed_profiles(rows).select("profile_id", "kind", "pos", "text", "is_pinned", "likes")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'FurAffinity' WHEN 1 THEN 'Bluesky' WHEN 2 THEN 'Twitter/X' ELSE 'other' END AS name, CASE event_id % 4 WHEN 0 THEN '#ff6f46' WHEN 1 THEN '#0085ff' WHEN 2 THEN '#1da1f2' ELSE '#666666' END AS colour, CASE event_type WHEN 'purchase' THEN chr(9989) || ' Open' WHEN 'error' THEN chr(10060) || ' Closed' ELSE chr(10067) || ' Unclear' END AS label FROM events")
+def platform_and_status_labels(spark, folder):
+    key = F.col("event_id") % 4
+    info = components.platform_info(F.when(key == 0, "furaffinity").when(key == 1, "bluesky").when(key == 2, "twitter").otherwise("other"))
+    status = F.when(F.col("event_type") == "purchase", "open").when(F.col("event_type") == "error", "closed").when(F.col("event_type") == "view", "unclear").otherwise("?")
+    return tables.table(spark, folder, "events").select("event_id", info["name"].alias("name"), info["colour"].alias("colour"), components.status_label(status).alias("label"))
+
+
+@query("WITH x AS (SELECT event_id, list_filter([CASE WHEN event_id % 2 = 0 THEN 'furaffinity' END, CASE WHEN event_id % 3 = 0 THEN 'bluesky' END, CASE WHEN event_id % 5 = 0 THEN 'twitter' END], lambda x: x IS NOT NULL) AS l FROM events) SELECT event_id, array_to_string(l, '|') AS enabled, array_to_string(l[greatest(coalesce(list_position(l, 'bluesky'), 0), 1):], '|') AS left_over FROM x")
+def enabled_and_resumed(spark, folder):
+    key = F.col("event_id")
+    on = components.enabled(F.create_map(F.lit("furaffinity"), key % 2 == 0, F.lit("bluesky"), key % 3 == 0, F.lit("twitter"), key % 5 == 0))
+    rows = tables.table(spark, folder, "events").select("event_id", on.alias("l"))
+    return rows.select("event_id", joined("l").alias("enabled"), F.array_join(components.resumed(F.col("l"), F.lit("bluesky")), "|").alias("left_over"))
+
+
+@query("WITH f AS (SELECT DISTINCT c_name, c_nationkey FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'nobody', -1) SELECT f.c_name, f.c_nationkey, coalesce(c.c_mktsegment, 'none') AS c_mktsegment FROM f LEFT JOIN customer c USING (c_name, c_nationkey)")
+def lookup_originals(spark, folder):
+    rows = tables.table(spark, folder, "customer").withColumn("seq", F.col("c_custkey"))
+    found = rows.where("c_custkey % 3 = 0").select("c_name", "c_nationkey", F.lit("none").alias("c_mktsegment"))
+    stray = spark.range(1).select(F.lit("nobody").alias("c_name"), F.lit(-1).alias("c_nationkey"), F.lit("none").alias("c_mktsegment"))
+    return components.originals(found.unionByName(stray), rows, ["c_name", "c_nationkey"], ["c_mktsegment"])
+
+
+@query("SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, CASE WHEN length(html) > 1000 THEN md5(trim(regexp_replace(html, '\\s+', ' ', 'g'))) ELSE md5(trim(html, ' ' || chr(9) || chr(10) || chr(13))) END AS collapsed FROM pages")
+def capture_and_collapse(spark, folder):
+    return tables.table(spark, folder, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host"), F.md5(scalars.collapsed_long_text(F.col("html")).cast("binary")).alias("collapsed"))
+
+
+@query(f"""WITH {o.PLATFORM_A} SELECT 'https://x.example/user/' || username AS url, username, display_name, 'https://a.example/' || id || '.gif' AS avatar_url, CASE WHEN id % 3 = 0 THEN NULL ELSE 'Bio of ' || display_name END AS bio,
+CASE id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'unknown' END AS commission_status FROM a""")
+def profile_extract(spark, folder):
+    """Profile pages are put together from rows, then read back by the parser."""
+    key = F.col("id")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    bio = F.when(key % 3 == 0, "").otherwise(text('<div class="userpage-profile"><div class="section-body">Bio of <b>', F.col("display_name"), "</b></div></div>"))
+    row = F.when(key % 4 == 0, "Yes").when(key % 4 == 1, "No").otherwise("?")
+    page = text('<img class="user-nav-avatar" src="//a.example/', key, '.gif"><span class="js-displayName"> ', F.col("display_name"), "</span>", bio, '<div class="table-row"><div>Accepting Commissions</div><span>', row, "</span></div>")
+    pages = fx.platform_a(spark, folder).select(F.concat(F.lit("https://x.example/user/"), "username").alias("url"), page.alias("html"))
+    return html.profile_pages(pages).drop("journal")
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem)
+SELECT 'p' || l_orderkey AS url, pos::INT AS pos, (l_orderkey || '-' || pos) AS id, CASE WHEN pos % 2 = 0 THEN 'Title ' || l_partkey ELSE '' END AS title, 'fox n' || l_linenumber AS tags, CASE WHEN pos % 2 = 0 THEN 'Jan 5, 2024 03:04 PM' END AS date_raw, CASE WHEN pos % 2 = 0 THEN TIMESTAMP '2024-01-05 15:04:00' END AS event_time, 'https://x.example/view/' || l_partkey AS item_url FROM x WHERE pos < 10""")
+def gallery_extract(spark, folder):
+    """Gallery pages with their embedded metadata are put together from rows, then read back."""
+    from pyspark.sql import Window
+
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
+    rows = tables.table(spark, folder, "lineitem").withColumn("pos", place)
+    ident = text(F.col("l_orderkey"), "-", F.col("pos"))
+    figure = text('<figure id="sid-', ident, '" class="t"><a href="/view/', F.col("l_partkey"), '"><img data-tags="fox n', F.col("l_linenumber"), '"></a></figure>')
+    meta = F.when(F.col("pos") % 2 == 0, text('"', ident, '": {"title": "Title ', F.col("l_partkey"), '", "date_full": "Jan 5, 2024 03:04 PM"}'))
+    grouped = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("pos", figure.alias("f"), meta.alias("m")))).alias("x"))
+    page = text(F.array_join("x.f", ""), '<script id="js-submissionData" type="application/json">{', F.array_join("x.m", ", "), "}</script>")
+    out = html.gallery(grouped.select(text("p", F.col("l_orderkey")).alias("url"), page.alias("html")), "https://x.example")
+    return out.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
+
+
+@query("""WITH f AS (SELECT c_custkey // 100 AS page, c_custkey % 100 AS k, c_custkey FROM customer), w AS (SELECT s_suppkey // 10 + 1 AS page, s_suppkey % 10 AS k, s_suppkey FROM supplier)
+SELECT 'favourites' AS list, page, 'user' || c_custkey AS username FROM f UNION ALL SELECT 'watchlist', page, 'user' || s_suppkey FROM w""")
+def list_pages(spark, folder):
+    """Pages of both lists are put together from rows, then read back by the patterns."""
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    figure = text('<figure id="sid-', c, '"><p>t</p><p>by</p><p><a href="/user/user', c, '/">x</a></p></figure>')
+    favourites = tables.table(spark, folder, "customer").groupBy(F.floor(c / 100).alias("page")).agg(F.array_join(F.collect_list(figure), "").alias("html"))
+    item = text('<div class="flex-item-watchlist aligncenter"><a href="/user/user', s, '/">x</a></div>')
+    watch = tables.table(spark, folder, "supplier").groupBy((F.floor(s / 10) + 1).alias("page")).agg(F.array_join(F.collect_list(item), "").alias("html"))
+    both = html.favourites_page(favourites).withColumn("list", F.lit("favourites")).unionByName(html.watchlist_page(watch).withColumn("list", F.lit("watchlist")))
+    return both.select("list", "page", "username")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import tempfile
+    import uuid
+
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quillon-")
+    return f"{base.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey::VARCHAR AS key, p_name || ' \"' || p_brand || '\",' || chr(10) || p_type AS text, NULL::VARCHAR AS absent FROM part")
+def csv_round_trip(spark, folder):
+    """Quotes, separators and line breaks survive the CSV sink and source."""
+    path = _scratch(spark, "csv")
+    rows = tables.table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("key"), F.concat("p_name", F.lit(' "'), "p_brand", F.lit('",\n'), "p_type").alias("text"), F.lit(None).cast("string").alias("absent"))
+    tables.write_csv(rows, path)
+    return tables.read_csv(spark, path).withColumn("absent", F.nullif("absent", F.lit("")))
+
+
+@query("SELECT 'did:' || c_custkey AS did, 'h' || c_custkey AS username, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'h' || c_custkey END AS display_name, CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE 0 END AS follower_count FROM customer")
+def profiles_from_json(spark, folder):
+    """Profiles landed as JSON lines; missing counts and names take their defaults."""
+    path, key = _scratch(spark, "json"), F.col("c_custkey")
+    tables.table(spark, folder, "customer").select(
+        F.concat(F.lit("did:"), key.cast("string")).alias("did"), F.concat(F.lit("h"), key.cast("string")).alias("handle"), F.when(key % 2 == 0, F.col("c_name")).otherwise("").alias("displayName"), F.when(key % 3 == 0, key).alias("followersCount")
+    ).write.json(path)
+    return feeds.profiles(spark, path).select("did", "username", "display_name", "follower_count")
+
+
+
 # ------------------------------------------------------------- unicode text
 
 _emoji = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{1F900}-\\x{1F9FF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}]"
@@ -452,12 +596,7 @@ def latest_progress(spark, folder):
 @query("SELECT user_id, event_type, max(value) AS confidence, arg_max(event_id, (value, -event_id)) AS seq FROM events GROUP BY user_id, event_type")
 def stream_upsert(spark, folder):
     """The events as a stream of files, merged batch by batch; the final state."""
-    import tempfile
-    import uuid
-
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quillon-")
-    place = f"{base.rstrip('/')}/quillon-stream-{uuid.uuid4().hex}"
+    place = _scratch(spark, "stream")
     schema = tables.table(spark, folder, "events").schema
     tables.table(spark, folder, "events").repartition(4).write.parquet(f"{place}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
