@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .shared import CACHES, slices
 
 #: Distinct pieces of one recursive query, and of each of the two generations kept between batches.
-PIECES, REMEMBERED = 50_000, 150_000
+PIECES, REMEMBERED = 50_000, 90_000
 
 CONTRACT = """
 WITH RECURSIVE state(w, ids, done) AS (
@@ -70,7 +70,7 @@ class Encoder:
         self.ranks = load_ranks(path)
         self.cut = regex.compile(pattern).findall
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
@@ -127,7 +127,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20, "bpe"):
+        for batch in slices(batches, "text", 2 << 20, "bpe"):
             n, ids, decoded = [], [], []
             for said, count, raw in encoder(path, pattern).encode(batch.column("text").to_pylist()):
                 n.append(count)
@@ -166,7 +166,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", carry:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         ranks = load_ranks(path)
         db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         for batch in batches:

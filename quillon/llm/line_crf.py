@@ -35,7 +35,7 @@ CONTENT_SHARE = 0.5
 WINDOW = 5
 # Symbols that count as noise.
 SYMBOLS = "#*$%&|<>"
-FEATURES = ("symbols", "pipes", "capitals", "exclamations", "duplicate", "stutter", "repeated", "length", "short", "digits", "sameness", "bias")
+FEATURES = ("symbols", "pipes", "capitals", "exclamations", "duplicate", "stutter", "repeated", "length", "short", "digits", "sameness", "piped", "noisy", "shouted", "bias")
 
 
 def _table(chars: str) -> np.ndarray:
@@ -123,11 +123,12 @@ class Lines:
         line = np.repeat(np.arange(len(self.line_words)), self.line_words)
         pairs = np.sort(line * np.int64(len(self.codes) + 1) + self.codes)
         kinds = np.bincount(pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))] // (len(self.codes) + 1), minlength=len(words)) if len(pairs) else np.zeros(len(words))
+        pipes, capitals = _count(self.raw, self.at, _table("|")), upper / np.maximum(1, upper + lower)
         return np.stack(
             (
-                np.minimum(3, self.symbols / words), np.minimum(1, _count(self.raw, self.at, _table("|")) / words), upper / np.maximum(1, upper + lower), np.minimum(3, _count(self.raw, self.at, _table("!")) / words),
+                np.minimum(3, self.symbols / words), np.minimum(1, pipes / words), capitals, np.minimum(3, _count(self.raw, self.at, _table("!")) / words),
                 self.duplicate, sums_between(stutter, self.words_at) / words, sums_between(self.repeated, self.words_at) / words, np.log1p(words) / 5, self.line_words < 4, _count(self.raw, self.at, _table("0123456789")) / size,
-                1 - kinds / words, np.ones(len(words)),
+                1 - kinds / words, pipes > 0, self.symbols >= 0.3 * words, (capitals > 0.7) & (words > 2), np.ones(len(words)),
             ),
             axis=1,
         ).astype(np.float64)
