@@ -130,7 +130,14 @@ def string_hash32(spark, folder):
     return tables.table(spark, folder, "customer").select("c_custkey", scalars.string_hash32(F.col("c_name")).alias("hash"))
 
 
-@query()
+_names, _lorem = f"[{', '.join(map(o._q, scalars.DEMO_NAMES))}]", f"[{', '.join(map(o._q, scalars.LOREM))}]"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_custkey, c_name, 0 AS k, 0::BIGINT AS v FROM customer UNION ALL SELECT c_custkey, c_name, k + 1, (v * 31 + ord(substr(c_name, k + 1, 1))) % 4294967296 FROM c WHERE k < length(c_name)),
+h AS (SELECT c_custkey, c_name, CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END AS h FROM c WHERE k = length(c_name)),
+i AS (SELECT *, abs(h) % 32 AS x, abs(floor(h / 256.0)::BIGINT) % 32 AS y, least(length(c_name), 100) AS n FROM h)
+SELECT c_custkey, CASE WHEN h < 0 THEN '-' ELSE '' END || lower(to_base(abs(h), 36)) AS hash36, {_names}[x + 1] || ' ' || {_names}[CASE WHEN x = y THEN (y + 1) % 32 ELSE y END + 1] AS demo,
+  CASE WHEN list_contains(list_transform(range(1, 52), lambda k: length(array_to_string({_lorem}[1:k], ' '))), n) THEN substr(array_to_string({_lorem}, ' '), 1, n) ELSE substr(array_to_string({_lorem}, ' '), 1, greatest(0, n - 3)) || '...' END AS masked FROM i""")
 def anonymise(spark, folder):
     return tables.table(spark, folder, "customer").select("c_custkey", scalars.base36(scalars.string_hash32(F.col("c_name"))).alias("hash36"), scalars.demo_name(F.col("c_name")).alias("demo"), scalars.lorem_mask(F.col("c_name")).alias("masked"))
 
@@ -208,7 +215,12 @@ def entity_resolve_mutual_best(spark, folder):
     return resolve.merge_pairs(a, b, pairs).select("username", "display_name", "status", "confidence", F.col("last_updated").cast("timestamp_ntz").alias("last_updated"), joined("platforms").alias("platforms"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {o.PLATFORM_A}, {o.PLATFORM_B}, {o.PAIRS}, turns AS (SELECT b_id, row_number() OVER (ORDER BY b_seq, b_id) AS k FROM (SELECT DISTINCT b_id, b_seq FROM pairs)),
+wanted AS (SELECT k, list(a_id ORDER BY a_seq, a_id) AS l FROM pairs JOIN turns USING (b_id) GROUP BY k),
+steps AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS a_id
+  UNION ALL SELECT w.k, CASE WHEN len(list_filter(l, lambda x: NOT list_contains(used, x))) > 0 THEN list_append(used, list_filter(l, lambda x: NOT list_contains(used, x))[1]) ELSE used END, list_filter(l, lambda x: NOT list_contains(used, x))[1]
+  FROM steps s JOIN wanted w ON w.k = s.k + 1)
+SELECT a_id, b_id FROM steps JOIN turns USING (k) WHERE a_id IS NOT NULL""")
 def entity_resolve_greedy(spark, folder):
     a, b = fx.platform_a(spark, folder), fx.platform_b(spark, folder)
     return resolve.greedy_pairs(a, b, resolve.name_pairs(a, b))
