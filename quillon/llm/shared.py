@@ -87,9 +87,19 @@ def claim(owner: str = "") -> None:
         clear()
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        give_back()
+
+
+# Arrow's own allocators keep what they have freed; workers wait between tasks
+# beside a JVM, so buffers come from the system and go back to it.
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20, owner: str = "") -> Iterator[pa.RecordBatch]:
@@ -108,6 +118,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20,
             stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, side="right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def plain(text: pa.Array) -> pa.Array:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, local_components, materialise, slices
+from .shared import claim, connected_components, give_back, local_components, materialise, slices
 
 SEED = 42
 #: Fingerprints on which the trees are grown, at most.
@@ -289,6 +289,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     visit = blocked.withColumn("band", F.col("band") - 1).withColumns({"home": F.lit(False), "parts": _lookup(parts, F.col("band"), 0), "visiting": F.lit(0)})
 
     def compare(group: pa.Table) -> pa.Table:
+        claim()
+        give_back()
         first = group.column("first").to_numpy(zero_copy_only=False).astype(bool)
         order = np.concatenate((np.nonzero(first)[0], np.nonzero(~first)[0]))
         fps, v = group.column("fp").to_numpy().view(np.uint64)[order], group.column("v").to_numpy()[order]
