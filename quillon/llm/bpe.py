@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import CACHES, slices
 
 #: Distinct pieces of one recursive query, and of each of the two generations kept between batches.
-PIECES, REMEMBERED = 50_000, 90_000
+PIECES, REMEMBERED = 50_000, 250_000
 
 CONTRACT = """
 WITH RECURSIVE state(w, ids, done) AS (
@@ -78,9 +79,11 @@ class Encoder:
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        #: piece -> (ids as decimal text, number of ids, bytes decoded from the ids)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        #: piece -> its ids as decimal text, of this and the last generation
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: pieces whose ids decode to other bytes than their own (a faithful vocabulary has none)
+        self.unfaithful: dict[str, bytes] = {}
 
     def learn(self, pieces: list[str]) -> None:
         """Encode and decode pieces that are not known yet."""
@@ -98,12 +101,14 @@ class Encoder:
             self.db.register("encoded", pa.concat_tables([merged.cast(single.schema), single]))
             out = self.db.sql(EXPAND).to_arrow_table()
             for k, hexed, said in zip(out["w"].to_pylist(), out["hex"].to_pylist(), out["said"].to_pylist(), strict=True):
-                self.known[part[k]] = (said, said.count(",") + 1, bytes.fromhex(hexed))
+                self.known[part[k]] = said
+                if bytes.fromhex(hexed) != raw[k]:
+                    self.unfaithful[part[k]] = bytes.fromhex(hexed)
             self.db.unregister("pieces")
             self.db.unregister("encoded")
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[tuple[str, ...], int, bytes]]:
-        """(decimal ids of each piece, number of ids, decoded bytes) of each text."""
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
+        """(decimal ids joined by commas, bytes that the ids decode to) of each text."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
         cut = [self.cut(t) if t else [] for t in texts]
@@ -112,8 +117,15 @@ class Encoder:
             self.known[p] = self.older[p]
         self.learn(list(new.difference(self.older)))
         for pieces in cut:
-            said, counts, raw = zip(*map(self.known.__getitem__, pieces), strict=True) if pieces else ((), (), ())
-            yield said, sum(counts), b"".join(raw)
+            if self.unfaithful and not self.unfaithful.keys().isdisjoint(pieces):
+                raw = b"".join([self.unfaithful.get(p, p.encode()) for p in pieces])
+            else:
+                raw = "".join(pieces).encode()
+            yield ",".join(map(self.known.__getitem__, pieces)), raw
+
+
+def count_ids(said: str) -> int:
+    return said.count(",") + 1 if said else 0
 
 
 @lru_cache(maxsize=1)
@@ -127,11 +139,11 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20, "bpe"):
+        for batch in slices(batches, "text", 4 << 20, "bpe"):
             n, ids, decoded = [], [], []
-            for said, count, raw in encoder(path, pattern).encode(batch.column("text").to_pylist()):
-                n.append(count)
-                ids.append(hashlib.sha256(",".join(said).encode()).hexdigest())
+            for said, raw in encoder(path, pattern).encode(batch.column("text").to_pylist()):
+                n.append(count_ids(said))
+                ids.append(hashlib.sha256(said.encode()).hexdigest())
                 decoded.append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -148,12 +160,13 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
         for batch in slices(batches, "bpe_text", 2 << 20, "bpe"):
             texts = batch.column("bpe_text").to_pylist()
             n, ids, same = [], [], []
-            for text, (said, count, raw) in zip(texts, encoder(path, pattern).encode(texts), strict=True):
-                n.append(count)
-                ids.append([int(x) for x in ",".join(said).split(",")] if said else [])
+            for text, (said, raw) in zip(texts, encoder(path, pattern).encode(texts), strict=True):
+                n.append(count_ids(said))
+                ids.append(np.fromstring(said, dtype=np.int32, sep=",") if said else np.zeros(0, np.int32))
                 same.append(raw == (text or "").encode())
             names = [f.name for f in carried]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same)], [*names, "n_tokens", "token_ids", "round_trip"])
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), np.concatenate(ids))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n, pa.int64()), lists, pa.array(same)], [*names, "n_tokens", "token_ids", "round_trip"])
 
     return docs.select(*[F.col(f.name) for f in carried], F.col(text_col).cast("string").alias("bpe_text")).mapInArrow(run, schema)
 
