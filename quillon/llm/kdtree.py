@@ -17,6 +17,7 @@ table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,8 @@ from .shared import materialise
 
 #: Buckets of one histogram pass and node.
 BUCKETS = 1024
+#: Nodes that are looked up in a literal instead of a table.
+LITERAL_NODES = 64
 #: Rows of a shard that are numbered in one task.
 SLOT_ROWS = 4096
 
@@ -53,47 +56,49 @@ def metadata(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> Da
     )
 
 
-def _pick(values: list, node: Column, kind: str) -> Column:
-    """values[node], the values being plain numbers of the driver."""
-    return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), node + 1)
+def _told(rows: DataFrame, nodes: list[dict], schema: str) -> DataFrame:
+    """Rows of the listed nodes with what the driver knows of their node.
+
+    There are at most as many nodes as shards: a few are looked up in a literal,
+    more are a small table that is broadcast.
+    """
+    parsed = F.from_json(F.lit(json.dumps(nodes)), f"array<struct<node:int,{schema}>>")
+    if len(nodes) <= LITERAL_NODES:
+        found = rows.withColumn("told", F.get(F.filter(parsed, lambda n: n["node"] == F.col("node")), F.lit(0))).where("told is not null")
+        return found.select(*rows.columns, *[f"told.{field.split(':')[0]}" for field in schema.split(",")])
+    told = rows.sparkSession.range(1).select(F.explode(parsed).alias("n")).select("n.*")
+    return rows.join(F.broadcast(told), "node")
 
 
 def _split_level(rows: DataFrame, leaves: list[int], n_dims: int, scale: list[float]) -> tuple[DataFrame, list[int]]:
     """Split every node that still stands for several leaves; returns rows with their new nodes."""
-    stats = {
-        r["node"]: r
-        for r in rows.groupBy("node")
-        .agg(F.sum("size").alias("w"), *[f(f"d{k}").alias(f"{n}{k}") for k in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))])
-        .collect()
-    }
-    m = len(leaves)
-    split = [n in stats and leaves[n] > 1 for n in range(m)]
-    widest = [max(range(n_dims), key=lambda k, n=n: ((stats[n][f"hi{k}"] - stats[n][f"lo{k}"]) / scale[k], -k)) if split[n] else 0 for n in range(m)]
-    target = [stats[n]["w"] * (leaves[n] // 2) / leaves[n] if split[n] else 0 for n in range(m)]
-
-    node = F.col("node")
-    first = F.element_at(F.array(*[F.col(f"d{k}") for k in range(n_dims)]), _pick(widest, node, "int") + 1)
-    keyed = rows.withColumn("k0", first).withColumn("k1", F.col("text_crc32")).withColumn("k2", F.coalesce("doc_id", F.lit(-(2**62)))).withColumn("k3", F.col("rid"))
-    fixed: list[list[int]] = [[] for _ in range(m)]  # key parts already pinned for the crossing row
-    left = [0.0] * m  # bytes known to lie left of the open range
-    open_ = set(n for n in range(m) if split[n])
+    spans = [f(f"d{k}").alias(f"{n}{k}") for k in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *spans).collect()}
+    split = [n for n in range(len(leaves)) if n in stats and leaves[n] > 1]
+    widest = {n: max(range(n_dims), key=lambda k, n=n: ((stats[n][f"hi{k}"] - stats[n][f"lo{k}"]) / scale[k], -k)) for n in split}
+    target = {n: stats[n]["w"] * (leaves[n] // 2) / leaves[n] for n in split}
+
+    # order of the rows of a node: widest dimension, CRC of the text, id, row number
+    keyed = _told(rows, [{"node": n, "dim": widest.get(n, 0)} for n in range(len(leaves))], "dim:int")
+    keyed = keyed.withColumns({"k0": F.element_at(F.array(*[F.col(f"d{k}") for k in range(n_dims)]), F.col("dim") + 1), "k1": F.col("text_crc32"), "k2": F.coalesce("doc_id", F.lit(-(2**62))), "k3": F.col("rid")}).drop("dim")
+    pinned: dict[int, list[int]] = {n: [] for n in split}  # parts of the key of the crossing row
+    left = dict.fromkeys(split, 0.0)  # bytes known to lie left of the open range
+    fixed = "f0:bigint,f1:bigint,f2:bigint,f3:bigint"
+    pins = lambda n: {f"f{q}": v for q, v in enumerate(pinned.get(n, ()))}
+    open_ = set(split)
     for part in range(4):
         if not open_:
             break
-        here = F.lit(True)
-        for q in range(part):
-            here = here & (F.col(f"k{q}") == _pick([f[q] if len(f) > q else 0 for f in fixed], node, "long"))
-        live = keyed.where(node.isin(*open_) & here)
-        ranges = {r["node"]: [r["lo"], r["hi"]] for r in live.groupBy("node").agg(F.min(f"k{part}").alias("lo"), F.max(f"k{part}").alias("hi")).collect()}
-        seeking = {n for n in open_}
+        key, here = F.col(f"k{part}"), " and ".join(["true", *[f"k{q} = f{q}" for q in range(part)]])
+        inside = _told(keyed, [{"node": n, **pins(n)} for n in sorted(open_)], fixed).where(here)
+        ranges = {r["node"]: (r["lo"], r["hi"]) for r in inside.groupBy("node").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).collect()}
+        seeking = set(open_)
         while seeking:
-            lo = [ranges[n][0] if n in seeking else 0 for n in range(m)]
-            hi = [ranges[n][1] if n in seeking else -1 for n in range(m)]
-            width = [max(1, -(-(h - a + 1) // BUCKETS)) for a, h in zip(lo, hi, strict=True)]
-            key, low = F.col(f"k{part}"), _pick(lo, node, "long")
+            asked = [{"node": n, "lo": ranges[n][0], "hi": ranges[n][1], "width": max(1, -(-(ranges[n][1] - ranges[n][0] + 1) // BUCKETS)), **pins(n)} for n in sorted(seeking)]
             sums = (
-                live.where(node.isin(*seeking) & (key >= low) & (key <= _pick(hi, node, "long")))
-                .select("node", "size", key.alias("key"), (key - low).alias("past"), _pick(width, node, "long").alias("width"))
+                _told(keyed, asked, f"lo:bigint,hi:bigint,width:bigint,{fixed}")
+                .where(F.expr(here) & key.between(F.col("lo"), F.col("hi")))
+                .select("node", "size", key.alias("key"), (key - F.col("lo")).alias("past"), "width")
                 .groupBy("node", F.expr("past div width").alias("bucket"))
                 .agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
                 .collect()
@@ -107,31 +112,31 @@ def _split_level(rows: DataFrame, leaves: list[int], n_dims: int, scale: list[fl
                     if left[n] + w >= target[n] or at == len(buckets) - 1:
                         break
                     left[n] += w
-                ranges[n] = [low_key, high_key]
+                ranges[n] = (low_key, high_key)
                 if low_key == high_key:
-                    fixed[n].append(low_key)
+                    pinned[n].append(low_key)
                     seeking.discard(n)
                     if count == 1:
                         open_.discard(n)
-    last = [1] * m  # whether the crossing row itself goes left
-    crossing = F.lit(True)
-    for q in range(4):
-        crossing = crossing & (F.lit(q) >= _pick([len(f) for f in fixed], node, "int")) | (F.col(f"k{q}") == _pick([f[q] if len(f) > q else 0 for f in fixed], node, "long")) & crossing
-    ids = [n for n in range(m) if split[n]]
-    if ids:
-        for r in keyed.where(node.isin(*ids) & crossing).groupBy("node").agg(F.sum("size").alias("w")).collect():
-            last[r["node"]] = int(left[r["node"]] + r["w"] / 2 <= target[r["node"]])
-    # lexicographic comparison with the pinned key, the last part first
-    goes_left = _pick(last, node, "int") == 1
-    for q in reversed(range(4)):
-        pinned, value = F.lit(q) < _pick([len(f) for f in fixed], node, "int"), _pick([f[q] if len(f) > q else 0 for f in fixed], node, "long")
-        goes_left = F.when(~pinned, goes_left).when(F.col(f"k{q}") < value, True).when(F.col(f"k{q}") > value, False).otherwise(goes_left)
+    # the crossing row itself goes to the side that it brings nearer to the target
+    told = [{"node": n, "pinned": len(pinned[n]), **pins(n)} for n in split]
+    at_cut = " and ".join(f"(pinned <= {q} or k{q} = f{q})" for q in range(4))
+    last = dict.fromkeys(split, True)
+    if split:
+        for r in _told(keyed, told, f"pinned:int,{fixed}").where(at_cut).groupBy("node").agg(F.sum("size").alias("w")).collect():
+            last[r["node"]] = left[r["node"]] + r["w"] / 2 <= target[r["node"]]
     numbers, after = [], []
-    for n in range(m):
+    for n, x in enumerate(leaves):
         numbers.append(len(after))
-        after += [leaves[n] // 2, leaves[n] - leaves[n] // 2] if leaves[n] > 1 else [leaves[n]]
-    child = _pick(numbers, node, "int") + F.when(_pick([int(x > 1) for x in leaves], node, "int") == 0, 0).when(goes_left, 0).otherwise(1)
-    return materialise(keyed.withColumn("node", child.cast("int")).drop("k0", "k1", "k2", "k3"), "kd-level"), after
+        after += [x // 2, x - x // 2] if x > 1 else [x]
+    nodes = [{"node": n, "pinned": len(pinned.get(n, ())), "first": numbers[n], "divided": n in last, "last": last.get(n, True), **pins(n)} for n in range(len(leaves))]
+    goes_left = F.col("last")
+    for q in reversed(range(4)):  # lexicographic comparison with the pinned key
+        k, f = F.col(f"k{q}"), F.col(f"f{q}")
+        goes_left = F.when(F.col("pinned") <= q, F.col("last")).when(k < f, True).when(k > f, False).otherwise(goes_left)
+    child = F.col("first") + F.when(F.col("divided") & ~goes_left, 1).otherwise(0)
+    moved = _told(keyed, nodes, f"pinned:int,first:int,divided:boolean,last:boolean,{fixed}").withColumn("node", child.cast("int"))
+    return materialise(moved.select(rows.columns), "kd-level"), after
 
 
 def kd_shards(

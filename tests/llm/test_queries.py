@@ -114,8 +114,9 @@ def brute_kd(rows, leaves, scale):
     return brute_kd(rows[:at], leaves // 2, scale) + brute_kd(rows[at:], leaves - leaves // 2, scale)
 
 
-@pytest.mark.parametrize("shards", [8, 5])
-def test_kd_tree_equals_sorting(spark, folder, shards):
+@pytest.mark.parametrize(("shards", "literal"), [(8, 64), (5, 64), (5, 0)])
+def test_kd_tree_equals_sorting(spark, folder, shards, literal, monkeypatch):
+    monkeypatch.setattr(kdtree, "LITERAL_NODES", literal)
     docs = spark.read.parquet(f"{folder}/documents.parquet").dropDuplicates(["doc_id"])
     code = lambda s: zlib.crc32(s.encode())
     rows = [(r["doc_id"], len(r["text"].encode()) + 1, zlib.crc32(r["text"].encode()), 0, (r["n_chars"], code(r["source"]), code(r["lang"]))) for r in docs.collect()]
