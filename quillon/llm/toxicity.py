@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .shared import bytes_of, encode_dictionary, materialise, plain, remainder, slices, split_words, sums_between
 
-#: Labelled rows that are learned from, at most; lexicon entries, at most.
-MOST_LABELS, MOST_TERMS = 20_000, 2_000
+#: Labelled rows that are learned from, at most; they bound the lexicon, too.
+MOST_LABELS = 20_000
 #: Share of toxic signatures that must hold a term, its least count, and its least lift.
 SUPPORT, LEAST, LIFT = 0.02, 3, 8.0
 STEMS = (4, 5, 6, 7, 8)
@@ -227,15 +227,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = materialise(rows.where("toxic = 1").select("text").mapInArrow(toxic_terms, "term string, signature long").distinct().groupBy("term").agg(F.count("*").alias("n")), "toxic-terms")
     n_toxic = (counted.where("term = ''").first() or {"n": 0})["n"]
     least = max(LEAST, SUPPORT * n_toxic)
-    support = {r["term"]: r["n"] for r in counted.where((F.col("term") != "") & (F.col("n") >= least)).orderBy(F.desc("n"), "term").limit(MOST_TERMS).collect()}
+    support = {r["term"]: r["n"] for r in counted.where((F.col("term") != "") & (F.col("n") >= least)).orderBy(F.desc("n"), "term").collect()}
 
     def clean_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            counts = dict.fromkeys(support, 0)
+            counts: dict[str, int] = {}
             for _, words in _signed_terms(batch):
                 for t in {t for w in words for t in terms_of(w)}:
-                    if t in counts:
-                        counts[t] += 1
+                    if t in support:
+                        counts[t] = counts.get(t, 0) + 1
             counts[""] = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
