@@ -41,6 +41,11 @@ SAMPLE = 65_536
 LEAF, CHUNK = 1024, 32_768
 #: Bytes of the shingle sets that one block holds, about.
 BLOCK_BYTES = 24 << 20
+#: Sets on which shingles are counted, and shingles whose counts travel, at most; common shingles
+#: come last in the order of prefixes, which decides where sets meet, not what is found.
+COUNTED, COMMON = 20_000, 1 << 18
+#: Shingles of their prefixes that similar sets share at least.
+SHARED = 3
 #: No tree has more leaves; this bounds what the driver holds.
 MOST_LEAVES = 4096
 
@@ -76,7 +81,8 @@ def vote(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, with_set: bool = False) -> DataFrame:
     """(doc_id, fp long) per row; ``with_set`` adds the sorted distinct low words
-    of the shingle hashes (uint32, little-endian) for exact set similarity."""
+    of the shingle hashes (uint32, little-endian) for exact set similarity, and
+    lets each shingle vote once."""
     schema = "doc_id long, fp long" + (", shingles binary" if with_set else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +90,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps, sets = [], []
             for text in batch.column("text").to_pylist():
                 h = np.array(shingle_hashes((text or "").encode(), width), dtype=np.uint64)
-                fps.append(vote(h))
+                fps.append(vote(np.unique(h) if with_set else h))
                 if with_set:
                     sets.append(np.unique(h.astype(np.uint32)).astype("<u4").tobytes())
             columns = [batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
@@ -262,16 +268,80 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 # ----------------------------------------------- similarity of shingle sets
 
 
+def prefix_pairs(sets: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(src, dst) of the ``n`` rows (v, shingles, component) whose components differ:
+    all pairs whose sets may have the similarity, each once.
+
+    Similar sets of a and b shingles share at least o = similarity * max(a, b), so
+    in any common order of shingles the first a - o + SHARED of one and b - o +
+    SHARED of the other have SHARED of them in common (all, if o is less).  The
+    shingles after the last one shared in the prefixes bound what else is shared.
+    """
+    least = lambda size: F.ceil(size * F.lit(similarity) - F.lit(1e-6))
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles"):
+            values, counts = np.unique(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype="<u4"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(counts.astype(np.int64))], ["shingle", "n"])
+
+    share = min(1.0, COUNTED / max(1, n))
+    counted = sets.select("shingles") if share == 1.0 else sets.select("shingles").where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = counted.mapInArrow(tally, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(COMMON).toArrow().sort_by("shingle")
+    common = counts["shingle"].to_numpy().astype(np.uint32)
+    often = counts["n"].to_numpy().astype(np.int64)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles", 1 << 20):
+            first, sizes = [], []
+            for raw in batch.column("shingles").to_pylist():
+                x = np.frombuffer(raw, dtype="<u4")
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                    x = x[np.lexsort((x, np.where(common[at] == x, often[at], 0)))]
+                first.append(x[: len(x) - int(np.ceil(len(x) * similarity - 1e-6)) + SHARED])
+                sizes.append(len(x))
+            taken = np.array([len(x) for x in first])
+            if taken.sum():
+                v, component = (np.repeat(batch.column(c).to_numpy(), taken) for c in ("v", "component"))
+                place = np.concatenate([np.arange(k) for k in taken])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int32)), pa.array(v), pa.array(component), pa.array(np.repeat(sizes, taken) << 32 | place)], ["shingle", "v", "component", "at"])
+
+    # size and place in one number, as these rows are most of what is shuffled
+    rows = sets.select("v", "shingles", "component").mapInArrow(prefixes, "shingle int, v long, component long, at long")
+    size, place = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    met = rows.alias("a").join(rows.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where("a.v < b.v and a.component <> b.component")
+    met = met.select(F.col("a.v").alias("src"), F.col("b.v").alias("dst"), size(F.col("a.at")).alias("a"), size(F.col("b.at")).alias("b"), place(F.col("a.at")).alias("i"), place(F.col("b.at")).alias("j"))
+    met = met.where(F.least("a", "b") >= least(F.greatest("a", "b")))
+    shared = met.groupBy("src", "dst", "a", "b").agg(F.count("*").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"))
+    most = F.col("n") + F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) - 1
+    return shared.where((F.col("n") >= F.least(F.lit(SHARED), least(F.greatest("a", "b")))) & (most >= (F.col("a") + F.col("b")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))).select("src", "dst")
+
+
+def decide(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose sets in (v, shingles) have the similarity."""
+    x, y = (sets.select(F.col("v").alias(end), F.col("shingles").alias(name)) for end, name in (("src", "x"), ("dst", "y")))
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "x"):
+            keep = []
+            for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                common = len(np.intersect1d(np.frombuffer(a, dtype="<u4"), np.frombuffer(b, dtype="<u4"), assume_unique=True))
+                keep.append(common >= similarity * ((len(a) + len(b)) // 4 - common))
+            yield batch.select(["src", "dst"]).filter(pa.array(keep))
+
+    return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(similar, "src long, dst long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 16) -> DataFrame:
     """(doc_id, n_rows, component_id): classes of documents whose shingle sets
     have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates are pairs of fingerprints within ``max_bits`` (16 of 64 keeps
-    nearly all pairs of similarity 0.8); each is then decided exactly on the
-    shingle sets.  Sets of that similarity differ in size by a factor of 0.8 at
-    most, so documents meet only in their own size band and the next; inside a
-    band the triangle bound prunes nothing at this radius, and the band is
-    compared in blocks.  Pairs already joined are not decided again.
+    Pairs of fingerprints within ``max_bits`` join most classes at once; what they
+    miss comes from ``prefix_pairs``, which loses no pair.  All candidates are
+    decided exactly on the shingle sets.  Sets of that similarity differ in size
+    by a factor of 0.8 at most, so fingerprints meet only in their own size band
+    and the next; inside a band the triangle bound prunes nothing at this radius,
+    and the band is compared in blocks.  Pairs already joined are not decided again.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, width, with_set=True), "near-prints")
     distinct = materialise(
@@ -327,8 +397,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table({"src": v[out], "dst": v[label[out]]})
 
     met = cells(own.unionByName(visit), "block", "home", "parts", "visiting")
-    found = met.groupBy("band", "i", "j").applyInArrow(compare, "src long, dst long")
-    component = connected_components(found)
+    found = materialise(met.groupBy("band", "i", "j").applyInArrow(compare, "src long, dst long"), "near-found")
+    joined = distinct.select("v", "shingles").join(connected_components(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    pairs = prefix_pairs(joined, sum(r["n"] for r in bands), similarity)
+    component = connected_components(found.unionByName(decide(pairs, distinct, similarity)))
     named = distinct.select("v", "fp", "shingles", "least", "n_rows").join(component, "v", "left").withColumn("component", F.coalesce("component", "v"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return named.join(least, "component").select("least", "n_rows", "component_id").withColumnRenamed("least", "doc_id")

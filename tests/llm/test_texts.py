@@ -109,6 +109,29 @@ def test_near_duplicates_equal_brute_force(spark):
     assert set(got.values()) == set(want.values())
 
 
+@pytest.mark.parametrize("bits", [{}, {"max_bits": 0}])
+def test_near_duplicates_lose_no_pair(spark, bits):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = {}
+    for g in range(120):
+        base = [word() for _ in range(rng.choice([1, 12, 31, 84]))]
+        texts[g * 10] = " ".join(base)
+        texts[g * 10 + 1] = " ".join(base + [word()] * 20)
+        texts[g * 10 + 2] = " ".join(base[: len(base) - len(base) // 12] + [word() for _ in range(len(base) // 12)])
+        texts[g * 10 + 3] = " ".join(["all pages begin with these same words and go on"] + base)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t in texts.items()}
+    ids = sorted(texts)
+    pairs = [(i, j) for k, i in enumerate(ids) for j in ids[k + 1 :] if i // 10 == j // 10 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = sum((fingerprint(texts[i], 5) ^ fingerprint(texts[j], 5)).bit_count() > 16 for i, j in pairs)
+    assert far > 20
+    want = closed(ids, pairs)
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], DOCS)
+    got = simhash.near_duplicates(frame, **bits).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {r["doc_id"]: want[r["doc_id"]] for r in got}
+    assert {r["component_id"] for r in got} == set(want.values())
+
+
 # ------------------------------------------------------------------ WARC
 
 
