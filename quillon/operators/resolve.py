@@ -87,27 +87,40 @@ def mutual_best(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     return ranked.where("for_a = 1 and for_b = 1").select("a_id", "b_id")
 
 
-def greedy_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def greedy_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """Arrival-order matching: each b in turn takes the earliest a that is still free.
 
-    In every round the pairs in which b is the first that wants a, and a is the
-    first that b could take, are fixed and their ends leave; the result is the
-    same as one by one, and each round is a few joins.
+    All b with the same open a are a class; its n-th b is meant for its n-th a.
+    In every round those pairs are fixed whose a, and the earlier a of the class,
+    are wanted by no earlier b of another class, and their ends leave; the result
+    is the same as one by one.  The earliest b is always among them, so rounds go
+    on until no pair is open; equal names take one round.
     """
-    left = pairs.join(a.select(F.col("id").alias("a_id"), F.col("seq").alias("a_seq")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("seq").alias("b_seq")), "b_id")
-    left = left.checkpoint() if _can_checkpoint(left) else left.persist()
-    done = None
-    for _ in range(rounds):
-        wish = left.groupBy("b_id", "b_seq").agg(F.min_by("a_id", F.struct("a_seq", "a_id")).alias("a_id"))
-        first = left.groupBy("a_id").agg(F.min_by("b_id", F.struct("b_seq", "b_id")).alias("b_id"))
-        fixed = wish.join(first, ["a_id", "b_id"]).select("a_id", "b_id")
-        fixed = fixed.checkpoint() if _can_checkpoint(left) else fixed.persist()
-        if fixed.isEmpty():
-            break
-        done = fixed if done is None else done.unionByName(fixed)
-        left = left.join(fixed.select("a_id"), "a_id", "left_anti").join(fixed.select("b_id"), "b_id", "left_anti")
-        left = left.checkpoint() if _can_checkpoint(left) else left.persist()
-    return done if done is not None else pairs.limit(0)
+    ids = pairs.select("a_id", "b_id").distinct()
+    left = ids.join(a.select(F.col("id").alias("a_id"), F.col("seq").alias("a_seq")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("seq").alias("b_seq")), "b_id")
+    left = _settled(left.select("b_id", "a_id", F.struct("a_seq", "a_id").alias("a_at"), F.struct("b_seq", "b_id").alias("b_at")))
+    done = left.select("a_id", "b_id").limit(0)
+    while not left.isEmpty():
+        sums = [F.sum(F.xxhash64(F.lit(k), "a_id").cast("decimal(38,0)")) for k in (0, 1)]
+        named = left.groupBy("b_id", "b_at").agg(F.struct(F.count("*"), *sums).alias("class"))
+        ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("class").orderBy("b_at")))
+        wanted = left.join(named.select("b_id", "class"), "b_id").groupBy("a_id", "a_at", "class").agg(F.min("b_at").alias("first"))
+        # the earliest b of another class: the earliest of all, or the second class's where that is our own
+        others = Window.partitionBy("a_id").orderBy("first")
+        wanted = wanted.withColumns({"nth": F.row_number().over(others), "least": F.min("first").over(Window.partitionBy("a_id")), "second": F.lead("first").over(others)})
+        wanted = wanted.withColumn("rival", F.when(F.col("nth") == 1, F.col("second")).otherwise(F.col("least")))
+        order = Window.partitionBy("class").orderBy("a_at")
+        meant = wanted.withColumns({"rank": F.row_number().over(order), "rival": F.min("rival").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+        fixed = ranked.join(meant.select("class", "rank", "a_id", "rival"), ["class", "rank"]).where("rival is null or b_at < rival")
+        fixed = _settled(fixed.select("a_id", "b_id"))
+        done = done.unionByName(fixed)
+        left = _settled(left.join(fixed.select("a_id"), "a_id", "left_anti").join(fixed.select("b_id"), "b_id", "left_anti"))
+    return done
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows without their lineage, which would grow with the rounds."""
+    return df.checkpoint() if _can_checkpoint(df) else df.localCheckpoint()
 
 
 def _can_checkpoint(df: DataFrame) -> bool:

@@ -32,6 +32,25 @@ def test_greedy_matching_equals_one_by_one(spark):
     assert got == want
 
 
+def test_greedy_matching_of_many_equal_names(spark):
+    random.seed(7)
+    pairs = {(x, y) for x in range(130) for y in range(120)} | {(200 + x, 200 + y) for x in range(110) for y in range(115)}
+    pairs |= {(random.randrange(260, 400), random.randrange(200, 300)) for _ in range(60)}
+    at_a, at_b = {k: (k * 7) % 401 for k in range(400)}, {k: (k * 11) % 311 for k in range(320)}
+    a = people(spark, [(k, "a", "x", "x", "open", 0.5, None, s) for k, s in at_a.items()])
+    b = people(spark, [(k, "b", "x", "x", "open", 0.5, None, s) for k, s in at_b.items()])
+    got = {(r["a_id"], r["b_id"]) for r in resolve.greedy_pairs(a, b, spark.createDataFrame(sorted(pairs), "a_id long, b_id long")).collect()}
+    free, want = set(at_a), set()
+    for y in sorted(at_b, key=at_b.get):
+        found = [x for x in free if (x, y) in pairs]
+        if found:
+            best = min(found, key=at_a.get)
+            free.discard(best)
+            want.add((best, y))
+    assert len(want) > 200
+    assert got == want
+
+
 def test_exact_dedupe_keeps_the_first_of_equals(spark):
     rows = spark.createDataFrame([("p", "u", 0.5, 1), ("p", "u", 0.7, 2), ("p", "u", 0.7, 3)], "platform string, username string, confidence double, seq long")
     assert resolve.exact_dedupe(rows, ["platform", "username"]).first()["seq"] == 2
