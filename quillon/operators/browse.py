@@ -125,7 +125,7 @@ def fuzzy_search(rows: DataFrame, term: str, keys: dict[str, float] | None = Non
     if not term.strip():
         return rows.withColumn("search_score", F.lit(0.0))
     keys = {k: w for k, w in (keys or KEYS).items() if k in rows.columns}
-    total, pattern = sum(keys.values()), term.strip().lower()[:32]
+    total, pattern = sum(keys.values()), term.strip().lower()
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:

@@ -135,3 +135,10 @@ def test_approximate_score():
     assert browse.approximate_score("smal ring", "small") == pytest.approx(0.2)
     assert browse.approximate_score("zzzz", "small") is None
     assert browse.approximate_score("x" * 90 + "small", "small") is None
+
+
+def test_fuzzy_search_uses_the_whole_term(spark):
+    term = "a rather long name of a small green ring"
+    rows = spark.createDataFrame([(1, term), (2, term[:32] + "qwzxkvbj")], "id long, display_name string")
+    got = {r["id"]: r["search_score"] for r in browse.fuzzy_search(rows, term).collect()}
+    assert got[1] < 1e-3 < got[2]
