@@ -5,8 +5,8 @@ contracted once.  Pieces that are tokens themselves need no merging.  For the
 others a recursive query keeps one row per open piece: its tokens are unnested
 into token-position rows, adjacent rows join the merge table, the smallest
 (rank, position) of each piece is contracted, and pieces without a mergeable
-pair leave the recursion.  Decoding is an ordered aggregation of token bytes
-over the pieces' ids.
+pair leave the recursion.  Each text is decoded from its own ids, by a lookup
+of token bytes in their order; ``bpe_decode`` is an ordered aggregation of them.
 
 Pieces are worked off in batches of bounded size, so memory does not grow with
 the partition; a batch of rows is bounded by bytes, a long text is a batch of
@@ -75,6 +75,9 @@ class Encoder:
         tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
+        by_id: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
+        for t, r in self.ranks.items():
+            by_id[r] = t
         for name, rows in (("tokens", tokens), ("merges", merges)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -82,11 +85,11 @@ class Encoder:
         #: piece -> its ids as decimal text, of this and the last generation
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        #: pieces whose ids decode to other bytes than their own (a faithful vocabulary has none)
-        self.unfaithful: dict[str, bytes] = {}
+        #: bytes of every token, by id
+        self.bytes = pa.array(by_id, pa.binary())
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode and decode pieces that are not known yet."""
+        """Encode pieces that are not known yet."""
         for at in range(0, len(pieces), PIECES):
             part = pieces[at : at + PIECES]
             raw = [p.encode() for p in part]
@@ -100,10 +103,8 @@ class Encoder:
             single = pa.table({"w": pa.array(done, pa.int32()), "ids": pa.array([starts[k] for k in done], kind)})
             self.db.register("encoded", pa.concat_tables([merged.cast(single.schema), single]))
             out = self.db.sql(EXPAND).to_arrow_table()
-            for k, hexed, said in zip(out["w"].to_pylist(), out["hex"].to_pylist(), out["said"].to_pylist(), strict=True):
+            for k, said in zip(out["w"].to_pylist(), out["said"].to_pylist(), strict=True):
                 self.known[part[k]] = said
-                if bytes.fromhex(hexed) != raw[k]:
-                    self.unfaithful[part[k]] = bytes.fromhex(hexed)
             self.db.unregister("pieces")
             self.db.unregister("encoded")
 
@@ -117,11 +118,15 @@ class Encoder:
             self.known[p] = self.older[p]
         self.learn(list(new.difference(self.older)))
         for pieces in cut:
-            if self.unfaithful and not self.unfaithful.keys().isdisjoint(pieces):
-                raw = b"".join([self.unfaithful.get(p, p.encode()) for p in pieces])
-            else:
-                raw = "".join(pieces).encode()
-            yield ",".join(map(self.known.__getitem__, pieces)), raw
+            said = ",".join(map(self.known.__getitem__, pieces))
+            yield said, self.decode(said)
+
+    def decode(self, said: str) -> bytes:
+        """The bytes of the tokens that a text's own ids name, in their order."""
+        if not said:
+            return b""
+        _, offsets, data = self.bytes.take(pa.array(np.fromstring(said, dtype=np.int32, sep=","))).buffers()
+        return data.to_pybytes()[: int(np.frombuffer(offsets, np.int32)[count_ids(said)])]
 
 
 def count_ids(said: str) -> int:

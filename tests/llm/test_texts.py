@@ -343,6 +343,14 @@ def test_random_access(spark, folder, docs):
     assert file.document(1).tolist() == [*Tokenizer.from_file(path).encode(docs[name]["text"], add_special_tokens=False).ids, 1]
 
 
+def test_bpe_decodes_each_text_from_its_own_ids():
+    encoder = bpe.Encoder(*queries.byte_bpe())
+    text = "Ein kleiner Ring, größer als fünf."
+    assert [raw for _, raw in encoder.encode([text, None, ""])] == [text.encode(), b"", b""]
+    encoder.known[" kleiner"], encoder.known[" Ring"] = encoder.known[" Ring"], encoder.known[" kleiner"]
+    assert [raw for _, raw in encoder.encode([text])] == ["Ein Ring kleiner, größer als fünf.".encode()]
+
+
 # ---------------------------------------------------------------- toxicity
 
 
@@ -365,6 +373,19 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert scores[0] == scores[1]
 
 
+def test_toxicity_lexicon_is_not_crowded_out(spark):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common, toxic = [word(9) for _ in range(600)], ["q" + word(7) for _ in range(30)]
+    rows = []
+    for i in range(360):
+        words = rng.sample(common, 150) + [word(6) for _ in range(300)] + (rng.sample(toxic, 4) if i % 3 == 0 else [])
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).lexicon
+    assert sum(w in lexicon for w in toxic) >= 28
+
+
 def test_isotonic_is_monotone_and_exact():
     x, y = isotonic_case = toxicity.isotonic(np.array([1, 2, 2, 3, 4.0]), np.array([0, 1, 1, 0, 1.0]))
     assert len(isotonic_case) == 2
@@ -380,16 +401,3 @@ def test_toxicity_on_awkward_rows(spark, awkward, empty):  # noqa: F811
     assert toxicity.score(awkward, model).count() == len(AWKWARD)
     assert toxicity.score(empty, model).count() == 0
     assert toxicity.drop_toxic(awkward, model).columns == awkward.columns
-def test_toxicity_lexicon_is_not_crowded_out(spark):
-    rng = random.Random(2)
-    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
-    common, toxic = [word(9) for _ in range(600)], ["q" + word(7) for _ in range(30)]
-    rows = []
-    for i in range(360):
-        words = rng.sample(common, 150) + [word(6) for _ in range(300)] + (rng.sample(toxic, 4) if i % 3 == 0 else [])
-        rows.append((i, " ".join(words), int(i % 3 == 0)))
-    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    lexicon = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).lexicon
-    assert sum(w in lexicon for w in toxic) >= 28
-
-
