@@ -6,15 +6,16 @@ the distribution at a uniform number hashed from (seed, doc_id), is exploded by
 the count and dealt out by a second hash, which makes a global shuffle.
 
 Large means are sums of independent means of at most ``STEP``, each with a hash
-of its own, so the inversion never underflows.  Only one row per source is
+of its own (drawn once), so the inversion never underflows.  Only one row per source is
 aggregated (partial sums first); the join with the rates is broadcast while
 there are at most ``BROADCAST_SOURCES`` sources and salted beyond.
 
 Edge cases: a null source is a source of its own (''); a null text weighs one
 byte; a null id hashes as ''; repeated rows draw the same count; sources with a
 zero or missing weight vanish, by request; an empty table gives an empty result.
-Columns of the input are kept, whatever their names; the added ones begin
-with mix_ (an input column of such a name is replaced).
+Columns of the input are kept, whatever their names; the added ones are
+mix_copies, mix_copy and mix_key, with underscores behind a name that the input
+has already.
 """
 
 from __future__ import annotations
@@ -48,10 +49,8 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", w
     else:
         known = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map(F.lit(""), F.lit(0.0))
         weighed = by.withColumn("weight", F.coalesce(F.try_element_at(known, F.col("mix_source")).cast("double"), F.lit(0.0)))
-    # sums of doubles in the order of the names, so that they are the same everywhere
-    sums = weighed.agg(F.sort_array(F.collect_list(F.struct("mix_source", "weight", "bytes"))).alias("all")).select(
-        F.aggregate("all", F.lit(0.0), lambda a, x: a + x["weight"]).alias("weights"), F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["bytes"]).alias("total")
-    )
+    # decimal sums are the same in any order, so no source has to meet all others in one task
+    sums = weighed.agg(F.sum(F.col("weight").cast("decimal(28,10)")).cast("double").alias("weights"), F.sum("bytes").alias("total"))
     total = F.lit(total_bytes).cast("double") if total_bytes is not None else F.col("total").cast("double")
     rate = F.col("weight") / F.col("weights") * total / F.col("bytes")
     mean = F.col("rate") / F.col("steps")
@@ -78,23 +77,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     """
     from .shared import materialise
 
-    docs = docs.drop("mix_copy", "mix_copies", "mix_key", "mix_source", "mix_salt", "mix_rate", "mix_steps", "mix_cdf")
     table = materialise(rates(docs, source_col, text_col, weights, total_bytes), "mix-rates")
-    keyed = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    # the input's row is one column, so whatever its columns are called they meet none of these
+    keyed = docs.select(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"), F.col(id_col).alias("mix_id"), F.xxhash64(id_col, text_col).alias("mix_hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"))
     if table.count() <= BROADCAST_SOURCES:
         joined = keyed.join(F.broadcast(table), "mix_source")
     else:
         salted = table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("mix_salt", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"]).drop("mix_salt")
-    draw = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_steps")),
-        F.lit(0),
-        lambda a, k: a + F.size(F.filter("mix_cdf", lambda c: c <= uniform(str(seed), F.col(id_col), k))),
-    )
-    copies = joined.withColumn("mix_copies", draw).drop("mix_cdf", "mix_rate", "mix_steps", "mix_source").where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-    text = F.concat_ws(":", F.lit(f"{seed}:shuffle"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string"))
-    keyed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key", id_col, "mix_copy")
+        joined = keyed.withColumn("mix_salt", F.pmod(F.col("mix_hash"), F.lit(SALTS)).cast("int")).join(salted, ["mix_source", "mix_salt"])
+    # a one-element array binds the drawn number, which all terms of the distribution are compared with
+    below = lambda k: F.transform(F.array(uniform(str(seed), F.col("mix_id"), k)), lambda u: F.size(F.filter("mix_cdf", lambda c: c <= u)))[0]
+    draw = F.aggregate(F.sequence(F.lit(1), F.col("mix_steps")), F.lit(0), lambda a, k: a + below(k))
+    drawn = joined.select("mix_id", "mix_row", draw.alias("mix_copies")).where("mix_copies > 0")
+    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    text = F.concat_ws(":", F.lit(f"{seed}:shuffle"), F.coalesce(F.col("mix_id").cast("string"), F.lit("")), F.col("mix_copy").cast("string"))
+    ordered = copies.withColumn("mix_key", F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")).repartition("mix_key").sortWithinPartitions("mix_key", "mix_id", "mix_copy")
+    own = {n: next(x for x in (n + "_" * k for k in range(len(docs.columns) + 1)) if x not in docs.columns) for n in ("mix_copies", "mix_copy", "mix_key")}
+    return ordered.select(*[F.col("mix_row").getField(c).alias(c) for c in docs.columns], *[F.col(n).alias(x) for n, x in own.items()])
 
 
 #: DuckDB, over the view ``documents`` (seed 11, square-root weights).

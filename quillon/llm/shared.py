@@ -194,31 +194,29 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Component of every vertex that has an edge.
 
     ``edges(src long, dst long)`` -> ``(v long, component long)``, the component
-    being the smallest vertex id reachable.  Each round maps every vertex to the
-    smallest of its closed neighbourhood, jumps the pointers twice, rewrites the
-    edges to those images and drops loops and repeats, so the graph shrinks
-    geometrically; the per-round maps are then composed backwards.  Minima are
-    combined before the shuffle, hot vertices reach only joins that adaptive
-    execution may split, and every round is written to the shared folder.
+    being the smallest vertex id reachable.  Vertices go by a one-to-one hash of
+    their ids, so that long chains in the order of ids are short slopes here.
+    Each round maps every vertex to the smallest of its closed neighbourhood and
+    jumps the pointers twice, rewrites the edges to those images and drops loops
+    and repeats.  A vertex that has a smaller neighbour is no image when its jumps
+    have ended, so the graph shrinks geometrically; the per-round maps are then
+    composed backwards.  Minima are combined before the shuffle.  Hubs are hot
+    keys of joins; each such join stands alone between written tables or
+    shuffles, so that adaptive execution can split it.
     """
     spark = edges.sparkSession
-    links = materialise(
-        edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges"
-    )
+    ends = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    if ends.isEmpty():
+        return spark.createDataFrame([], "v long, component long")
+    a, b = F.xxhash64("src"), F.xxhash64("dst")
+    links = ends.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
     maps: list[DataFrame] = []
     for _ in range(rounds):
-        if links.isEmpty():
-            break
-        near = (
-            links.select(F.col("src").alias("v"), F.col("src").alias("to"))
-            .unionByName(links.select(F.col("dst").alias("v"), F.col("src").alias("to")))
-            .groupBy("v")
-            .agg(F.min("to").alias("to"))
-        )
+        both = links.select(F.col("src").alias("v"), F.col("src").alias("to")).unionByName(links.select(F.col("dst").alias("v"), F.col("src").alias("to")))
+        near = materialise(both.groupBy("v").agg(F.min("to").alias("to")), "parents")
         for _ in range(2):
             hop = near.select(F.col("v").alias("to"), F.col("to").alias("next"))
-            near = near.join(hop, "to", "left").select("v", F.coalesce("next", "to").alias("to"))
-        near = materialise(near, "parents")
+            near = materialise(near.join(hop, "to", "left").select("v", F.coalesce("next", "to").alias("to")), "parents")
         maps.append(near)
         left = near.select(F.col("v").alias("src"), F.col("to").alias("a"))
         right = near.select(F.col("v").alias("dst"), F.col("to").alias("b"))
@@ -226,11 +224,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             links.join(left, "src").join(right, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(),
             "edges",
         )
+        if links.isEmpty():
+            break
     else:
         raise RuntimeError("components did not settle")
-    if not maps:
-        return spark.createDataFrame([], "v long, component long")
-    out = maps[-1].select("v", F.col("to").alias("component"))
+    out = maps[-1]
     for near in reversed(maps[:-1]):
-        out = near.join(out.select(F.col("v").alias("to"), "component"), "to", "left").select("v", F.coalesce("component", "to").alias("component"))
-    return materialise(out, "components")
+        out = materialise(near.join(out.select(F.col("v").alias("to"), F.col("to").alias("root")), "to", "left").select("v", F.coalesce("root", "to").alias("to")), "parents")
+    names = ends.select(F.col("src").alias("id")).unionByName(ends.select(F.col("dst").alias("id"))).distinct().withColumn("v", F.xxhash64("id"))
+    named = materialise(names.join(out, "v").select("id", "to"), "rooted")
+    least = materialise(named.groupBy("to").agg(F.min("id").alias("component")), "roots")
+    return materialise(named.join(least, "to").select(F.col("id").alias("v"), "component"), "components")

@@ -11,7 +11,7 @@ points with t < d <= t + r have to visit the inner side as well.  A leaf is a
 shard: it compares its own points with each other and with its visitors on all
 64 bits, and passes on a spanning forest of its links, never all of them.
 
-The trees are grown on a bounded sample of fingerprints (``SAMPLE``); the sample
+The trees are grown on a bounded sample of fingerprints (``SAMPLE_MOST``); the sample
 decides only where shards begin, not what is found.  Where the triangle bound
 prunes nothing (wide radii) a tree stays a single leaf, which is cut into blocks.
 
@@ -24,30 +24,31 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import claim, connected_components, give_back, local_components, materialise, slices
+from .shared import connected_components, local_components, materialise, slices
 
 SEED = 42
-#: Fingerprints on which the trees are grown, at most.
-SAMPLE = 65_536
+#: Fingerprints on which the trees are grown: these, or a 64th of all up to the second number.
+SAMPLE, SAMPLE_MOST = 65_536, 1 << 20
 #: Points of a leaf that the growth aims at, and of a block that one task compares with another.
 LEAF, CHUNK = 1024, 32_768
-#: Bytes of the shingle sets that one block holds, about.
-BLOCK_BYTES = 24 << 20
+#: 64-bit words of a set's parity sketch.
+SKETCH = 8
 #: Sets on which shingles are counted, and shingles whose counts travel, at most; common shingles
 #: come last in the order of prefixes, which decides where sets meet, not what is found.
 COUNTED, COMMON = 20_000, 1 << 18
 #: Shingles of their prefixes that similar sets share at least.
 SHARED = 3
 #: No tree has more leaves; this bounds what the driver holds.
-MOST_LEAVES = 4096
+MOST_LEAVES = 65_536
 
 
 # ------------------------------------------------------------- fingerprints
@@ -79,22 +80,39 @@ def vote(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the number of shingles in each of 64 * SKETCH buckets, as words.
+
+    A shingle of one set alone changes one bit, so the Hamming distance of two
+    sketches is at most the number of shingles that the sets don't share.
+    """
+    odd = np.bincount(shingles & np.uint32(64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, with_set: bool = False) -> DataFrame:
-    """(doc_id, fp long) per row; ``with_set`` adds the sorted distinct low words
-    of the shingle hashes (uint32, little-endian) for exact set similarity, and
-    lets each shingle vote once."""
-    schema = "doc_id long, fp long" + (", shingles binary" if with_set else "")
+    """(doc_id, fp long) per row; ``with_set`` adds the text's MD5, the sorted
+    distinct low words of the shingle hashes (uint32, little-endian) for set
+    similarity and their sketch, and lets each shingle vote once."""
+    schema = "doc_id long, fp long" + (", digest string, shingles binary" + "".join(f", s{k} long" for k in range(SKETCH)) if with_set else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps, sets = [], []
+            fps, digests, sets, words = [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = np.array(shingle_hashes((text or "").encode(), width), dtype=np.uint64)
                 fps.append(vote(np.unique(h) if with_set else h))
                 if with_set:
-                    sets.append(np.unique(h.astype(np.uint32)).astype("<u4").tobytes())
+                    low = np.unique(h.astype(np.uint32))
+                    digests.append(hashlib.md5((text or "").encode()).hexdigest())
+                    sets.append(low.astype("<u4").tobytes())
+                    words.append(sketch(low))
             columns = [batch.column("doc_id"), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns + ([pa.array(sets, pa.binary())] if with_set else []), ["doc_id", "fp"] + ["shingles"] * with_set)
+            names = ["doc_id", "fp"]
+            if with_set:
+                columns += [pa.array(digests), pa.array(sets, pa.binary()), *[pa.array(np.ascontiguousarray(c)) for c in np.stack(words, axis=1)]]
+                names += ["digest", "shingles", *[f"s{k}" for k in range(SKETCH)]]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -168,9 +186,10 @@ class Tree:
 def grow_forest(distinct: DataFrame, max_bits: int, blocks: int) -> list[Tree]:
     """Trees over ``blocks`` disjoint bit blocks, from a bounded sample of fp."""
     n = distinct.count()
-    share = min(1.0, 1.2 * SAMPLE / max(1, n))
+    most = max(SAMPLE, min(SAMPLE_MOST, n // 64))
+    share = min(1.0, 1.2 * most / max(1, n))
     picked = distinct.select("fp") if share == 1.0 else distinct.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = np.array([r[0] for r in picked.limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in picked.limit(most).collect()], dtype=np.int64).view(np.uint64)
     edges = [64 * k // blocks for k in range(blocks + 1)]
     return [Tree((1 << edges[k + 1]) - (1 << edges[k]), max_bits // blocks, sample, n) for k in range(blocks)]
 
@@ -204,13 +223,6 @@ def cells(rows: DataFrame, block: str, home: str, parts: str, visiting: str) ->
     return rows.withColumn("cell", F.explode(F.when(F.col(home), F.concat(left, right, cross)).otherwise(visits))).drop(block, home, parts, visiting).select("*", "cell.*").drop("cell")
 
 
-def _lookup(counts: dict[int, int], key, default: int):
-    """counts[key] as a column; the driver holds a number for each leaf or band."""
-    if not counts:
-        return F.lit(default)
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in counts.items() for x in kv]), key), F.lit(default))
-
-
 def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -> DataFrame:
     """Spanning links (src, dst) between the distinct fingerprints ``fp``."""
     forest = grow_forest(distinct, max_bits, blocks)
@@ -232,13 +244,10 @@ def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -> DataFrame:
                     )
 
     routed = materialise(distinct.select("fp").mapInArrow(route, "leaf int, fp long, home boolean"), "vp-routed")
-    # at most MOST_LEAVES rows a tree; only leaves of several blocks are kept
-    counts = routed.groupBy("leaf").agg(F.count(F.when(F.col("home"), 1)).alias("n"), F.count(F.when(~F.col("home"), 1)).alias("m"))
-    large = counts.where((F.col("n") > CHUNK) | (F.col("m") > CHUNK)).collect()
-    parts = _lookup({r["leaf"]: -(-r["n"] // CHUNK) for r in large}, F.col("leaf"), 1)
-    visiting = _lookup({r["leaf"]: -(-r["m"] // CHUNK) for r in large}, F.col("leaf"), 1)
-    dealt = routed.withColumns({"parts": parts, "visiting": visiting})
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.greatest(F.lit(1), F.when(F.col("home"), F.col("parts")).otherwise(F.col("visiting")))).cast("int"))
+    # a row for each leaf, of which there are MOST_LEAVES a tree at most
+    counts = routed.groupBy("leaf").agg(*[F.greatest(F.lit(1), F.ceil(F.count(F.when(c, 1)) / F.lit(CHUNK))).cast("int").alias(n) for n, c in (("parts", F.col("home")), ("visiting", ~F.col("home")))])
+    dealt = routed.join(F.broadcast(counts), "leaf")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("parts")).otherwise(F.col("visiting"))).cast("int"))
 
     def compare(group: pa.Table) -> pa.Table:
         fps, first = group.column("fp").to_numpy().view(np.uint64), group.column("first").to_numpy(zero_copy_only=False).astype(bool)
@@ -268,16 +277,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 # ----------------------------------------------- similarity of shingle sets
 
 
-def prefix_pairs(sets: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(src, dst) of the ``n`` rows (v, shingles, component) whose components differ:
-    all pairs whose sets may have the similarity, each once.
+def _prefixes(sets: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(shingle, v, at): the shingles of each of the ``n`` sets' prefixes that
+    another set's prefix has, too; ``at`` is size << 32 | place.
 
     Similar sets of a and b shingles share at least o = similarity * max(a, b), so
     in any common order of shingles the first a - o + SHARED of one and b - o +
-    SHARED of the other have SHARED of them in common (all, if o is less).  The
-    shingles after the last one shared in the prefixes bound what else is shared.
+    SHARED of the other have SHARED of them in common (all, if o is less).
     """
-    least = lambda size: F.ceil(size * F.lit(similarity) - F.lit(1e-6))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "shingles"):
@@ -290,28 +297,59 @@ def prefix_pairs(sets: DataFrame, n: int, similarity: float) -> DataFrame:
     common = counts["shingle"].to_numpy().astype(np.uint32)
     often = counts["n"].to_numpy().astype(np.int64)
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "shingles", 1 << 20):
-            first, sizes = [], []
+            kept, sizes = [], []
             for raw in batch.column("shingles").to_pylist():
                 x = np.frombuffer(raw, dtype="<u4")
                 if len(common):
                     at = np.minimum(np.searchsorted(common, x), len(common) - 1)
                     x = x[np.lexsort((x, np.where(common[at] == x, often[at], 0)))]
-                first.append(x[: len(x) - int(np.ceil(len(x) * similarity - 1e-6)) + SHARED])
+                kept.append(x[: len(x) - int(np.ceil(len(x) * similarity - 1e-6)) + SHARED])
                 sizes.append(len(x))
-            taken = np.array([len(x) for x in first])
+            taken = np.array([len(x) for x in kept])
             if taken.sum():
-                v, component = (np.repeat(batch.column(c).to_numpy(), taken) for c in ("v", "component"))
                 place = np.concatenate([np.arange(k) for k in taken])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int32)), pa.array(v), pa.array(component), pa.array(np.repeat(sizes, taken) << 32 | place)], ["shingle", "v", "component", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int32)), pa.array(np.repeat(batch.column("v").to_numpy(), taken)), pa.array(np.repeat(sizes, taken) << 32 | place)], ["shingle", "v", "at"])
+
+    # most shingles of prefixes are in one set only; they end here, before anything is attached to them
+    rows = sets.select("v", "shingles").mapInArrow(first, "shingle int, v long, at long")
+    return materialise(rows.withColumn("sets", F.count("*").over(Window.partitionBy("shingle"))).where("sets > 1").drop("sets"), "near-prefixes")
+
+
+def may_be_similar(similarity: float) -> Column:
+    """Whether sketches and sizes of rows a and b allow the similarity; it never
+    rules a similar pair out."""
+    a, b = (F.shiftright(f"{x}.at", 32) for x in "ab")
+    apart = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(SKETCH)), F.lit(0))
+    return (F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - F.lit(1e-6)) & (apart <= (a + b) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6))
+
+
+def _named(prefixes: DataFrame, distinct: DataFrame, component: DataFrame) -> DataFrame:
+    """Prefix rows with sketch and component, of shingles that several components have."""
+    points = distinct.select("v", *[f"s{k}" for k in range(SKETCH)]).join(component, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    rows = materialise(prefixes.join(points, "v"), "near-rows")
+    several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
+    return rows.join(several, "shingle", "left_semi")
+
 
-    # size and place in one number, as these rows are most of what is shuffled
-    rows = sets.select("v", "shingles", "component").mapInArrow(prefixes, "shingle int, v long, component long, at long")
+def hub_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): each row with the smallest and the largest of its shingle, where
+    the pair may be similar; as many pairs as rows, however common a shingle is."""
+    ends = rows.groupBy("shingle").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    hubs = ends.select("shingle", F.explode(F.array("low", "high")).alias("v")).join(rows, ["shingle", "v"])
+    met = rows.alias("a").join(hubs.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where("a.component <> b.component").where(may_be_similar(similarity))
+    return met.select(F.least("a.v", "b.v").alias("src"), F.greatest("a.v", "b.v").alias("dst")).distinct()
+
+
+def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): all pairs of different components whose sets may have the
+    similarity, each once.  The shingles after the last one shared in the prefixes
+    bound what else is shared."""
+    least = lambda size: F.ceil(size * F.lit(similarity) - F.lit(1e-6))
     size, place = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
-    met = rows.alias("a").join(rows.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where("a.v < b.v and a.component <> b.component")
+    met = rows.alias("a").join(rows.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where("a.v < b.v and a.component <> b.component").where(may_be_similar(similarity))
     met = met.select(F.col("a.v").alias("src"), F.col("b.v").alias("dst"), size(F.col("a.at")).alias("a"), size(F.col("b.at")).alias("b"), place(F.col("a.at")).alias("i"), place(F.col("b.at")).alias("j"))
-    met = met.where(F.least("a", "b") >= least(F.greatest("a", "b")))
     shared = met.groupBy("src", "dst", "a", "b").agg(F.count("*").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"))
     most = F.col("n") + F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) - 1
     return shared.where((F.col("n") >= F.least(F.lit(SHARED), least(F.greatest("a", "b")))) & (most >= (F.col("a") + F.col("b")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))).select("src", "dst")
@@ -329,78 +367,39 @@ def decide(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(common >= similarity * ((len(a) + len(b)) // 4 - common))
             yield batch.select(["src", "dst"]).filter(pa.array(keep))
 
-    return pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(similar, "src long, dst long")
+    return materialise(pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(similar, "src long, dst long"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 16) -> DataFrame:
-    """(doc_id, n_rows, component_id): classes of documents whose shingle sets
-    have a Jaccard similarity of ``similarity`` or more.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 4, blocks: int = 3) -> DataFrame:
+    """(doc_id, digest, n_rows, component_id, component_digest), a row for each
+    different shingle set: classes of documents whose sets (32 bits of each
+    shingle's hash) have a Jaccard similarity of ``similarity`` or more.
 
-    Pairs of fingerprints within ``max_bits`` join most classes at once; what they
-    miss comes from ``prefix_pairs``, which loses no pair.  All candidates are
-    decided exactly on the shingle sets.  Sets of that similarity differ in size
-    by a factor of 0.8 at most, so fingerprints meet only in their own size band
-    and the next; inside a band the triangle bound prunes nothing at this radius,
-    and the band is compared in blocks.  Pairs already joined are not decided again.
+    A set and a class are named by their smallest id, and among rows of that id by
+    the smallest MD5 of a text.
+
+    Three steps propose pairs, and each pair is decided on the sets before the
+    next step runs: the vantage-point trees, which link fingerprints within
+    ``max_bits`` as everywhere in this module; the smallest and largest set of
+    each prefix shingle with all others that have it; at last all pairs of
+    different classes that share enough of their prefixes and whose sketches
+    allow the similarity.  The last step alone would find every pair; the steps
+    before it make it small, as what they have joined isn't compared again.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, width, with_set=True), "near-prints")
+    words = [f"s{k}" for k in range(SKETCH)]
     distinct = materialise(
-        prints.groupBy("fp", "shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_rows")).withColumn("v", F.monotonically_increasing_id()), "near-distinct"
+        prints.groupBy("fp", "shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"), F.count("*").alias("n_rows"), *[F.first(w).alias(w) for w in words]).withColumn("v", F.monotonically_increasing_id()), "near-distinct"
     )
-    n = F.greatest(F.lit(1), (F.octet_length("shingles") / 4).cast("int"))
-    band = F.floor(F.log(n.cast("double")) / F.lit(-float(np.log(similarity))) + F.lit(1e-9)).cast("int")
-    sized = distinct.select("v", "fp", "shingles", band.alias("band"))
-    bands = sized.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes")).collect()  # a few dozen
-    if not bands:
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_rows long, component_id long")
-    parts = {r["band"]: max(-(-r["n"] // CHUNK), -(-r["bytes"] // BLOCK_BYTES), 1) for r in bands}
-    blocked = sized.withColumn("block", F.pmod(F.xxhash64("fp", "v"), _lookup(parts, F.col("band"), 1)).cast("int"))
-    own = blocked.withColumns({"home": F.lit(True), "parts": _lookup(parts, F.col("band"), 1), "visiting": _lookup(parts, F.col("band") + 1, 0)})
-    visit = blocked.withColumn("band", F.col("band") - 1).withColumns({"home": F.lit(False), "parts": _lookup(parts, F.col("band"), 0), "visiting": F.lit(0)})
-
-    def compare(group: pa.Table) -> pa.Table:
-        claim()
-        give_back()
-        first = group.column("first").to_numpy(zero_copy_only=False).astype(bool)
-        order = np.concatenate((np.nonzero(first)[0], np.nonzero(~first)[0]))
-        fps, v = group.column("fp").to_numpy().view(np.uint64)[order], group.column("v").to_numpy()[order]
-        raw = group.column("shingles").combine_chunks()
-        sets: dict[int, np.ndarray] = {}
-
-        def of(k: int) -> np.ndarray:
-            if k not in sets:
-                if len(sets) > 20_000:
-                    sets.clear()
-                sets[k] = np.frombuffer(raw[int(order[k])].as_py(), dtype="<u4")
-            return sets[k]
-
-        label = np.arange(len(order))
-        n_first = int(first.sum())
-        for i, j in near_pairs_in(fps[:n_first], fps[n_first:], max_bits, group.column("i")[0] == group.column("j")[0]):
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                while label[a] != label[label[a]]:
-                    label[a] = label[label[a]]
-                while label[b] != label[label[b]]:
-                    label[b] = label[label[b]]
-                if label[a] == label[b]:
-                    continue
-                x, y = of(a), of(b)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    continue
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common >= similarity * (len(x) + len(y) - common):
-                    low, high = sorted((int(label[a]), int(label[b])))
-                    label[high] = low
-        while not np.array_equal(label, label[label]):
-            label = label[label]
-        out = np.nonzero(label != np.arange(len(order)))[0]
-        return pa.table({"src": v[out], "dst": v[label[out]]})
-
-    met = cells(own.unionByName(visit), "block", "home", "parts", "visiting")
-    found = materialise(met.groupBy("band", "i", "j").applyInArrow(compare, "src long, dst long"), "near-found")
-    joined = distinct.select("v", "shingles").join(connected_components(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    pairs = prefix_pairs(joined, sum(r["n"] for r in bands), similarity)
-    component = connected_components(found.unionByName(decide(pairs, distinct, similarity)))
-    named = distinct.select("v", "fp", "shingles", "least", "n_rows").join(component, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(least, "component").select("least", "n_rows", "component_id").withColumnRenamed("least", "doc_id")
+    by_print = materialise(distinct.groupBy("fp").agg(F.min("v").alias("v")), "near-by-print")
+    ends = links(by_print, max_bits, blocks).join(by_print.select(F.col("fp").alias("src"), F.col("v").alias("a")), "src").join(by_print.select(F.col("fp").alias("dst"), F.col("v").alias("b")), "dst")
+    same = distinct.select("fp", F.col("v").alias("a")).join(by_print.select("fp", F.col("v").alias("b")), "fp").where("a <> b")
+    close = ends.select("a", "b").unionByName(same.select("a", "b")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = decide(close, distinct, similarity)
+    prefixes = _prefixes(distinct, distinct.count(), similarity)
+    for propose in (hub_pairs, prefix_pairs):
+        rows = materialise(_named(prefixes, distinct, connected_components(found)), "near-open")
+        found = found.unionByName(decide(propose(rows, similarity), distinct, similarity))
+    named = distinct.select("v", "least", "n_rows").join(connected_components(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    first = named.groupBy("component").agg(F.min("least").alias("first"))
+    return named.join(first, "component").select("least.doc_id", "least.digest", "n_rows", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("component_digest"))
