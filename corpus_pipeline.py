@@ -28,11 +28,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies (five-word shingles,
-    similarity 0.8); of repeated rows of an id one stays; null ids all stay."""
+    """Keeps one document of each group of near copies (five-word shingles,
+    similarity 0.8): the smallest id, and if that id has several texts in the
+    group, the one with the smallest MD5; null ids all stay."""
     named = docs.where("doc_id is not null")
-    kept = simhash.near_duplicates(named).select("component_id").distinct().withColumnRenamed("component_id", "doc_id")
-    once = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = simhash.near_duplicates(named)
+    own = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    kept = found.select(F.col("component_id").alias("doc_id"), F.col("component_digest").alias("__digest")).distinct()
+    once = named.withColumn("__digest", own).join(kept, ["doc_id", "__digest"], "left_semi").dropDuplicates(["doc_id", "__digest"])
     return once.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
