@@ -5,7 +5,8 @@ contracted once.  Pieces that are tokens themselves need no merging.  For the
 others a recursive query keeps one row per open piece: its tokens are unnested
 into token-position rows, adjacent rows join the merge table, the smallest
 (rank, position) of each piece is contracted, and pieces without a mergeable
-pair leave the recursion.  Each text is decoded from its own ids, by a lookup
+pair leave the recursion.  Long pieces have a query of their own, which contracts
+all places of a piece's smallest rank in one step.  Each text is decoded from its own ids, by a lookup
 of token bytes in their order; ``bpe_decode`` is an ordered aggregation of them.
 
 Pieces are worked off in batches of bounded size, so memory does not grow with
@@ -34,6 +35,8 @@ from .shared import CACHES, slices
 
 #: Distinct pieces of one recursive query, and of each of the two generations kept between batches.
 PIECES, REMEMBERED = 50_000, 250_000
+#: Bytes from which a piece is a long one, and of the long pieces of one query.
+LONG, LONG_BYTES = 128, 1 << 18
 
 CONTRACT = """
 WITH RECURSIVE state(w, ids, done) AS (
@@ -49,6 +52,33 @@ WITH RECURSIVE state(w, ids, done) AS (
   WHERE NOT s.done)
 SELECT w, ids FROM state WHERE done
 """
+#: Long pieces: in each step the places of a piece's smallest rank are contracted from left to
+#: right, up to the first after which a pair of a smaller rank lies beside the new token.  The
+#: state keeps one row per piece, so a step costs a piece's length, and there are hardly more
+#: steps than ranks that the piece uses.
+CONTRACT_LONG = """
+WITH RECURSIVE state(w, ids, done) USING KEY (w) AS (
+  SELECT w, ids, false FROM pieces
+  UNION
+  (WITH near AS (SELECT w, unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b, generate_subscripts(ids[2:], 1) AS pos FROM state WHERE NOT done),
+   found AS (SELECT near.w, near.pos, m.rank FROM near JOIN merges m ON m.pair = near.a::BIGINT * 4294967296 + near.b),
+   best AS (SELECT w, min(rank) AS r FROM found GROUP BY w),
+   hits AS (SELECT found.w, r, pos, pos - row_number() OVER (PARTITION BY found.w ORDER BY pos) AS run FROM found JOIN best ON best.w = found.w AND found.rank = best.r),
+   taken AS (SELECT w, r, pos, row_number() OVER (PARTITION BY w, run ORDER BY pos) AS k FROM hits),
+   apart AS (SELECT w, r, pos, pos - lag(pos) OVER (PARTITION BY w ORDER BY pos) AS gap FROM taken WHERE k % 2 = 1),
+   sides AS (SELECT p.w, p.r, p.pos, unnest([(CASE WHEN gap = 2 THEN p.r ELSE s.ids[p.pos - 1] END)::BIGINT * 4294967296 + p.r, p.r::BIGINT * 4294967296 + s.ids[p.pos + 2]]) AS pair FROM apart p JOIN state s ON s.w = p.w),
+   stops AS (SELECT d.w, min(d.pos) AS stop FROM sides d JOIN early e ON e.pair = d.pair WHERE e.rank < d.r GROUP BY d.w),
+   chosen AS (SELECT p.w, r, pos FROM apart p LEFT JOIN stops ON stops.w = p.w WHERE stop IS NULL OR pos <= stop),
+   listed AS (SELECT w, any_value(r) AS r, count(*) AS n, list(pos ORDER BY pos) AS cuts FROM chosen GROUP BY w),
+   few AS (SELECT w, r, cuts FROM listed WHERE n <= 16),
+   spread AS (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM state WHERE NOT done AND w IN (SELECT w FROM listed WHERE n > 16)),
+   many AS (SELECT x.w, list(coalesce(c.r, x.id) ORDER BY x.pos) AS ids FROM spread x LEFT JOIN chosen c ON c.w = x.w AND c.pos = x.pos LEFT JOIN chosen d ON d.w = x.w AND d.pos = x.pos - 1 WHERE d.pos IS NULL GROUP BY x.w)
+   SELECT s.w, CASE WHEN m.w IS NOT NULL THEN m.ids WHEN c.w IS NULL THEN s.ids ELSE
+     flatten(list_transform(range(1, len(c.cuts) + 2), lambda k:
+       s.ids[(CASE WHEN k = 1 THEN 1 ELSE c.cuts[k - 1] + 2 END):(CASE WHEN k > len(c.cuts) THEN len(s.ids) ELSE c.cuts[k] - 1 END)] || (CASE WHEN k > len(c.cuts) THEN []::INT[] ELSE [c.r] END))) END, c.w IS NULL AND m.w IS NULL
+   FROM state s LEFT JOIN few c ON c.w = s.w LEFT JOIN many m ON m.w = s.w WHERE NOT s.done))
+SELECT w, ids FROM state
+"""
 EXPAND = """
 SELECT w, string_agg(t.hex, '' ORDER BY pos) AS hex, string_agg(id::VARCHAR, ',' ORDER BY pos) AS said
 FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) x JOIN tokens t USING (id)
@@ -65,20 +95,21 @@ class Encoder:
     """Encodes pieces through an in-process DuckDB that holds the merge table."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        import duckdb
         import regex
 
         self.ranks = load_ranks(path)
         self.cut = regex.compile(pattern).findall
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.db = connect()
         tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
+        first = [(p, r) for p, r in pairs if r < max(p >> 32, p & 0xFFFFFFFF)]  # tokens of smaller rank than one of their parts
+        early = pa.table({"pair": pa.array([p for p, _ in first], pa.int64()), "rank": pa.array([r for _, r in first], pa.int32())})
         by_id: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             by_id[r] = t
-        for name, rows in (("tokens", tokens), ("merges", merges)):
+        for name, rows in (("tokens", tokens), ("merges", merges), ("early", early)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
@@ -97,17 +128,27 @@ class Encoder:
             starts = [[self.byte[b] for b in r] if w is None else [w] for r, w in zip(raw, whole, strict=True)]
             kind = pa.list_(pa.int32())
             todo = [k for k, w in enumerate(whole) if w is None]
-            self.db.register("pieces", pa.table({"w": pa.array(todo, pa.int32()), "ids": pa.array([starts[k] for k in todo], kind)}))
-            merged = self.db.sql(CONTRACT).to_arrow_table()
+            merged = pa.concat_tables([self._contract(CONTRACT, [k for k in todo if len(raw[k]) < LONG], starts), *[self._contract(CONTRACT_LONG, some, starts) for some in _bundles([k for k in todo if len(raw[k]) >= LONG], raw)]])
             done = [k for k, w in enumerate(whole) if w is not None]
             single = pa.table({"w": pa.array(done, pa.int32()), "ids": pa.array([starts[k] for k in done], kind)})
-            self.db.register("encoded", pa.concat_tables([merged.cast(single.schema), single]))
+            self.db.register("encoded", pa.concat_tables([merged, single]))
             out = self.db.sql(EXPAND).to_arrow_table()
             for k, said in zip(out["w"].to_pylist(), out["said"].to_pylist(), strict=True):
                 self.known[part[k]] = said
-            self.db.unregister("pieces")
             self.db.unregister("encoded")
 
+    def _contract(self, query: str, todo: list[int], starts: list[list[int]]) -> pa.Table:
+        """(w, ids) of the pieces in ``todo``, by the recursive query."""
+        schema = pa.schema([("w", pa.int32()), ("ids", pa.list_(pa.int32()))])
+        given = pa.table({"w": pa.array(todo, pa.int32()), "ids": pa.array([starts[k] for k in todo], pa.list_(pa.int32()))}, schema)
+        if not todo:
+            return given
+        self.db.register("pieces", given)
+        try:
+            return self.db.sql(query).to_arrow_table().cast(schema)
+        finally:
+            self.db.unregister("pieces")
+
     def encode(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
         """(decimal ids joined by commas, bytes that the ids decode to) of each text."""
         if len(self.known) > REMEMBERED:
@@ -129,6 +170,26 @@ class Encoder:
         return data.to_pybytes()[: int(np.frombuffer(offsets, np.int32)[count_ids(said)])]
 
 
+def connect():
+    """A database in memory that never writes: what doesn't fit is an error, not a file beside the worker."""
+    import duckdb
+
+    return duckdb.connect(config={"threads": 1, "memory_limit": "800MB", "temp_directory": ""})
+
+
+def _bundles(places: list[int], raw: list[bytes]) -> Iterator[list[int]]:
+    """The places in lists of about ``LONG_BYTES`` bytes."""
+    some, size = [], 0
+    for k in places:
+        if some and size + len(raw[k]) > LONG_BYTES:
+            yield some
+            some, size = [], 0
+        some.append(k)
+        size += len(raw[k])
+    if some:
+        yield some
+
+
 def count_ids(said: str) -> int:
     return said.count(",") + 1 if said else 0
 
@@ -182,9 +243,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", carry:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
-
-        db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        db = connect()
         ranks = load_ranks(path)
         db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         for batch in batches:

@@ -9,10 +9,12 @@ the bucket holds one row.  All nodes of a level share each pass; the driver only
 sees ``nodes x BUCKETS`` sums, whatever the input.
 
 Edge cases: a null text has size 1 and CRC 0; a null id orders before all
-others; null metadata is the value -1; equal texts stay neighbours in the order
-(the CRC comes second), so at most the group on a boundary is divided; identical
-rows are told apart by the row number of the written metadata table; an empty
-table gives an empty result.  Extra columns are ignored.
+others; null metadata is the value -1; equal texts (size, CRC-32 and XXH64) take the
+smallest metadata of their group, so they are one point and stay in one shard, but
+for a group of more than ``WHOLE`` of a leaf's bytes that lies on a boundary, which is
+divided so that sizes stay near equal; identical rows are told apart by the row number of
+the written metadata table; an empty table gives an empty result.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,18 +25,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, tidy
 
 #: Buckets of one histogram pass and node.
 BUCKETS = 1024
 #: Nodes that are looked up in a literal instead of a table.
 LITERAL_NODES = 64
+#: Share of a leaf's bytes up to which a group of equal texts isn't divided.
+WHOLE = 0.01
 #: Rows of a shard that are numbered in one task.
 SLOT_ROWS = 4096
 
 
 def metadata(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> DataFrame:
-    """Compact rows (doc_id, size, text_crc32, d0..) with a stable row number."""
+    """Compact rows (doc_id, size, text_crc32, d0..) with a stable row number;
+    equal texts have the same metadata."""
     kinds = dict(docs.dtypes)
 
     def code(name: str) -> Column:
@@ -44,16 +49,23 @@ def metadata(docs: DataFrame, id_col: str, text_col: str, dims: list[str]) -> Da
         return F.coalesce(F.crc32(c.cast("string").cast("binary")), F.lit(-1))
 
     text = F.col(text_col).cast("binary")
-    return materialise(
+    own = materialise(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+            F.xxhash64(text).alias("hash"),
             *[code(d).alias(f"d{k}") for k, d in enumerate(dims)],
             F.monotonically_increasing_id().alias("rid"),
         ),
-        "kd-meta",
+        "kd-own",
     )
+    group, dim = ["size", "text_crc32", "hash"], [f"d{k}" for k in range(len(dims))]
+    # only groups whose metadata differ have to tell their rows; sums are partial before the shuffle
+    told = own.groupBy(*group).agg(*[F.min(d).alias(f"g{d}") for d in dim], *[F.max(d).alias(f"h{d}") for d in dim])
+    told = told.where(" or ".join(["false", *[f"g{d} < h{d}" for d in dim]])).drop(*[f"h{d}" for d in dim])
+    joined = own.join(told, group, "left").select("doc_id", "size", "text_crc32", *[F.coalesce(f"g{d}", d).alias(d) for d in dim], "rid")
+    return materialise(joined, "kd-meta")
 
 
 def _told(rows: DataFrame, nodes: list[dict], schema: str) -> DataFrame:
@@ -70,8 +82,10 @@ def _told(rows: DataFrame, nodes: list[dict], schema: str) -> DataFrame:
     return rows.join(F.broadcast(told), "node")
 
 
-def _split_level(rows: DataFrame, leaves: list[int], n_dims: int, scale: list[float]) -> tuple[DataFrame, list[int]]:
-    """Split every node that still stands for several leaves; returns rows with their new nodes."""
+def _split_level(rows: DataFrame, leaves: list[int], n_dims: int, scale: list[float], whole: float) -> tuple[DataFrame, list[int]]:
+    """Split every node that still stands for several leaves; returns rows with their new nodes.
+
+    Rows with the crossing metadata and CRC go to one side if they hold ``whole`` bytes at most."""
     spans = [f(f"d{k}").alias(f"{n}{k}") for k in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]
     stats = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *spans).collect()}
     split = [n for n in range(len(leaves)) if n in stats and leaves[n] > 1]
@@ -116,7 +130,7 @@ def _split_level(rows: DataFrame, leaves: list[int], n_dims: int, scale: list[fl
                 if low_key == high_key:
                     pinned[n].append(low_key)
                     seeking.discard(n)
-                    if count == 1:
+                    if count == 1 or (part == 1 and w <= whole):
                         open_.discard(n)
     # the crossing row itself goes to the side that it brings nearer to the target
     told = [{"node": n, "pinned": len(pinned[n]), **pins(n)} for n in split]
@@ -152,23 +166,25 @@ def kd_shards(
     Give ``shards`` or the ``target_bytes`` of a leaf.  Returns doc_id, size,
     text_crc32, shard (0 .. leaves - 1) and slot (0 .. rows of the shard - 1).
     """
-    n_dims = len(dims)
-    rows = metadata(docs, id_col, text_col, list(dims)).withColumn("node", F.lit(0))
-    total = rows.agg(F.sum("size").alias("w"), F.count("*").alias("n"), *[(F.max(f"d{k}") - F.min(f"d{k}")).alias(f"s{k}") for k in range(n_dims)]).first()
-    if shards is None:
-        shards = max(1, math.ceil((total["w"] or 0) / target_bytes)) if target_bytes else 1
-    leaves = [shards]
-    scale = [float(total[f"s{k}"] or 0) or 1.0 for k in range(n_dims)]
-    while max(leaves) > 1:
-        rows, leaves = _split_level(rows, leaves, n_dims, scale)
-    # gapless slots: number the rows inside (shard, bucket), then add the rows of the buckets before
-    buckets = max(1, math.ceil(total["n"] / (shards * SLOT_ROWS)))
-    rows = rows.select("doc_id", "size", "text_crc32", "rid", F.col("node").alias("shard"), F.pmod(F.xxhash64("doc_id", "rid"), F.lit(buckets)).alias("bucket"))
-    before = (
-        rows.groupBy("shard", "bucket")
-        .agg(F.count("*").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .drop("n")
-    )
-    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "rid")) - 1
-    return rows.withColumn("inside", inside).join(before, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
+    with tidy(docs.sparkSession):
+        n_dims = len(dims)
+        rows = metadata(docs, id_col, text_col, list(dims)).withColumn("node", F.lit(0))
+        total = rows.agg(F.sum("size").alias("w"), F.count("*").alias("n"), *[(F.max(f"d{k}") - F.min(f"d{k}")).alias(f"s{k}") for k in range(n_dims)]).first()
+        if shards is None:
+            shards = max(1, math.ceil((total["w"] or 0) / target_bytes)) if target_bytes else 1
+        leaves = [shards]
+        scale = [float(total[f"s{k}"] or 0) or 1.0 for k in range(n_dims)]
+        while max(leaves) > 1:
+            rows, leaves = _split_level(rows, leaves, n_dims, scale, WHOLE * (total["w"] or 0) / shards)
+        # gapless slots: number the rows inside (shard, bucket), then add the rows of the buckets before
+        buckets = max(1, math.ceil(total["n"] / (shards * SLOT_ROWS)))
+        rows = rows.select("doc_id", "size", "text_crc32", "rid", F.col("node").alias("shard"), F.pmod(F.xxhash64("doc_id", "rid"), F.lit(buckets)).alias("bucket"))
+        before = (
+            rows.groupBy("shard", "bucket")
+            .agg(F.count("*").alias("n"))
+            .withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .drop("n")
+        )
+        inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "rid")) - 1
+        out = rows.withColumn("inside", inside).join(before, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"))
+        return materialise(out, "kd-shards", keep=True)

@@ -6,8 +6,9 @@ labels them, and a text is kept if the words of its content lines are at least
 ``CONTENT_SHARE`` of all.  Counts that rule a text out at once (too few words,
 too many repeated five-word windows) are taken over the whole text.
 
-The field is trained in numpy on a bounded sample of texts with a quality label
-(``MOST_LABELS``).  Such labels are of texts, not lines: all lines of good texts
+The field is trained in numpy, in one executor task, on a bounded sample of texts
+with a quality label (``MOST_LABELS`` ids, one text each, and whole texts in the order
+of a hash up to ``MOST_LINES`` lines).  Such labels are of texts, not lines: all lines of good texts
 are content; in bad texts a line is boilerplate if a logistic regression over
 line features finds it so, else content.  These line labels train the field by
 maximum likelihood (forward-backward over padded batches, Adam).
@@ -20,6 +21,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import bytes_of, encode_dictionary, plain, slices, split_words, sums_between
 
-MOST_LABELS = 8_000
+MOST_LABELS, MOST_LINES = 8_000, 1_000_000
 CONTENT_SHARE = 0.5
 WINDOW = 5
 # Symbols that count as noise.
@@ -240,17 +242,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             got = Lines(batch.column("text"))
             x, full = got.features().astype(np.float32), got.line_words > 0
             parts = [x[a:b][full[a:b]].tobytes() for a, b in zip(got.of_doc[:-1], got.of_doc[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(parts, pa.binary())], ["quality", "x"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # at most MOST_LABELS rows
-    table = rows.select("quality", "text").mapInArrow(lines, "quality int, x binary").toArrow()
-    parts = [np.frombuffer(p, np.float32).reshape(-1, len(FEATURES)) for p in table["x"].to_pylist()]
-    bad = table["quality"].to_numpy() == 0
-    keep = [k for k, p in enumerate(parts) if len(p)]
-    if not len({bool(bad[k]) for k in keep}) == 2:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(parts, pa.binary())], ["doc_id", "quality", "x"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    # an id may be repeated: its smallest text is learned from, so there are ``most`` texts at most
+    once = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, bad, n = [], [], 0
+        for batch in batches:
+            for q, raw in zip(batch.column("quality").to_pylist(), batch.column("x").to_pylist(), strict=True):
+                x = np.frombuffer(raw, np.float32).reshape(-1, len(FEATURES))
+                if len(x) and (n + len(x) <= MOST_LINES or not parts):
+                    parts.append(x)
+                    bad.append(q == 0)
+                    n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_lines(parts, np.array(bad)))], pa.binary())], ["field"])
+
+    lined = once.select("doc_id", "quality", "text").mapInArrow(lines, "doc_id long, quality int, x binary")
+    row = lined.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("quality", "x").mapInArrow(fit, "field binary").first()
+    return pickle.loads(row["field"]) if row else Field()
+
+
+def fit_lines(parts: list[np.ndarray], bad: np.ndarray) -> Field:
+    """The field of texts' line features, and which texts are bad."""
+    if len(set(bad.tolist())) < 2:
         return Field()
-    parts, bad = [parts[k].astype(np.float64) for k in keep], bad[keep]
-    x, size = np.concatenate(parts), np.array([len(p) for p in parts])
+    x, size = np.concatenate(parts).astype(np.float64), np.array([len(p) for p in parts])
     offsets, of_bad = np.concatenate(([0], np.cumsum(size))), np.repeat(bad, size)
     first = logistic(x, of_bad.astype(np.float64))
     y = (of_bad & (x @ first > 0)).astype(np.int64)

@@ -6,12 +6,16 @@ correction factor is f = <o', o>.  For a unit vector q, <o', q> / f estimates
 <o, q> without bias.  Its error is bounded by the angle between o' and o: a pair
 with cosine of at least t has <o', q> >= cos(acos f + acos t), always.  With
 ``epsilon`` a confidence bound replaces that certain one (the error then is at
-most epsilon standard deviations).  Pairs above the bound, and only those, are
-recomputed in double precision; so by default no link is lost.
+most epsilon standard deviations).  Pairs above the bound are compared by the
+rotated vectors in 16-bit steps, whose stored error bounds that cosine from both
+sides, and those pairs whose bounds hold the threshold between them, and only those,
+are recomputed in double precision from the vectors; so by default no link is lost.
 
-The distinct vectors are dealt into G groups; the task of cell (a, b), a <= b,
-compares the two groups in blocks.  Every pair meets in one task.  Pairs are
-never emitted: a task returns link counts and a spanning forest.
+The distinct vectors are dealt into G groups, each written once to the shared
+folder; the task of cell (a, b), a <= b, reads two of them and compares them in
+blocks.  Every pair meets in one task, and no vector is shuffled for it, however
+many groups there are.  A task returns link counts, a spanning forest and the few
+undecided pairs, never the others.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different length are not compared;
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, local_components, materialise
+from .shared import connected_components, local_components, materialise, scratch, tidy
 
 BLOCK = 2048
 #: Rows of a group, at least and at most; between them the number of groups stays at 128.
@@ -59,7 +63,11 @@ def lower_cut(factor: np.ndarray, threshold: float, dim: int, epsilon: float | N
 
 
 def codes(points: DataFrame, seed: int) -> DataFrame:
-    """(v, weight, dim, vec, code, factor) of (v, weight, vec)."""
+    """(v, weight, dim, code, turned, scale, error, factor) of (v, weight, vec).
+
+    ``turned`` is the rotated unit vector in 16-bit steps of ``scale``; ``error`` bounds
+    how far that is from it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,72 +75,115 @@ def codes(points: DataFrame, seed: int) -> DataFrame:
             size = np.diff(np.asarray(vec.offsets))
             flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             at = np.concatenate(([0], np.cumsum(size)))
-            code, factor = np.empty(len(size), object), np.empty(len(size))
+            code, steps, numbers = np.empty(len(size), object), np.empty(len(size), object), np.empty((3, len(size)))
             for dim in np.unique(size):
                 rows = np.nonzero(size == dim)[0]
-                _, bits, f = encode(flat[at[rows][:, None] + np.arange(dim)], seed)
-                factor[rows] = f
-                for row, b in zip(rows, bits, strict=True):
-                    code[row] = b.tobytes()
+                unit, bits, factor = encode(flat[at[rows][:, None] + np.arange(dim)], seed)
+                turned = unit @ rotation(dim, seed)
+                scale = np.abs(turned).max(axis=1) / 32767
+                whole = np.rint(turned / scale[:, None]).astype("<i2")
+                numbers[:, rows] = scale, np.linalg.norm(turned - whole * scale[:, None], axis=1) + 1e-12, factor
+                for row, b, w in zip(rows, bits, whole, strict=True):
+                    code[row], steps[row] = b.tobytes(), w.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("v"), batch.column("weight"), pa.array(size.astype(np.int32)), vec, pa.array(code.tolist(), pa.binary()), pa.array(factor)],
-                ["v", "weight", "dim", "vec", "code", "factor"],
+                [batch.column("v"), batch.column("weight"), pa.array(size.astype(np.int32)), pa.array(code.tolist(), pa.binary()), pa.array(steps.tolist(), pa.binary()), *map(pa.array, numbers)],
+                ["v", "weight", "dim", "code", "turned", "scale", "error", "factor"],
             )
 
-    return points.select("v", "weight", "vec").mapInArrow(run, "v long, weight long, dim int, vec array<double>, code binary, factor double")
+    return points.select("v", "weight", "vec").mapInArrow(run, "v long, weight long, dim int, code binary, turned binary, scale double, error double, factor double")
+
+
+class Block:
+    """One group of coded vectors, read from the shared folder."""
+
+    def __init__(self, uri: str, dim: int) -> None:
+        import pyarrow.fs as fs
+        import pyarrow.parquet as pq
+
+        system, path = fs.FileSystem.from_uri(uri)
+        table = pq.ParquetDataset(path, filesystem=system, partitioning=None).read(use_threads=False)
+        self.v, self.weight, self.scale, self.error, self.factor = (table[c].to_numpy() for c in ("v", "weight", "scale", "error", "factor"))
+        self.bits = np.frombuffer(b"".join(table["code"].to_pylist()), np.uint8).reshape(len(self.v), -1)
+        self.turned = np.frombuffer(b"".join(table["turned"].to_pylist()), "<i2").reshape(len(self.v), dim)
+        self.dim = dim
+
+    def vectors(self, rows: slice | np.ndarray, kind: type = np.float64) -> np.ndarray:
+        return self.turned[rows].astype(kind) * self.scale[rows].astype(kind)[:, None]
+
+    def signs(self, rows: slice) -> np.ndarray:
+        return (np.unpackbits(self.bits[rows], axis=1, count=self.dim).astype(np.float32) * 2 - 1) / math.sqrt(self.dim)
+
+
+def compare(x: Block, y: Block, same: bool, threshold: float, epsilon: float | None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Weights of the linked others and component labels over the rows of x, then y,
+    and the pairs that only exact recomputation can decide."""
+    n, label_at = len(x.v), 0 if same else len(x.v)
+    count, label, unsure = np.zeros(n if same else n + len(y.v), np.int64), np.arange(n if same else n + len(y.v)), []
+    weight = x.weight if same else np.concatenate((x.weight, y.weight))
+    # what the steps of y's vectors leave out moves an estimate by their error at most
+    cut = (lower_cut(x.factor, threshold, x.dim, epsilon) - 1e-5).astype(np.float32)
+    for a in range(0, n, BLOCK):
+        rows = slice(a, a + BLOCK)
+        signs = x.signs(rows)
+        for b in range(a if same else 0, len(y.v), BLOCK):
+            cols = slice(b, b + BLOCK)
+            i, j = np.nonzero(signs @ y.vectors(cols, np.float32).T >= cut[rows][:, None] - y.error[cols].astype(np.float32))
+            if same and a == b:
+                i, j = i[i < j], j[i < j]
+            if not len(i):
+                continue
+            i, j = i + a, j + b
+            cosine = _cosines(x, y, i, j)
+            slack = x.error[i] + y.error[j] + x.error[i] * y.error[j] + 1e-9
+            sure, open_ = cosine - slack >= threshold, np.abs(cosine - threshold) <= slack
+            unsure.append((x.v[i[open_]], y.v[j[open_]]))
+            p, q = i[sure], j[sure] + label_at
+            np.add.at(count, p, weight[q])
+            np.add.at(count, q, weight[p])
+            local_components(label, p, q)
+    return count, label, unsure
+
+
+def _cosines(x: Block, y: Block, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the stepped vectors: dense where most rows and columns occur, else pair by pair."""
+    ri, cj = np.unique(i), np.unique(j)
+    if len(ri) * len(cj) <= 8 * len(i):
+        return (x.vectors(ri) @ y.vectors(cj).T)[np.searchsorted(ri, i), np.searchsorted(cj, j)]
+    return np.concatenate([np.einsum("ij,ij->i", x.vectors(i[k : k + 65536]), y.vectors(j[k : k + 65536])) for k in range(0, len(i), 65536)])
 
 
 def cosine_links(points: DataFrame, threshold: float = 0.9, seed: int = 42, epsilon: float | None = None) -> DataFrame:
     """(v, links, root): weight of the linked other points per cell, and a forest edge."""
-    coded = materialise(codes(points, seed), "rabitq-codes")
-    n = coded.count()
+    spark = points.sparkSession
+    n = points.count()
     groups = max(-(-n // GROUP_ROWS), min(8, -(-n // 1024)), 1)
     groups = groups if groups <= 128 else max(128, -(-n // GROUP_MOST))
-    own = F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int")
-    dealt = (
-        coded.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        .select("dim", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "v", "weight", "vec", "code", "factor")
-    )
-
-    def compare(cell: pa.Table) -> pa.Table:
-        dim, a = cell.column("dim")[0].as_py(), cell.column("a")[0].as_py()
-        b = cell.column("b")[0].as_py()
-        v, weight, factor = (cell.column(c).to_numpy() for c in ("v", "weight", "factor"))
-        vec = cell.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(v), dim)
-        unit = vec / np.abs(vec).max(axis=1, keepdims=True)
-        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-        turned = (unit @ rotation(dim, seed)).astype(np.float32)
-        bits = np.frombuffer(b"".join(cell.column("code").to_pylist()), np.uint8).reshape(len(v), -1)
-        cut = (lower_cut(factor, threshold, dim, epsilon) - 1e-5).astype(np.float32)
-        own = cell.column("own").to_numpy()
-        left, right = np.nonzero(own == a)[0], np.nonzero(own == b)[0]
-        count, label = np.zeros(len(v), np.int64), np.arange(len(v))
-        for x in range(0, len(left), BLOCK):
-            rows = left[x : x + BLOCK]
-            signs = (np.unpackbits(bits[rows], axis=1, count=dim).astype(np.float32) * 2 - 1) / math.sqrt(dim)
-            for y in range(x if a == b else 0, len(right), BLOCK):
-                cols = right[y : y + BLOCK]
-                i, j = np.nonzero(signs @ turned[cols].T >= cut[rows][:, None])
-                if a == b and x == y:
-                    i, j = i[i < j], j[i < j]
-                if not len(i):
-                    continue
-                # exact cosines: dense where most rows and columns occur, else pair by pair
-                ri, cj = np.unique(i), np.unique(j)
-                if len(ri) * len(cj) <= 8 * len(i):
-                    cosine = (unit[rows[ri]] @ unit[cols[cj]].T)[np.searchsorted(ri, i), np.searchsorted(cj, j)]
-                else:
-                    cosine = np.concatenate([np.einsum("ij,ij->i", unit[rows[i[k : k + 65536]]], unit[cols[j[k : k + 65536]]]) for k in range(0, len(i), 65536)])
-                hit = cosine >= threshold
-                p, q = rows[i[hit]], cols[j[hit]]
-                np.add.at(count, p, weight[q])
-                np.add.at(count, q, weight[p])
-                local_components(label, p, q)
-        out = np.nonzero(count)[0]
-        return pa.table({"v": v[out], "links": count[out], "root": v[label[out]]})
-
-    return dealt.groupBy("dim", "a", "b").applyInArrow(compare, "v long, links long, root long")
+    path = scratch(spark, "rabitq-codes", temporary=True)
+    # each group is a folder of its own, written once; cells read two of them
+    coded = codes(points, seed).withColumn("own", F.pmod(F.xxhash64("v"), F.lit(groups)).cast("int"))
+    coded.repartition(groups, "own").write.partitionBy("dim", "own").parquet(path)
+    held = spark.read.schema("dim int, own int").parquet(path).groupBy("dim").agg(F.collect_set("own").alias("own"))  # group numbers: n / GROUP_MOST of them
+    cells = held.select("dim", F.explode("own").alias("a"), "own").select("dim", "a", F.explode("own").alias("b")).where("a <= b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, a, b in zip(*(batch.column(c).to_pylist() for c in ("dim", "a", "b")), strict=True):
+                x = Block(f"{path}/dim={dim}/own={a}", dim)
+                y = x if a == b else Block(f"{path}/dim={dim}/own={b}", dim)
+                count, label, unsure = compare(x, y, a == b, threshold, epsilon)
+                v = x.v if a == b else np.concatenate((x.v, y.v))
+                out = np.nonzero(count)[0]
+                for of, to, links, pair in [(v[out], v[label[out]], count[out], False), *((p, q, np.zeros(len(p), np.int64), True) for p, q in unsure)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(to), pa.array(links), pa.array(np.full(len(of), pair))], ["v", "root", "links", "pair"])
+
+    most = spark.sparkContext.defaultParallelism * 4
+    found = materialise(cells.repartition(max(1, min(groups * (groups + 1) // 2, max(most, groups)))).mapInArrow(run, "v long, root long, links long, pair boolean"), "rabitq-cells")
+    ends = [points.select(F.col("v").alias(v), F.col("weight").alias(f"{v}_weight"), F.col("vec").alias(f"{v}_vec")) for v in ("v", "root")]
+    pairs = found.where("pair").select("v", "root").join(ends[0], "v").join(ends[1], "root")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = pairs.where(dot("v_vec", "root_vec") >= F.lit(threshold) * F.sqrt(dot("v_vec", "v_vec")) * F.sqrt(dot("root_vec", "root_vec")))
+    exact = near.select("v", F.col("root_weight").alias("links"), "root").unionByName(near.select(F.col("root").alias("v"), F.col("v_weight").alias("links"), F.col("v").alias("root")))
+    return found.where("not pair").select("v", "links", "root").unionByName(exact)
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, seed: int = 42, epsilon: float | None = None) -> DataFrame:
@@ -142,27 +193,29 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     usable = F.coalesce((F.size(vec) > 0) & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, vec).alias("vec"))
     rows = rows.withColumn("digest", F.xxhash64("vec"))
-    points = materialise(
-        rows.where("vec is not null")
-        .groupBy("digest", "vec")
-        .agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
-        .withColumn("v", F.monotonically_increasing_id()),
-        "rabitq-points",
-    )
-    found = materialise(cosine_links(points, threshold, seed, epsilon), "rabitq-links")
-    component = connected_components(found.select(F.col("v").alias("src"), F.col("root").alias("dst")))
-    counts = found.groupBy("v").agg(F.sum("links").alias("links"))
-    named = points.select("digest", "vec", "weight", "least", "v").join(counts, "v", "left").join(component, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    # only points with links or repeats tell a row something new
-    told = named.where("links is not null or weight > 1").join(least, "component")
-    told = told.select("digest", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), "component_id")
-    return rows.join(told, ["digest", "vec"], "left").select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component_id", "vec_id").alias("component_id"),
-        F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"),
-    )
+    with tidy(vectors.sparkSession):
+        points = materialise(
+            rows.where("vec is not null")
+            .groupBy("digest", "vec")
+            .agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
+            .withColumn("v", F.monotonically_increasing_id()),
+            "rabitq-points",
+        )
+        found = materialise(cosine_links(points, threshold, seed, epsilon), "rabitq-links")
+        component = connected_components(found.select(F.col("v").alias("src"), F.col("root").alias("dst")))
+        counts = found.groupBy("v").agg(F.sum("links").alias("links"))
+        named = points.select("digest", "vec", "weight", "least", "v").join(counts, "v", "left").join(component, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        # only points with links or repeats tell a row something new
+        told = named.where("links is not null or weight > 1").join(least, "component")
+        told = told.select("digest", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), "component_id")
+        joined = rows.join(told, ["digest", "vec"], "left").select(
+            "vec_id",
+            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.coalesce("component_id", "vec_id").alias("component_id"),
+            F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept"),
+        )
+        return materialise(joined, "rabitq-rows", keep=True)
 
 
 #: DuckDB, over the view ``embeddings``; every pair, so for small tables.

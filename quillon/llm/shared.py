@@ -35,34 +35,66 @@ def small_batches(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; only Spark opens input paths."""
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is missing (tests, a notebook) a folder of this machine is
-    made once and set as the context's checkpoint directory.
+    Where the setting is missing in a local session (tests, a notebook) a folder of
+    this machine is made once and set as the context's checkpoint directory; on a
+    cluster that is an error, as executors don't see such a folder.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
         base = context.getCheckpointDir()
     return base if "://" in base or base.startswith("file:") else f"file://{base}"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
+#: Paths written inside each open ``tidy`` block.
+_written: list[list[str]] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def scratch(spark: SparkSession, name: str, temporary: bool = False) -> str:
+    """A fresh path in the shared folder; a temporary one goes with the ``tidy`` block."""
+    path = f"{shared_dir(spark).rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
+    if temporary and _written:
+        _written[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what ``materialise`` has written inside, but for what it was told to keep."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        remove(spark, _written.pop())
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
-    and a lost executor costs a re-read, not a recomputation."""
+    and a lost executor costs a re-read, not a recomputation.
+
+    Inside ``tidy`` the table goes when the block ends; with ``keep`` it is left
+    to the block around that one, or to the caller.
+    """
     small_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
+    owner = len(_written) - 1 - keep
+    if owner >= 0:
+        _written[owner].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -205,33 +237,34 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     shuffles, so that adaptive execution can split it.
     """
     spark = edges.sparkSession
-    ends = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
-    if ends.isEmpty():
-        return spark.createDataFrame([], "v long, component long")
-    a, b = F.xxhash64("src"), F.xxhash64("dst")
-    links = ends.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    maps: list[DataFrame] = []
-    for _ in range(rounds):
-        both = links.select(F.col("src").alias("v"), F.col("src").alias("to")).unionByName(links.select(F.col("dst").alias("v"), F.col("src").alias("to")))
-        near = materialise(both.groupBy("v").agg(F.min("to").alias("to")), "parents")
-        for _ in range(2):
-            hop = near.select(F.col("v").alias("to"), F.col("to").alias("next"))
-            near = materialise(near.join(hop, "to", "left").select("v", F.coalesce("next", "to").alias("to")), "parents")
-        maps.append(near)
-        left = near.select(F.col("v").alias("src"), F.col("to").alias("a"))
-        right = near.select(F.col("v").alias("dst"), F.col("to").alias("b"))
-        links = materialise(
-            links.join(left, "src").join(right, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(),
-            "edges",
-        )
-        if links.isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    out = maps[-1]
-    for near in reversed(maps[:-1]):
-        out = materialise(near.join(out.select(F.col("v").alias("to"), F.col("to").alias("root")), "to", "left").select("v", F.coalesce("root", "to").alias("to")), "parents")
-    names = ends.select(F.col("src").alias("id")).unionByName(ends.select(F.col("dst").alias("id"))).distinct().withColumn("v", F.xxhash64("id"))
-    named = materialise(names.join(out, "v").select("id", "to"), "rooted")
-    least = materialise(named.groupBy("to").agg(F.min("id").alias("component")), "roots")
-    return materialise(named.join(least, "to").select(F.col("id").alias("v"), "component"), "components")
+    with tidy(spark):
+        ends = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+        if ends.isEmpty():
+            return spark.createDataFrame([], "v long, component long")
+        a, b = F.xxhash64("src"), F.xxhash64("dst")
+        links = ends.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+        maps: list[DataFrame] = []
+        for _ in range(rounds):
+            both = links.select(F.col("src").alias("v"), F.col("src").alias("to")).unionByName(links.select(F.col("dst").alias("v"), F.col("src").alias("to")))
+            near = materialise(both.groupBy("v").agg(F.min("to").alias("to")), "parents")
+            for _ in range(2):
+                hop = near.select(F.col("v").alias("to"), F.col("to").alias("next"))
+                near = materialise(near.join(hop, "to", "left").select("v", F.coalesce("next", "to").alias("to")), "parents")
+            maps.append(near)
+            left = near.select(F.col("v").alias("src"), F.col("to").alias("a"))
+            right = near.select(F.col("v").alias("dst"), F.col("to").alias("b"))
+            links = materialise(
+                links.join(left, "src").join(right, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(),
+                "edges",
+            )
+            if links.isEmpty():
+                break
+        else:
+            raise RuntimeError("components did not settle")
+        out = maps[-1]
+        for near in reversed(maps[:-1]):
+            out = materialise(near.join(out.select(F.col("v").alias("to"), F.col("to").alias("root")), "to", "left").select("v", F.coalesce("root", "to").alias("to")), "parents")
+        names = ends.select(F.col("src").alias("id")).unionByName(ends.select(F.col("dst").alias("id"))).distinct().withColumn("v", F.xxhash64("id"))
+        named = materialise(names.join(out, "v").select("id", "to"), "rooted")
+        least = materialise(named.groupBy("to").agg(F.min("id").alias("component")), "roots")
+        return materialise(named.join(least, "to").select(F.col("id").alias("v"), "component"), "components", keep=True)

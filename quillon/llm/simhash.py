@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, local_components, materialise, slices
+from .shared import connected_components, local_components, materialise, slices, tidy
 
 SEED = 42
 #: Fingerprints on which the trees are grown: these, or a 64th of all up to the second number.
@@ -45,6 +45,8 @@ SKETCH = 8
 #: Sets on which shingles are counted, and shingles whose counts travel, at most; common shingles
 #: come last in the order of prefixes, which decides where sets meet, not what is found.
 COUNTED, COMMON = 20_000, 1 << 18
+#: Ids that are broadcast, at most.
+BROADCAST_IDS = 1 << 19
 #: Shingles of their prefixes that similar sets share at least.
 SHARED = 3
 #: No tree has more leaves; this bounds what the driver holds.
@@ -265,21 +267,22 @@ def links(distinct: DataFrame, max_bits: int = 4, blocks: int = 3) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4, blocks: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) per row: classes of fingerprints linked at
     ``max_bits`` or fewer differing bits, named by their smallest id."""
-    prints = materialise(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    component = connected_components(links(distinct, max_bits, blocks)).withColumnRenamed("v", "fp")
-    named = distinct.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(least, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    with tidy(docs.sparkSession):
+        prints = materialise(fingerprints(docs, id_col, text_col, width), "simhash")
+        distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+        component = connected_components(links(distinct, max_bits, blocks)).withColumnRenamed("v", "fp")
+        named = distinct.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        by_print = named.join(least, "component").select("fp", "component_id")
+        return materialise(prints.join(by_print, "fp").select("doc_id", "fp", "component_id"), "simhash-groups", keep=True)
 
 
 # ----------------------------------------------- similarity of shingle sets
 
 
 def _prefixes(sets: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(shingle, v, at): the shingles of each of the ``n`` sets' prefixes that
-    another set's prefix has, too; ``at`` is size << 32 | place.
+    """(shingle, v, place): the shingles of each of the ``n`` sets' prefixes that
+    another set's prefix has, too.
 
     Similar sets of a and b shingles share at least o = similarity * max(a, b), so
     in any common order of shingles the first a - o + SHARED of one and b - o +
@@ -299,57 +302,56 @@ def _prefixes(sets: DataFrame, n: int, similarity: float) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "shingles", 1 << 20):
-            kept, sizes = [], []
+            kept = []
             for raw in batch.column("shingles").to_pylist():
                 x = np.frombuffer(raw, dtype="<u4")
                 if len(common):
                     at = np.minimum(np.searchsorted(common, x), len(common) - 1)
                     x = x[np.lexsort((x, np.where(common[at] == x, often[at], 0)))]
                 kept.append(x[: len(x) - int(np.ceil(len(x) * similarity - 1e-6)) + SHARED])
-                sizes.append(len(x))
             taken = np.array([len(x) for x in kept])
             if taken.sum():
-                place = np.concatenate([np.arange(k) for k in taken])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int32)), pa.array(np.repeat(batch.column("v").to_numpy(), taken)), pa.array(np.repeat(sizes, taken) << 32 | place)], ["shingle", "v", "at"])
+                place = np.concatenate([np.arange(k, dtype=np.int32) for k in taken])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int32)), pa.array(np.repeat(batch.column("v").to_numpy(), taken)), pa.array(place)], ["shingle", "v", "place"])
 
     # most shingles of prefixes are in one set only; they end here, before anything is attached to them
-    rows = sets.select("v", "shingles").mapInArrow(first, "shingle int, v long, at long")
+    rows = sets.select("v", "shingles").mapInArrow(first, "shingle int, v long, place int")
     return materialise(rows.withColumn("sets", F.count("*").over(Window.partitionBy("shingle"))).where("sets > 1").drop("sets"), "near-prefixes")
 
 
 def may_be_similar(similarity: float) -> Column:
     """Whether sketches and sizes of rows a and b allow the similarity; it never
     rules a similar pair out."""
-    a, b = (F.shiftright(f"{x}.at", 32) for x in "ab")
     apart = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(SKETCH)), F.lit(0))
-    return (F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - F.lit(1e-6)) & (apart <= (a + b) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6))
+    return (F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * F.lit(similarity) - F.lit(1e-6)) & (apart <= (F.col("a.size") + F.col("b.size")) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6))
 
 
-def _named(prefixes: DataFrame, distinct: DataFrame, component: DataFrame) -> DataFrame:
-    """Prefix rows with sketch and component, of shingles that several components have."""
-    points = distinct.select("v", *[f"s{k}" for k in range(SKETCH)]).join(component, "v", "left").withColumn("component", F.coalesce("component", "v"))
-    rows = materialise(prefixes.join(points, "v"), "near-rows")
+def _open(prefixes: DataFrame, points: DataFrame) -> DataFrame:
+    """Prefix rows with their component, of shingles that several components have."""
+    rows = materialise(prefixes.join(points.select("v", "component"), "v"), "near-rows")
     several = rows.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
-    return rows.join(several, "shingle", "left_semi")
+    return materialise(rows.join(several, "shingle", "left_semi"), "near-open")
 
 
-def hub_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): each row with the smallest and the largest of its shingle, where
-    the pair may be similar; as many pairs as rows, however common a shingle is."""
+def hub_pairs(prefixes: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): each set with the smallest and the largest of its prefix shingles,
+    where the pair may be similar; as many pairs as rows, however common a shingle is."""
+    rows = _open(prefixes, points).select("shingle", "v")
     ends = rows.groupBy("shingle").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    hubs = ends.select("shingle", F.explode(F.array("low", "high")).alias("v")).join(rows, ["shingle", "v"])
-    met = rows.alias("a").join(hubs.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where("a.component <> b.component").where(may_be_similar(similarity))
-    return met.select(F.least("a.v", "b.v").alias("src"), F.greatest("a.v", "b.v").alias("dst")).distinct()
+    met = materialise(rows.join(ends, "shingle").select("v", "low", "high").distinct(), "near-hubs")
+    met = met.select("v", F.col("low").alias("hub")).unionByName(met.select("v", F.col("high").alias("hub"))).where("v <> hub").select(F.least("v", "hub").alias("src"), F.greatest("v", "hub").alias("dst")).distinct()
+    met = met.join(points.alias("a"), F.col("src") == F.col("a.v")).join(points.alias("b"), F.col("dst") == F.col("b.v"))
+    return met.where(F.col("a.component") != F.col("b.component")).where(may_be_similar(similarity)).select("src", "dst")
 
 
-def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+def prefix_pairs(prefixes: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
     """(src, dst): all pairs of different components whose sets may have the
     similarity, each once.  The shingles after the last one shared in the prefixes
     bound what else is shared."""
     least = lambda size: F.ceil(size * F.lit(similarity) - F.lit(1e-6))
-    size, place = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    rows = materialise(_open(prefixes, points).drop("component").join(points, "v"), "near-sketched")
     met = rows.alias("a").join(rows.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where("a.v < b.v and a.component <> b.component").where(may_be_similar(similarity))
-    met = met.select(F.col("a.v").alias("src"), F.col("b.v").alias("dst"), size(F.col("a.at")).alias("a"), size(F.col("b.at")).alias("b"), place(F.col("a.at")).alias("i"), place(F.col("b.at")).alias("j"))
+    met = met.select(F.col("a.v").alias("src"), F.col("b.v").alias("dst"), F.col("a.size").alias("a"), F.col("b.size").alias("b"), F.col("a.place").alias("i"), F.col("b.place").alias("j"))
     shared = met.groupBy("src", "dst", "a", "b").agg(F.count("*").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"))
     most = F.col("n") + F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) - 1
     return shared.where((F.col("n") >= F.least(F.lit(SHARED), least(F.greatest("a", "b")))) & (most >= (F.col("a") + F.col("b")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))).select("src", "dst")
@@ -357,6 +359,10 @@ def prefix_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 def decide(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (src, dst) whose sets in (v, shingles) have the similarity."""
+    pairs = materialise(pairs, "near-pairs")
+    asked = materialise(pairs.select(F.col("src").alias("v")).unionByName(pairs.select(F.col("dst").alias("v"))).distinct(), "near-asked")
+    # only sets that a pair names are shuffled; the ids are broadcast while they are few
+    sets = sets.select("v", "shingles").join(F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked, "v", "left_semi")
     x, y = (sets.select(F.col("v").alias(end), F.col("shingles").alias(name)) for end, name in (("src", "x"), ("dst", "y")))
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,20 +392,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     allow the similarity.  The last step alone would find every pair; the steps
     before it make it small, as what they have joined isn't compared again.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, width, with_set=True), "near-prints")
+    spark = docs.sparkSession
     words = [f"s{k}" for k in range(SKETCH)]
-    distinct = materialise(
-        prints.groupBy("fp", "shingles").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least"), F.count("*").alias("n_rows"), *[F.first(w).alias(w) for w in words]).withColumn("v", F.monotonically_increasing_id()), "near-distinct"
-    )
-    by_print = materialise(distinct.groupBy("fp").agg(F.min("v").alias("v")), "near-by-print")
-    ends = links(by_print, max_bits, blocks).join(by_print.select(F.col("fp").alias("src"), F.col("v").alias("a")), "src").join(by_print.select(F.col("fp").alias("dst"), F.col("v").alias("b")), "dst")
-    same = distinct.select("fp", F.col("v").alias("a")).join(by_print.select("fp", F.col("v").alias("b")), "fp").where("a <> b")
-    close = ends.select("a", "b").unionByName(same.select("a", "b")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    found = decide(close, distinct, similarity)
-    prefixes = _prefixes(distinct, distinct.count(), similarity)
-    for propose in (hub_pairs, prefix_pairs):
-        rows = materialise(_named(prefixes, distinct, connected_components(found)), "near-open")
-        found = found.unionByName(decide(propose(rows, similarity), distinct, similarity))
-    named = distinct.select("v", "least", "n_rows").join(connected_components(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
-    first = named.groupBy("component").agg(F.min("least").alias("first"))
-    return named.join(first, "component").select("least.doc_id", "least.digest", "n_rows", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("component_digest"))
+    with tidy(spark):
+        prints = fingerprints(docs, id_col, text_col, width, with_set=True)
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+        distinct = materialise(
+            prints.groupBy("fp", "shingles").agg(least, F.count("*").alias("n_rows"), *[F.first(w).alias(w) for w in words]).withColumn("v", F.monotonically_increasing_id()), "near-distinct"
+        )
+        by_print = materialise(distinct.groupBy("fp").agg(F.min("v").alias("v")), "near-by-print")
+        ends = links(by_print, max_bits, blocks).join(by_print.select(F.col("fp").alias("src"), F.col("v").alias("a")), "src").join(by_print.select(F.col("fp").alias("dst"), F.col("v").alias("b")), "dst")
+        same = distinct.select("fp", F.col("v").alias("a")).join(by_print.select("fp", F.col("v").alias("b")), "fp").where("a <> b")
+        close = ends.select("a", "b").unionByName(same.select("a", "b")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        found = decide(close, distinct, similarity)
+        prefixes = _prefixes(distinct, distinct.count(), similarity)
+        size = F.octet_length("shingles").cast("int").alias("size")
+        for propose in (hub_pairs, prefix_pairs):
+            points = distinct.select("v", (size / 4).cast("int").alias("size"), *words).join(connected_components(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
+            found = found.unionByName(decide(propose(prefixes, materialise(points, "near-points"), similarity), distinct, similarity))
+        named = distinct.select("v", "least", "n_rows").join(connected_components(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
+        first = named.groupBy("component").agg(F.min("least").alias("first"))
+        out = named.join(first, "component").select("least.doc_id", "least.digest", "n_rows", F.col("first.doc_id").alias("component_id"), F.col("first.digest").alias("component_digest"))
+        return materialise(out, "near-duplicates", keep=True)

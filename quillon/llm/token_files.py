@@ -39,7 +39,7 @@ from .warc import _input, _output
 #: Ones between two sampled positions of the upper bits.
 SAMPLE = 512
 #: Ids that a reader holds at once (a longer document is read alone).
-READ_IDS = 1 << 20
+READ_IDS, READ_DOCS = 1 << 20, 1 << 14
 
 
 class EliasFano:
@@ -78,10 +78,17 @@ class EliasFano:
         ones = np.nonzero(np.unpackbits(self.upper[start >> 3 : (stop + 7) >> 3], bitorder="little")[start & 7 :])[0]
         return (int(ones[i % SAMPLE]) + start - i) << self.low_bits | int(self._low(np.array([i]))[0])
 
-    def all(self) -> np.ndarray:
-        """The whole sequence."""
-        places = np.nonzero(np.unpackbits(self.upper, bitorder="little"))[0][: self.n]
-        return (places - np.arange(self.n)) << self.low_bits | self._low(np.arange(self.n))
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Numbers i to j - 1, by one select; only the upper bits from it on are read."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.int64)
+        start, last = int(self.samples[i // SAMPLE]), (j - 1) // SAMPLE + 1
+        stop = int(self.samples[last]) + 1 if last < len(self.samples) else len(self.upper) * 8
+        ones = np.nonzero(np.unpackbits(self.upper[start >> 3 : (stop + 7) >> 3], bitorder="little")[start & 7 :])[0]
+        at = np.arange(i, j)
+        return (ones[at - i // SAMPLE * SAMPLE] + start - at) << self.low_bits | self._low(at)
 
     def parts(self) -> list[bytes]:
         return [self.lower.tobytes(), self.upper.tobytes(), self.samples.tobytes()]
@@ -95,11 +102,30 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+# What the words of a tokenizer file must rest on if they are to be encoded apart.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def encodes_words_apart(path: str) -> bool:
+    """Whether the tokenizer in the file is of the kind that ``WordIds`` takes for granted."""
+    with open(path, encoding="utf-8") as f:
+        form = json.load(f)
+    cut = (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return (
+        form.get("normalizer") == NORMALIZER
+        and [c.get("type") for c in cut] == ["Split", "ByteLevel"]
+        and cut[0].get("pattern") == {"Regex": SPLIT}
+        and not cut[1].get("add_prefix_space") and not cut[1].get("use_regex")
+        and not any(c.isspace() for t in form.get("added_tokens") or [] for c in t["content"])
+    )
+
+
 class WordIds:
     """Ids of words, each encoded once by the tokenizers library and kept for later batches.
 
-    The tokenizer drops white space, never joins across it, folds case, and cuts
-    letters from punctuation; so a word of letters with punctuation behind it
+    ``encodes_words_apart`` has found that the tokenizer drops white space, never
+    joins across it, folds case, and cuts letters from punctuation; so a word of letters with punctuation behind it
     is two parts, and ASCII letters are folded before they are looked up.  New
     parts are encoded many at a time, in one text with the word NUL between them;
     a part that holds NUL itself is encoded alone.
@@ -160,8 +186,13 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def token_ids(text: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of every text, the end id included, and all ids in a row."""
+def token_ids(text: pa.Array, path: str, end_id: int, by_words: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of every text, the end id included, and all ids in a row.
+
+    Without ``by_words`` the library encodes whole texts."""
+    if not by_words:
+        rows = [np.array([*e.ids, end_id], np.uint32) for e in tokenizer(path).encode_batch_fast([t or "" for t in text.to_pylist()], add_special_tokens=False)]
+        return np.array([len(r) for r in rows], np.int64), np.concatenate(rows)
     known = word_ids(path)
     offsets, flat = split_words(text)
     codes, words = encode_dictionary(flat)
@@ -182,13 +213,13 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Write the files; returns the manifest (part, uri, n_docs, n_tokens)."""
     folder = scratch(docs.sparkSession, "tokens")
     wide = tokenizer(path).get_vocab_size() > 1 << 16 or end_id >= 1 << 16
-    dtype = "<u4" if wide else "<u2"
+    dtype, by_words = "<u4" if wide else "<u2", encodes_words_apart(path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, sizes, ids_of, nulls = f"{uuid.uuid4().hex}.ids", None, [], [], 0
         for batch in slices(batches, "text", owner="words"):
             out = out or _output(folder, name)
-            lengths, ids = token_ids(batch.column("text"), path, end_id)
+            lengths, ids = token_ids(batch.column("text"), path, end_id, by_words)
             out.write(ids.astype(dtype).tobytes())
             sizes.append(lengths)
             doc_ids = batch.column("doc_id")
@@ -245,16 +276,18 @@ def read_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column("uri").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 file = TokenFile(uri)
-                bounds, nulls = file.bounds.all(), file.footer["nulls"]
-                names = pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(file.names.all() + file.footer["first"], pa.int64())])
-                i = 0
-                while i < len(bounds) - 1:
-                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + READ_IDS, side="right")) - 1)
-                    ids = file.ids(int(bounds[i]), int(bounds[j])).astype("<u4")
-                    at = (bounds[i : j + 1] - bounds[i]).tolist()
+                i, n, nulls = 0, file.footer["docs"], file.footer["nulls"]
+                while i < n:
+                    bounds = file.bounds.between(i, min(n, i + READ_DOCS) + 1)
+                    k = max(1, int(np.searchsorted(bounds, bounds[0] + READ_IDS, side="right")) - 1)
+                    ids, bounds = file.ids(int(bounds[0]), int(bounds[k])).astype("<u4"), bounds[: k + 1]
+                    at = (bounds - bounds[0]).tolist()
                     crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([names[i:j], pa.array(bounds[i:j] + base, pa.int64()), pa.array(np.diff(bounds[i : j + 1]), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                    i = j
+                    none = min(k, max(0, nulls - i))  # null ids come first
+                    named = file.names.between(max(0, i - nulls), max(0, i + k - nulls)) + file.footer["first"]
+                    names = pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(named, pa.int64())])
+                    yield pa.RecordBatch.from_arrays([names, pa.array(bounds[:-1] + base, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    i += k
 
     listed = spark.createDataFrame(files, "uri string, base long").repartition(max(1, len(files)))
     return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

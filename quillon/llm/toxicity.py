@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated isotonically.
 
-Labels come from a bounded sample of labelled rows (``MOST_LABELS``, taken by a
-hash of the id).  From the toxic ones a lexicon is learned: words and word stems
+Labels come from a bounded sample of labelled rows (``MOST_LABELS`` ids, taken by a
+hash of the id, one text each).  From the toxic ones a lexicon is learned: words and word stems
 (prefixes) that occur in many different toxic texts and are far rarer in the
 others; support counts distinct min-hash signatures, so a text copied fifty
 times is one witness.  Features are densities of lexicon words and stems, their
@@ -19,6 +19,7 @@ of both kinds every score is 0; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -214,7 +215,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .limit(most)
     )
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialise(rows.join(F.broadcast(sample), "doc_id"), "toxic-labelled")  # at most MOST_LABELS rows
+    # an id may be repeated: its smallest text is learned from, so there are ``most`` rows at most
+    rows = materialise(rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "fold", "toxic").agg(F.min("text").alias("text")), "toxic-labelled")
 
     def toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -247,16 +249,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x = features(batch.column("text"), lexicon)
-            yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["fold", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), batch.column("toxic"), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "fold", "toxic", "x"])
 
-    table = rows.select("text", F.col("fold").cast("long").alias("fold"), "toxic").mapInArrow(dense, "fold long, toxic int, x array<double>").toArrow()
-    fold_of, y = table["fold"].to_numpy(), table["toxic"].to_numpy().astype(np.float64)
-    x = np.array(table["x"].to_pylist(), dtype=np.float64).reshape(len(y), len(FEATURES))
-    fit, hold = fold_of != 1, fold_of == 1
-    if len(set(y[fit].tolist())) < 2:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        x = np.array(table["x"].to_pylist(), dtype=np.float64).reshape(table.num_rows, len(FEATURES))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_dense(x, table["toxic"].to_numpy().astype(np.float64), table["fold"].to_numpy() == 1))], pa.binary())], ["model"])
+
+    dense_rows = rows.select("doc_id", "text", F.col("fold").cast("long").alias("fold"), "toxic").mapInArrow(dense, "doc_id long, fold long, toxic int, x array<double>")
+    row = dense_rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(fit, "model binary").first()
+    model = pickle.loads(row["model"]) if row else Model()
+    model.lexicon = lexicon if model.trees else {}
+    return model
+
+
+def fit_dense(x: np.ndarray, y: np.ndarray, hold: np.ndarray) -> Model:
+    """Trees on the rows that aren't held back, calibrated on those that are."""
+    if len(set(y[~hold].tolist())) < 2:
         return Model()
-    model = grow(x[fit], y[fit])
-    model.lexicon = lexicon
+    model = grow(x[~hold], y[~hold])
     hold = hold if len(set(y[hold].tolist())) == 2 else np.ones(len(y), bool)
     model.knots = isotonic(margin(model, x[hold]), y[hold])
     return model

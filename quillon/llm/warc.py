@@ -29,8 +29,8 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -41,6 +41,8 @@ from .shared import materialise, scratch, slices
 
 #: Lines of a compressed index block; salts of a repeated payload in the join.
 BLOCK_LINES, SALTS = 256, 16
+#: Lines of an index file, which one task reads back: these, and more beyond so many files.
+FILE_LINES, FILES = 8192, 4096
 DATE = "2024-01-01T00:00:00Z"
 _KNOWN, _UNKNOWN = 0x5157415243000001, 0x5157415243000002  # high words of record ids with and without a page id
 
@@ -98,7 +100,6 @@ def parse_record(member: bytes) -> dict:
     return {"headers": headers, "type": headers["WARC-Type"], "payload": payload, "length": length}
 
 
-@lru_cache(maxsize=64)
 def _input(uri: str):
     import pyarrow.fs as fs
 
@@ -106,6 +107,28 @@ def _input(uri: str):
     return system.open_input_file(path)
 
 
+class OpenFiles:
+    """The last few files that were asked for, closed as others come and at the end."""
+
+    def __init__(self, most: int = 16) -> None:
+        self.most, self.open = most, OrderedDict()
+
+    def __enter__(self) -> OpenFiles:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        while self.open:
+            self.open.popitem()[1].close()
+
+    def get(self, uri: str):
+        if uri not in self.open:
+            if len(self.open) >= self.most:
+                self.open.popitem(last=False)[1].close()
+            self.open[uri] = _input(uri)
+        self.open.move_to_end(uri)
+        return self.open[uri]
+
+
 def _output(folder: str, name: str):
     import pyarrow.fs as fs
 
@@ -186,7 +209,9 @@ def write_index(captures: DataFrame) -> DataFrame:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([folder]), pa.array([name]), pa.array([first[0]]), pa.array([first[1]], pa.int64())], ["folder", "file", "first_key", "first_id"])
 
-    ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "at")
+    n = captures.count()
+    files = max(1, min(-(-n // FILE_LINES), FILES), -(-n // (1 << 18)))
+    ordered = captures.repartitionByRange(files, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "at")
     return materialise(ordered.mapInArrow(pack, "folder string, file string, first_key string, first_id long"), "cdx-files")
 
 
@@ -198,8 +223,8 @@ def _parse(line: str) -> tuple[str, int, list[str]]:
 class IndexFile:
     """Binary search over the sparse directory, then one range read per block."""
 
-    def __init__(self, uri: str) -> None:
-        self.file = _input(uri)
+    def __init__(self, file) -> None:
+        self.file = file
         size = self.file.size()
         length = int.from_bytes(self.file.read_at(8, size - 8), "little")
         self.blocks = [_parse(x) for x in zlib.decompress(self.file.read_at(length, size - 8 - length)).decode().split("\n")]
@@ -225,6 +250,15 @@ class IndexFile:
             k += 1
 
 
+def _captured(member: bytes) -> tuple:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to and html of a record."""
+    got = parse_record(member)
+    headers, page = got["headers"], page_of(got["headers"]["WARC-Record-ID"])
+    if got["type"] == "response":
+        return page, len(got["payload"]), hashlib.sha256(got["payload"]).hexdigest(), got["type"], None, got["payload"].decode()
+    return page, got["length"], headers["WARC-Payload-Digest"].removeprefix("sha256:"), got["type"], page_of(headers["WARC-Refers-To"]), None
+
+
 def read_back(pages: DataFrame, index: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Look every page up in the index and read its record:
     (page_id, payload_bytes, payload_digest, record_type, refers_to, html)."""
@@ -241,30 +275,17 @@ def read_back(pages: DataFrame, index: DataFrame, id_col: str = "page_id", url_c
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
 
     def fetch(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = key[0].as_py()
-        index_file = IndexFile(files[at][2])
         spots = []
-        for batch in batches:
-            for k, i in sorted(zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist(), strict=True), key=lambda x: _line(*x)):
-                spots += [(f"{folder}/{file}", int(start), int(length)) for folder, file, start, length in index_file.find(k, i)]
-        spots.sort()
-        for begin in range(0, len(spots), 256):
-            rows = []
-            for uri, start, length in spots[begin : begin + 256]:
-                got = parse_record(_input(uri).read_at(length, start))
-                headers, response = got["headers"], got["type"] == "response"
-                rows.append(
-                    (
-                        page_of(headers["WARC-Record-ID"]),
-                        len(got["payload"]) if response else got["length"],
-                        hashlib.sha256(got["payload"]).hexdigest() if response else headers["WARC-Payload-Digest"].removeprefix("sha256:"),
-                        got["type"],
-                        None if response else page_of(headers["WARC-Refers-To"]),
-                        got["payload"].decode() if response else None,
-                    )
-                )
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
+        with OpenFiles() as opened:
+            index_file = IndexFile(opened.get(files[key[0].as_py()][2]))
+            for batch in batches:
+                for k, i in sorted(zip(batch.column("key").to_pylist(), batch.column("page_id").to_pylist(), strict=True), key=lambda x: _line(*x)):
+                    spots += [(f"{folder}/{file}", int(start), int(length)) for folder, file, start, length in index_file.find(k, i)]
+            spots.sort()  # each archive is read front to back
+            for begin in range(0, len(spots), 256):
+                rows = [_captured(opened.get(uri).read_at(length, start)) for uri, start, length in spots[begin : begin + 256]]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
 
     return wanted.groupBy("file").applyInArrow(fetch, schema)
 

@@ -39,11 +39,11 @@ def test_query_equals_sql(spark, folder, name):
 
 
 def test_components_of_a_long_path_and_a_star(spark):
-    path = [(k, k + 1) for k in range(0, 60)]
+    path = [(k, k + 1) for k in range(0, 400)]
     star = [(1000, 1000 + k) for k in range(1, 50)]
     random.Random(1).shuffle(path)
     got = {r["v"]: r["component"] for r in connected_components(spark.createDataFrame(path + star + [(7, 7)], "src long, dst long")).collect()}
-    assert got == {k: 0 for k in range(61)} | {1000 + k: 1000 for k in range(50)}
+    assert got == {k: 0 for k in range(401)} | {1000 + k: 1000 for k in range(50)}
 
 
 # ----------------------------------------------------------- embeddings
@@ -72,6 +72,19 @@ def test_rabitq_finds_every_link(spark):
     assert got == brute(vectors)
 
 
+def test_rabitq_decides_pairs_at_the_threshold(spark, monkeypatch):
+    """Several groups, and pairs whose cosine is the threshold but for rounding."""
+    monkeypatch.setattr(rabitq, "GROUP_ROWS", 40)
+    rng = np.random.default_rng(5)
+    vectors = []
+    for k in range(60):
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        for c in (0.9 + 1e-13, 0.9 - 1e-13, 0.9 + 1e-6, 0.9 - 1e-6):
+            vectors += [(len(vectors), a.tolist()), (len(vectors) + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rabitq.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute(vectors)
+
+
 def test_rabitq_estimate_is_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 64))
@@ -98,8 +111,8 @@ def test_rabitq_repeats_and_empty(spark):
 # ------------------------------------------------------------- sharding
 
 
-def brute_kd(rows, leaves, scale):
-    """Exact weighted medians by sorting."""
+def brute_kd(rows, leaves, scale, whole):
+    """Exact weighted medians by sorting; the rows of the crossing (metadata, CRC) go together if they are small."""
     if leaves == 1:
         return [rows]
     spread = [(max(r[4][k] for r in rows) - min(r[4][k] for r in rows)) / scale[k] for k in range(3)] if rows else [0] * 3
@@ -109,19 +122,30 @@ def brute_kd(rows, leaves, scale):
     while at < len(rows) and left + rows[at][1] < target:
         left += rows[at][1]
         at += 1
-    if at < len(rows) and left + rows[at][1] / 2 <= target:
-        at += 1
-    return brute_kd(rows[:at], leaves // 2, scale) + brute_kd(rows[at:], leaves - leaves // 2, scale)
-
-
-@pytest.mark.parametrize(("shards", "literal"), [(8, 64), (5, 64), (5, 0)])
-def test_kd_tree_equals_sorting(spark, folder, shards, literal, monkeypatch):
+    if at < len(rows):
+        point = [n for n, r in enumerate(rows) if (r[4][k], r[2]) == (rows[at][4][k], rows[at][2])]
+        size = sum(rows[n][1] for n in point)
+        if size > whole:
+            point, size = [at], rows[at][1]
+        before = sum(r[1] for r in rows[: point[0]])
+        at = point[-1] + 1 if before + size / 2 <= target else point[0]
+    return brute_kd(rows[:at], leaves // 2, scale, whole) + brute_kd(rows[at:], leaves - leaves // 2, scale, whole)
+
+
+@pytest.mark.parametrize(("shards", "literal", "whole"), [(8, 64, 0.01), (5, 64, 0.0), (5, 0, 0.01)])
+def test_kd_tree_equals_sorting(spark, folder, shards, literal, whole, monkeypatch):
     monkeypatch.setattr(kdtree, "LITERAL_NODES", literal)
+    monkeypatch.setattr(kdtree, "WHOLE", whole)
     docs = spark.read.parquet(f"{folder}/documents.parquet").dropDuplicates(["doc_id"])
     code = lambda s: zlib.crc32(s.encode())
-    rows = [(r["doc_id"], len(r["text"].encode()) + 1, zlib.crc32(r["text"].encode()), 0, (r["n_chars"], code(r["source"]), code(r["lang"]))) for r in docs.collect()]
+    held = docs.collect()
+    least = {}
+    for r in held:
+        own = (r["n_chars"], code(r["source"]), code(r["lang"]))
+        least[r["text"]] = tuple(map(min, least.get(r["text"], own), own))
+    rows = [(r["doc_id"], len(r["text"].encode()) + 1, zlib.crc32(r["text"].encode()), 0, least[r["text"]]) for r in held]
     scale = [max(r[4][k] for r in rows) - min(r[4][k] for r in rows) or 1 for k in range(3)]
-    want = {r[0]: n for n, leaf in enumerate(brute_kd(rows, shards, scale)) for r in leaf}
+    want = {r[0]: n for n, leaf in enumerate(brute_kd(rows, shards, scale, whole * sum(r[1] for r in rows) / shards)) for r in leaf}
     got = kdtree.kd_shards(docs, shards=shards).collect()
     assert {r["doc_id"]: r["shard"] for r in got} == want
     slots = collections.defaultdict(list)
@@ -130,6 +154,16 @@ def test_kd_tree_equals_sorting(spark, folder, shards, literal, monkeypatch):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_kd_tree_keeps_equal_texts_together(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = kdtree.kd_shards(docs, shards=8).join(docs.select("doc_id", "text"), "doc_id")
+    sizes = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert max(sizes) - min(sizes) <= 0.06 * sum(sizes) / 8
+    groups = got.groupBy("text").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("shard").alias("shards")).where("n > 1").collect()
+    assert len(groups) > 20
+    assert all(g["shards"] == 1 for g in groups if g["bytes"] <= 0.01 * sum(sizes) / 8)
+
+
 def test_kd_tree_on_awkward_rows(awkward, empty):
     rows = kdtree.kd_shards(awkward, shards=3).collect()
     assert len(rows) == len(AWKWARD)
@@ -168,6 +202,8 @@ def test_mixing_of_large_rates_and_awkward_rows(spark, awkward, empty):
     rows = [(k, "x", "en", "s", 1) for k in range(400)]
     mean = mixing.mix(spark.createDataFrame(rows, DOCS), total_bytes=100 * 2 * 400).count() / 400
     assert mean == pytest.approx(100, abs=2)
+    clash = mixing.mix(awkward.withColumn("mix_copy", F.lit("mine")).withColumn("mix_source", F.lit("too")))
+    assert {r["mix_copy"] for r in clash.collect()} == {"mine"} and "mix_copy_" in clash.columns
     out = mixing.mix(awkward)
     assert {*awkward.columns, "mix_copy", "mix_key"} <= set(out.columns)
     pairs = collections.Counter((r["doc_id"], r["mix_copy"]) for r in out.collect())

@@ -109,6 +109,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert set(got.values()) == set(want.values())
 
 
+def test_near_duplicates_of_one_id(spark):
+    import corpus_pipeline
+
+    same, other = "one two three four five six seven", "another text that has nothing to do with it"
+    rows = [(5, same, "en", "a", 1), (5, same + ".", "en", "b", 1), (5, other, "en", "c", 1), (5, other, "en", "c", 1), (7, same, "en", "d", 1), (7, other + "!", "en", "e", 1), (None, same, "en", "f", 1), (8, None, "en", "g", 1), (9, "", "en", "h", 1)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(5, same), (5, same + "."), (5, other), (7, other + "!"), (0, same), (8, "")])
+
+
+def test_prefixes_and_sketches_keep_every_similar_pair(spark):
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 9, 60, 700):
+        a = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32))
+        b = np.unique(np.concatenate((a[len(a) // 9 :], rng.integers(0, 1 << 32, n // 10, dtype=np.uint64).astype(np.uint32))))
+        apart = len(np.setxor1d(a, b))
+        x, y = simhash.sketch(a).view(np.uint64), simhash.sketch(b).view(np.uint64)
+        assert int(np.bitwise_count(x ^ y).sum()) <= apart
+
+
 @pytest.mark.parametrize("bits", [{}, {"max_bits": 0}])
 def test_near_duplicates_lose_no_pair(spark, bits):
     rng = random.Random(8)
@@ -253,16 +272,62 @@ def test_lm_counts_and_scores(spark, folder, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_table_is_normalised_and_learns():
+def plain_log(model, two, one, now):
+    """log10 P(now | two, one) by plain loops."""
+    predicted = [sum(model.r[two][e] * model.c[0][e][d] + model.r[one][e] * model.c[1][e][d] for e in range(lbl.DIM)) for d in range(lbl.DIM)]
+    dot = lambda v: sum(float(x) * float(y) for x, y in zip(predicted, v, strict=True))
+    group = [math.exp(dot(model.g[k]) + float(model.h[k])) for k in range(lbl.GROUPS)]
+    share = {u: math.exp(dot(model.r[u]) + float(model.b[u])) for u in range(lbl.UNITS) if model.of[u] == model.of[now]}
+    return math.log10(group[model.of[now]] / sum(group)) + math.log10(share[now] / sum(share.values()))
+
+
+def test_lm_is_normalised_and_equals_plain_loops():
     rng = np.random.default_rng(0)
-    cells = np.unique(rng.integers(0, lbl.CLASSES**3, 3000))
-    model = lbl.train_nce(cells, np.ones(len(cells), np.int64))
-    assert np.allclose((10 ** model.table().astype(float)).sum(axis=1), 1, atol=1e-4)
-    chain = np.array([(a * lbl.CLASSES + b) * lbl.CLASSES + (b + 1) % 8 for a in range(8) for b in range(8)])
-    table = lbl.train_nce(np.sort(chain), np.full(64, 1000)).table()
-    good = np.mean([10 ** table[a * lbl.CLASSES + b, (b + 1) % 8] for a in range(8) for b in range(8)])
-    assert good > 0.6
-    assert np.allclose(lbl.train_nce(np.zeros(0, np.int64), np.zeros(0, np.int64)).table(), -math.log10(lbl.CLASSES), atol=1e-5)
+    unigram = rng.random(lbl.UNITS)
+    unigram /= unigram.sum()
+    model = lbl.Model.start(unigram)
+    assert sorted(np.bincount(model.of).tolist())[:: lbl.GROUPS - 1] == [lbl.UNITS // lbl.GROUPS] * 2
+    model.r *= 5
+    every = np.arange(lbl.UNITS)
+    for two, one in ((3, 9000), (lbl.END, lbl.END)):
+        logs = model.logs(np.full(lbl.UNITS, two), np.full(lbl.UNITS, one), every)
+        assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
+        for now in (0, 17, lbl.HEAD + 5, lbl.END):
+            assert logs[now] == pytest.approx(plain_log(model, two, one, now), abs=1e-4)
+
+
+def test_lm_learns_a_chain():
+    unigram = np.full(lbl.UNITS, 0.1 / lbl.UNITS)
+    unigram[:8] += 0.9 / 8
+    unigram /= unigram.sum()
+    trainer = lbl.Trainer(lbl.Model.start(unigram), unigram, 1)
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        two, one = rng.integers(0, 8, (2, lbl.BATCH))
+        trainer.step(two, one, (one + 1) % 8, 0.1)
+    assert np.mean(10 ** trainer.model.logs(two, one, (one + 1) % 8)) > 0.6
+
+
+def test_lm_scores_equal_plain_loops(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12)))) for i in range(60)] + [(61, "unseen words W1")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {}
+    real = lbl.fitted
+    monkeypatch.setattr(lbl, "fitted", lambda t, v, u: kept.setdefault("model", real(t, v, u)))
+    got = {r["doc_id"]: r["score"] for r in lbl.score(frame).collect()}
+    counts = collections.Counter(w for i, t in rows if crc_mod(i, 10) for w in t.lower().split())
+    head = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+    unseen = lambda w: int(lbl.suffix_unit(__import__("pyarrow").array([w]))[0])
+    for i, t in rows[::10] + rows[-1:]:
+        units = [head.index(w) if w in head else unseen(w) for w in t.lower().split()] + [lbl.END]
+        total = 0.0
+        for k, u in enumerate(units):
+            total += plain_log(kept["model"], units[k - 2] if k > 1 else lbl.END, units[k - 1] if k else lbl.END, u)
+            if lbl.HEAD <= u < lbl.END:  # no training word is in a suffix unit here: an unseen word has all of its mass
+                total += math.log10(0.1) - math.log10(0.1)
+        assert got[i] == pytest.approx(total, abs=1e-3)
 
 
 def test_lm_on_awkward_rows(spark, awkward, empty):  # noqa: F811
@@ -299,7 +364,9 @@ def test_elias_fano():
     rng = np.random.default_rng(3)
     for values in ([], [0], [5], [0, 0, 0], np.sort(rng.integers(0, 10**7, 5000)), np.arange(2000), [0, 10**12]):
         ef = token_files.EliasFano.encode(np.array(values, dtype=np.uint64))
-        assert ef.all().tolist() == list(values)
+        assert ef.between(0, len(values)).tolist() == list(values)
+        for i in range(0, len(values), 700):
+            assert ef.between(i, min(len(values), i + 900)).tolist() == list(values)[i : i + 900]
         for i in range(0, len(values), 97):
             assert ef.select(i) == values[i]
         with pytest.raises(IndexError):
@@ -343,6 +410,37 @@ def test_random_access(spark, folder, docs):
     assert file.document(1).tolist() == [*Tokenizer.from_file(path).encode(docs[name]["text"], add_special_tokens=False).ids, 1]
 
 
+def test_tokenizers_of_another_kind_encode_whole_texts(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    form = json.load(open(path))
+    assert token_files.encodes_words_apart(path)
+    form["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": " b"}, "content": "zz"})
+    other = str(tmp_path / "other.json")
+    json.dump(form, open(other, "w"))
+    assert not token_files.encodes_words_apart(other)
+    rows = [(1, "a b c"), (2, None), (None, "b b")]
+    out = token_files.read_files(token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string"), other)).collect()
+    want = {i: zlib.crc32(np.array([*Tokenizer.from_file(other).encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in out} == want
+
+
+def test_bpe_of_long_pieces():
+    import tiktoken
+
+    encoder = bpe.Encoder(*queries.byte_bpe())
+    given = tiktoken.Encoding("own", pat_str=queries.byte_bpe()[1], mergeable_ranks=encoder.ranks, special_tokens={})
+    rng = random.Random(6)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = ["x" * 100_001, "ab" * 50_000, "=" * 100_000, letters(3000, "abcdefghijklmnopqrstuvwxyzABC"), " ".join(letters(rng.randrange(60, 400), "abcd") for _ in range(40)), chr(233) * 3000 + chr(0x4E2D) * 700]
+    for text, (said, raw) in zip(texts, encoder.encode(texts), strict=True):
+        assert said == ",".join(map(str, given.encode_ordinary(text)))
+        assert raw == text.encode()
+
+
 def test_bpe_decodes_each_text_from_its_own_ids():
     encoder = bpe.Encoder(*queries.byte_bpe())
     text = "Ein kleiner Ring, größer als fünf."
@@ -392,6 +490,72 @@ def test_isotonic_is_monotone_and_exact():
     assert np.interp([1, 2, 3, 4], x, y).tolist() == pytest.approx([0, 2 / 3, 2 / 3, 1])
 
 
+def test_toxicity_learns_from_one_text_of_an_id(spark):
+    rows = [(i % 40, f"word{i} " * (3 + i % 5) + ("vile" if i % 40 < 20 else "kind"), None) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] * 3, "doc_id long, toxic int")
+    seen = {}
+    real = toxicity.materialise
+    toxicity.materialise = lambda df, name, **k: seen.setdefault(name, real(df, name, **k))
+    try:
+        toxicity.train(frame, labels)
+    finally:
+        toxicity.materialise = real
+    learned = seen["toxic-labelled"].collect()
+    assert len(learned) == len({r["doc_id"] for r in learned}) <= 40
+    assert all(r["text"] == min(t for i, t, _ in rows if i == r["doc_id"]) for r in learned)
+
+
+def test_features_equal_plain_loops():
+    lexicon = {"idiot": 5.0, "^trot": 2.0}
+    texts = ["You IDIOT, you trottel! 1d10t #1", "a quiet day", "", "Trotte du", "so many words before an idiot comes and then you"]
+    for text, row in zip(texts, toxicity.features(__import__("pyarrow").array(texts), lexicon), strict=True):
+        words = text.split()
+        got = dict(zip(toxicity.FEATURES, row, strict=True))
+        normal = [toxicity.normal(w.lower()) for w in words]
+        weight = [max([lexicon.get(w, 0), *(lexicon.get("^" + w[:k], 0) for k in range(4, 9) if len(w) > k)]) if len(w) > 2 else 0 for w in normal]
+        person = [w in toxicity.SECOND_PERSON for w in normal]
+        n, letters, size = max(1, len(words)), max(1, sum(c.isascii() and c.isalpha() for c in text)), max(1, len(text.encode()))
+        assert got["length"] == pytest.approx(math.log1p(len(words)))
+        assert got["strong"] == pytest.approx(sum(w >= 4 for w in weight) / n)
+        assert got["weak"] == pytest.approx(sum(0 < w < 4 for w in weight) / n)
+        assert got["person"] == pytest.approx(sum(person) / n)
+        assert got["near_person"] == pytest.approx(sum(w >= 4 and any(person[max(0, k - 5) : k + 6]) for k, w in enumerate(weight)) / n)
+        assert got["capitals"] == pytest.approx(sum("A" <= c <= "Z" for c in text) / letters)
+        assert got["exclamation"] == pytest.approx(text.count("!") / size)
+        assert got["digits"] == pytest.approx(sum(c in "0123456789" for c in text) / size)
+
+
+def test_first_split_equals_plain_search():
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (80, 3)).astype(float)
+    y = ((x[:, 1] > 2) ^ (rng.random(80) < 0.1)).astype(float)
+    model = toxicity.grow(x, y, rounds=1, depth=1)
+    p = y.mean()
+    best = None
+    for k in range(3):
+        for at, edge in enumerate(model.edges[k]):
+            left = x[:, k] <= edge
+            sums = [((y[s] - p).sum(), (p * (1 - p) * s).sum()) for s in (left, ~left)]
+            if min(h for _, h in sums) >= 1:
+                gain = sum(g * g / (h + 1) for g, h in sums)
+                if best is None or gain > best[0] + 1e-12:
+                    best = (gain, k, at, [0.2 * g / (h + 1) for g, h in sums])
+    split_on, split_at, leaf = model.trees[0]
+    assert (split_on[0], split_at[0]) == best[1:3]
+    assert leaf.tolist() == pytest.approx(best[3])
+
+
+def test_isotonic_equals_plain_pooling():
+    rng = np.random.default_rng(9)
+    x, y = rng.permutation(40).astype(float), (rng.random(40) < 0.4).astype(float)
+    order = np.argsort(x)
+    # max over starts of min over ends of the means, at each place
+    s = y[order]
+    want = [max(min(s[a : b + 1].mean() for b in range(k, 40)) for a in range(k + 1)) for k in range(40)]
+    assert np.interp(x[order], *toxicity.isotonic(x, y)).tolist() == pytest.approx(want)
+
+
 def test_toxicity_on_awkward_rows(spark, awkward, empty):  # noqa: F811
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = toxicity.score(awkward, toxicity.train(awkward, none)).collect()
