@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -333,13 +334,16 @@ def _open(prefixes: DataFrame, points: DataFrame) -> DataFrame:
     return materialise(rows.join(several, "shingle", "left_semi"), "near-open")
 
 
-def hub_pairs(prefixes: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): each set with the smallest and the largest of its prefix shingles,
-    where the pair may be similar; as many pairs as rows, however common a shingle is."""
-    rows = _open(prefixes, points).select("shingle", "v")
-    ends = rows.groupBy("shingle").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    met = materialise(rows.join(ends, "shingle").select("v", "low", "high").distinct(), "near-hubs")
-    met = met.select("v", F.col("low").alias("hub")).unionByName(met.select("v", F.col("high").alias("hub"))).where("v <> hub").select(F.least("v", "hub").alias("src"), F.greatest("v", "hub").alias("dst")).distinct()
+def hub_pairs(prefixes: DataFrame, points: DataFrame, similarity: float, each: bool = False) -> DataFrame:
+    """(src, dst): each set with two sets of each of its prefix shingles, the first and
+    the last by a hash, where the pair may be similar; at most two pairs a row,
+    however common a shingle is.  The hash is of the set, so that few sets are hubs,
+    or with ``each`` of set and shingle, so that a set meets many others of its group."""
+    order = F.xxhash64("v", "shingle") if each else F.xxhash64("v")
+    rows = _open(prefixes, points).select("shingle", "v").withColumn("u", order)
+    ends = rows.groupBy("shingle").agg(F.min("u").alias("low"), F.max("u").alias("high"))
+    hubs = rows.join(ends, "shingle").where("u = low or u = high").select("shingle", F.col("v").alias("hub"))
+    met = materialise(rows.select("shingle", "v").join(hubs, "shingle").where("v <> hub").select(F.least("v", "hub").alias("src"), F.greatest("v", "hub").alias("dst")).distinct(), "near-hubs")
     met = met.join(points.alias("a"), F.col("src") == F.col("a.v")).join(points.alias("b"), F.col("dst") == F.col("b.v"))
     return met.where(F.col("a.component") != F.col("b.component")).where(may_be_similar(similarity)).select("src", "dst")
 
@@ -386,8 +390,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Three steps propose pairs, and each pair is decided on the sets before the
     next step runs: the vantage-point trees, which link fingerprints within
-    ``max_bits`` as everywhere in this module; the smallest and largest set of
-    each prefix shingle with all others that have it; at last all pairs of
+    ``max_bits`` as everywhere in this module; in two rounds two hubs of each
+    prefix shingle with all other sets that have it; at last all pairs of
     different classes that share enough of their prefixes and whose sketches
     allow the similarity.  The last step alone would find every pair; the steps
     before it make it small, as what they have joined isn't compared again.
@@ -407,7 +411,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = decide(close, distinct, similarity)
         prefixes = _prefixes(distinct, distinct.count(), similarity)
         size = F.octet_length("shingles").cast("int").alias("size")
-        for propose in (hub_pairs, prefix_pairs):
+        for propose in (hub_pairs, partial(hub_pairs, each=True), prefix_pairs):
             points = distinct.select("v", (size / 4).cast("int").alias("size"), *words).join(connected_components(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
             found = found.unionByName(decide(propose(prefixes, materialise(points, "near-points"), similarity), distinct, similarity))
         named = distinct.select("v", "least", "n_rows").join(connected_components(found), "v", "left").withColumn("component", F.coalesce("component", "v"))
