@@ -39,7 +39,9 @@ def normalise(text: Column, form: str = "NFC") -> Column:
     """Unicode normal form NFC, NFD, NFKC or NFKD; the one step without a builtin."""
     if form not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(form)
-    return _normalise(text, F.lit(form))
+    # only texts with characters beyond ASCII change, and only those are sent to Python
+    odd = F.regexp_like(text, F.lit(r"[^\x00-\x7F]"))
+    return F.coalesce(_normalise(F.when(odd, text), F.lit(form)), text)
 
 
 def remove_emoji(text: Column) -> Column:

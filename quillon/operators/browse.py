@@ -6,10 +6,11 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import artist_id, likelihood
+from ..sources.tables import settled
 
 # Platforms with a facet of their own.
 PLATFORMS = (("furaffinity", "FurAffinity", True), ("bluesky", "Bluesky", True), ("twitter", "Twitter/X", False))
@@ -75,6 +76,16 @@ def ranked(rows: DataFrame, searching: bool = False) -> DataFrame:
     return rows.orderBy(*keys)
 
 
+def placed(rows: DataFrame, searching: bool = False) -> DataFrame:
+    """The ranked rows with their place (1-based): rows are range-sorted, numbered inside
+    their partition, and moved by the rows of the partitions before."""
+    inside = ranked(rows, searching).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
+    inside = settled(inside)
+    sizes = inside.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # one row a partition
+    return inside.join(before, "part").withColumn("place", F.col("before") + F.col("row") + 1).drop("part", "row", "before")
+
+
 def search_stats(rows: DataFrame, kept: Column, term: str) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), F.count(F.when(kept, 1)).alias("filtered")).withColumns({"active": F.lit(bool(term)), "term": F.lit(term)})
 

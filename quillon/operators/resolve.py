@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normal_name, similar_names
+from ..sources.tables import settled
 
 # Which status makes the better record.
 RANK = {"open": 3, "unclear": 2, "closed": 1}
@@ -32,27 +33,66 @@ def _substrings(name: Column, share: float = 0.6) -> Column:
     return F.when(n > 0, F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
 
 
+#: Length from which names meet on grams, and their length (0.6 of LONG_NAME is more).
+LONG_NAME, GRAM = 48, 24
+
+
+def _blocks(name: Column, whole: bool) -> Column:
+    """Keys on which a name meets those that it contains, or with ``whole`` those that contain it."""
+    n = F.length(name)
+    if whole:
+        # the other name may be on either side of LONG_NAME
+        return F.when(n >= 0.6 * LONG_NAME, F.array(name, F.concat(F.lit("^"), F.substring(name, 1, GRAM)))).otherwise(F.array(name))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - GRAM + 1)), lambda at: F.concat(F.lit("^"), F.substring(name, at, GRAM)))
+    return F.when(n > LONG_NAME, F.array_distinct(grams)).otherwise(_substrings(name))
+
+
 def name_pairs(a: DataFrame, b: DataFrame, names: tuple[str, ...] = ("username", "display_name")) -> DataFrame:
     """(a_id, b_id) whose names are similar, name by name, without a nested loop.
 
-    A name that contains the other with at least 0.6 of its length has it among
-    its long substrings; those are exploded and equi-joined with whole names, in
-    both directions, and the predicate then decides.
+    Distinct normal names are matched first and ids attached to the pairs of names
+    that the predicate leaves, so a name of many rows is compared once.  A name that
+    contains the other with at least 0.6 of its length has it among its long
+    substrings; those are exploded and equi-joined with whole names, in both
+    directions.  Names beyond ``LONG_NAME`` characters meet on the first ``GRAM`` characters of
+    the contained one instead, which are among the grams of the other.
     """
     found = []
     for name in names:
-        left = a.select(F.col("id").alias("a_id"), F.col(name).alias("a_name"), normal_name(F.col(name)).alias("a_key")).where("a_key <> ''")
-        right = b.select(F.col("id").alias("b_id"), F.col(name).alias("b_name"), normal_name(F.col(name)).alias("b_key")).where("b_key <> ''")
-        down = left.withColumn("key", F.explode(_substrings(F.col("a_key")))).join(right.withColumn("key", F.col("b_key")), "key")
-        up = left.withColumn("key", F.col("a_key")).join(right.withColumn("key", F.explode(_substrings(F.col("b_key")))), "key")
-        both = down.unionByName(up).where(similar_names(F.col("a_name"), F.col("b_name")))
-        found.append(both.select("a_id", "b_id"))
+        left = a.select(F.col("id").alias("a_id"), normal_name(F.col(name)).alias("a_key")).where("a_key <> ''")
+        right = b.select(F.col("id").alias("b_id"), normal_name(F.col(name)).alias("b_key")).where("b_key <> ''")
+        x, y = left.select("a_key").distinct(), right.select("b_key").distinct()
+        down = x.select("a_key", F.explode(_blocks(F.col("a_key"), whole=False)).alias("key")).join(y.select("b_key", F.explode(_blocks(F.col("b_key"), whole=True)).alias("key")), "key")
+        up = x.select("a_key", F.explode(_blocks(F.col("a_key"), whole=True)).alias("key")).join(y.select("b_key", F.explode(_blocks(F.col("b_key"), whole=False)).alias("key")), "key")
+        keys = down.unionByName(up).where(similar_names(F.col("a_key"), F.col("b_key"))).select("a_key", "b_key").distinct()
+        found.append(left.join(keys, "a_key").join(right, "b_key").select("a_id", "b_id"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out.distinct()
 
 
+def platform_update(existing: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """Results after arrivals on platforms that they already stand for.
+
+    An arrival meets the result of its username that has its platform among
+    ``platforms`` (or as ``platform`` where those are empty).  In order of ``seq`` it
+    replaces status, confidence, platform and time of that result if it is strictly
+    more confident, and its platform's entry in ``platform_data``; the platforms stay.
+    """
+    every = F.when(F.size("platforms") > 0, F.col("platforms")).otherwise(F.array("platform"))
+    places = existing.select("id", "username", F.col("confidence").alias("held"), F.explode(F.array_distinct(every)).alias("platform"))
+    met = arrivals.select("username", "platform", "status", "confidence", "last_updated", "seq").join(places, ["username", "platform"])
+    before = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    wins = met.withColumn("most", F.greatest("held", F.max("confidence").over(before))).where("confidence > most")
+    entries = wins.groupBy("id", "platform").agg(F.max_by(F.struct("status", "confidence"), "seq").alias("value"), F.max_by(F.struct("platform", "status", "confidence", "last_updated"), "seq").alias("last"), F.max("seq").alias("seq"))
+    news = entries.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("platform", "value"))).alias("fresh"), F.max_by("last", "seq").alias("last"))  # an entry for each platform
+    joined = existing.join(news, "id", "left")
+    old = F.map_filter("platform_data", lambda k, _: ~F.map_contains_key("fresh", k))
+    changed = {c: F.coalesce(f"last.{c}", c) for c in ("platform", "status", "confidence", "last_updated")}
+    return joined.withColumns({**changed, "platform_data": F.when(F.col("fresh").isNull(), F.col("platform_data")).otherwise(F.map_concat(old, "fresh"))}).select(existing.columns)
+
+
 def _better(prefix: str, existing: Column) -> Column:
     return F.struct(status_rank(F.col(f"{prefix}.status")), F.col(f"{prefix}.confidence"), F.col(f"{prefix}.last_updated"), existing)
 
@@ -98,7 +138,7 @@ def greedy_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     ids = pairs.select("a_id", "b_id").distinct()
     left = ids.join(a.select(F.col("id").alias("a_id"), F.col("seq").alias("a_seq")), "a_id").join(b.select(F.col("id").alias("b_id"), F.col("seq").alias("b_seq")), "b_id")
-    left = _settled(left.select("b_id", "a_id", F.struct("a_seq", "a_id").alias("a_at"), F.struct("b_seq", "b_id").alias("b_at")))
+    left = settled(left.select("b_id", "a_id", F.struct("a_seq", "a_id").alias("a_at"), F.struct("b_seq", "b_id").alias("b_at")))
     done = left.select("a_id", "b_id").limit(0)
     while not left.isEmpty():
         sums = [F.sum(F.xxhash64(F.lit(k), "a_id").cast("decimal(38,0)")) for k in (0, 1)]
@@ -112,21 +152,12 @@ def greedy_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
         order = Window.partitionBy("class").orderBy("a_at")
         meant = wanted.withColumns({"rank": F.row_number().over(order), "rival": F.min("rival").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
         fixed = ranked.join(meant.select("class", "rank", "a_id", "rival"), ["class", "rank"]).where("rival is null or b_at < rival")
-        fixed = _settled(fixed.select("a_id", "b_id"))
+        fixed = settled(fixed.select("a_id", "b_id"))
         done = done.unionByName(fixed)
-        left = _settled(left.join(fixed.select("a_id"), "a_id", "left_anti").join(fixed.select("b_id"), "b_id", "left_anti"))
+        left = settled(left.join(fixed.select("a_id"), "a_id", "left_anti").join(fixed.select("b_id"), "b_id", "left_anti"))
     return done
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, which would grow with the rounds."""
-    return df.checkpoint() if _can_checkpoint(df) else df.localCheckpoint()
-
-
-def _can_checkpoint(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def same_artist(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_id, b_id) with equal platform and username, or equal profile URL: a union of two equi-joins."""
     x = a.select(F.col("id").alias("a_id"), "platform", "username", "profile_url")

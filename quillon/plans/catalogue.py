@@ -142,10 +142,11 @@ def anonymise(spark, folder):
     return tables.table(spark, folder, "customer").select("c_custkey", scalars.base36(scalars.string_hash32(F.col("c_name"))).alias("hash36"), scalars.demo_name(F.col("c_name")).alias("demo"), scalars.lorem_mask(F.col("c_name")).alias("masked"))
 
 
-@query("WITH x AS (SELECT c_nationkey, list(c_name ORDER BY c_custkey) AS n FROM customer WHERE c_custkey % 50 < 3 GROUP BY c_nationkey) SELECT c_nationkey, CASE WHEN len(n) = 1 THEN n[1] ELSE array_to_string(n[:-2], ', ') || ' + ' || n[-1] END AS said FROM x")
+@query("WITH x AS (SELECT c_nationkey, c_custkey // 40 AS part, list(c_name ORDER BY c_custkey) AS n FROM customer GROUP BY c_nationkey, c_custkey // 40) SELECT c_nationkey, part, CASE WHEN len(n) = 1 THEN n[1] ELSE array_to_string(n[:-2], ', ') || ' + ' || n[-1] END AS said FROM x")
 def name_list(spark, folder):
-    rows = tables.table(spark, folder, "customer").where("c_custkey % 50 < 3").groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name")))["c_name"].alias("n"))
-    return rows.select("c_nationkey", scalars.name_list(F.col("n")).alias("said"))
+    """All customers, by nation and forty ids each, so that no list grows with the table."""
+    rows = tables.table(spark, folder, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 40).alias("part")).agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name")))["c_name"].alias("n"))
+    return rows.select("c_nationkey", "part", scalars.name_list(F.col("n")).alias("said"))
 
 
 @query("SELECT event_id, floor(least(100, greatest(5, ((event_id % 40) + value / 100) / 50 * 100)) * 10 + 0.5) / 10 AS pct, round(10 + 80 * (event_id % 11) / 10::DOUBLE, 9) AS linear, round(1 - pow(1 - (event_id % 11) / 10::DOUBLE, 3), 9) AS eased FROM events")
@@ -194,6 +195,18 @@ def top5_triggers(spark, folder):
     return ensemble.first_triggers(rows, "source", "doc_id", "triggers").withColumn("triggers", joined("triggers"))
 
 
+@query(f"""WITH {o.COMPONENTS}, said AS (SELECT DISTINCT text AS k, text FROM components), {o.VERDICTS}
+SELECT profile_id, kind, pos, CASE WHEN pos % 4 = 1 THEN CASE pos % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'unclear' END ELSE status END AS status, CASE WHEN pos % 4 = 1 THEN (pos % 100) / 100.0::DOUBLE ELSE confidence END AS confidence
+FROM components c JOIN verdicts v ON v.k = c.text WHERE kind = 'post'""")
+def table_scores(spark, folder):
+    """Posts with a model label take it, the others the rules' verdict."""
+    posts = fx.components(spark, folder).where("kind = 'post'")
+    pos = F.col("pos")
+    label = F.when(pos % 3 == 0, "LABEL_0").when(pos % 3 == 1, "LABEL_1").otherwise("LABEL_2")
+    scores = posts.where("pos % 4 = 1").select("profile_id", "kind", "pos", label.alias("label"), (pos % 100 / 100.0).alias("score"))
+    return ensemble.table_scorer(scores)(posts).select("profile_id", "kind", "pos", F.col("model_status").alias("status"), F.col("model_confidence").alias("confidence"))
+
+
 # -------------------------------------------------------------- resolution
 
 
@@ -248,6 +261,32 @@ def merge_records(spark, folder):
     return resolve.merge_records(fx.platform_a(spark, folder).select(record("old", 3).alias("a"), record("new", 5).alias("b"))).withColumn("last_updated", F.col("last_updated").cast("timestamp_ntz"))
 
 
+_arrivals = f"""SELECT 'Maker' || lpad(user_id::VARCHAR, 6, '0') AS username, CASE event_type WHEN 'purchase' THEN 'bluesky' ELSE 'furaffinity' END AS platform, CASE event_type WHEN 'error' THEN 'closed' ELSE 'open' END AS status,
+  value / 100 AS confidence, ts::TIMESTAMP AS last_updated, event_id AS seq FROM events"""
+
+
+@query(f"""WITH {o.RESULTS}, arrivals AS ({_arrivals}),
+met AS (SELECT r.id, r.confidence AS held, x.* FROM arrivals x JOIN results r ON r.username = x.username AND list_contains(r.platforms, x.platform)),
+ranked AS (SELECT *, greatest(held, max(confidence) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS most FROM met),
+wins AS (SELECT * FROM ranked WHERE confidence > most),
+last AS (SELECT id, arg_max(platform, seq) AS p, arg_max(status, seq) AS s, arg_max(confidence, seq) AS c, arg_max(last_updated, seq) AS t FROM wins GROUP BY id),
+fresh AS (SELECT id, platform AS p, arg_max(confidence, seq) AS c FROM wins GROUP BY id, platform),
+own AS (SELECT id, platform AS p, confidence AS c FROM results UNION ALL SELECT id, 'bluesky', (id * 11 % 101) / 100.0::DOUBLE FROM results WHERE merged),
+data AS (SELECT o.id, string_agg(o.p || '=' || round(coalesce(f.c, o.c) * 10000)::BIGINT, '|' ORDER BY o.p) AS data FROM own o LEFT JOIN fresh f USING (id, p) GROUP BY o.id)
+SELECT r.id, coalesce(l.p, r.platform) AS platform, coalesce(l.s, r.status) AS status, coalesce(l.c, r.confidence) AS confidence, array_to_string(r.platforms, '|') AS platforms, data
+FROM results r LEFT JOIN last l USING (id) JOIN data USING (id)""")
+def platform_update(spark, folder):
+    """Events arrive as results of customers, on platforms that a result may have merged."""
+    kind = F.col("event_type")
+    arrivals = tables.table(spark, folder, "events").select(
+        F.concat(F.lit("Maker"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("username"), F.when(kind == "purchase", "bluesky").otherwise("furaffinity").alias("platform"),
+        F.when(kind == "error", "closed").otherwise("open").alias("status"), (F.col("value") / 100).alias("confidence"), F.col("ts").cast("timestamp").alias("last_updated"), F.col("event_id").alias("seq"),
+    )
+    rows = resolve.platform_update(fx.results(spark, folder), arrivals)
+    entries = F.transform(F.array_sort(F.map_entries("platform_data")), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"]["confidence"] * 10000).cast("long").cast("string")))
+    return rows.select("id", "platform", "status", "confidence", joined("platforms").alias("platforms"), F.array_join(entries, "|").alias("data"))
+
+
 # ----------------------------------------------------------------- browsing
 
 
@@ -269,16 +308,19 @@ def facet_zero_fill(spark, folder):
     return browse.facet_options(fx.results(spark, folder))
 
 
-@query(f"WITH {o.RESULTS} SELECT id, round(likelihood, 9) AS likelihood, id % 10 = 0 AS is_favourite, row_number() OVER (ORDER BY (id % 10 = 0) DESC, round(likelihood, 9) DESC, seq) AS place FROM results WHERE round(likelihood, 9) >= 0.5 AND id % 17 <> 0 AND list_contains(platforms, 'furaffinity') ORDER BY place LIMIT 100")
+@query(f"WITH {o.RESULTS} SELECT id, round(likelihood, 9) AS likelihood, id % 10 = 0 AS is_favourite, row_number() OVER (ORDER BY (id % 10 = 0) DESC, round(likelihood, 9) DESC, seq) AS place FROM results WHERE round(likelihood, 9) >= 0.5 AND id % 17 <> 0 AND list_contains(platforms, 'furaffinity')")
 def filtered_ranked(spark, folder):
-    """The first hundred of the ranked list (a top-k report)."""
+    """The whole ranked list; places are counted from the range-sorted partitions."""
     rows = fx.results(spark, folder).withColumn("likelihood", F.round(browse.result_likelihood(), 9))
     rows = browse.without(rows.where((F.col("likelihood") >= 0.5) & browse.on_platform("furaffinity")), fx.blacklist(spark, folder))
-    top = browse.ranked(browse.flagged(rows, fx.favourites(spark, folder))).limit(100).select("id", "likelihood", "is_favourite", "seq")
-    from pyspark.sql import Window
+    return browse.placed(browse.flagged(rows, fx.favourites(spark, folder))).select("id", "likelihood", "is_favourite", "place")
+
 
-    place = F.row_number().over(Window.orderBy(F.desc("is_favourite"), F.desc("likelihood"), "seq"))  # over a hundred rows
-    return top.withColumn("place", place).drop("seq")
+@query(f"WITH {o.RESULTS}, f AS (SELECT id, round(likelihood, 9) AS likelihood, id % 10 = 0 AS is_favourite, seq, (id * 7 % 40) / 100.0::DOUBLE AS search_score FROM results) SELECT id, search_score, row_number() OVER (ORDER BY is_favourite DESC, floor(search_score / 0.01::DOUBLE), likelihood DESC, seq) AS place FROM f")
+def ranked_search(spark, folder):
+    """The ranked list with search scores before likelihoods."""
+    rows = fx.results(spark, folder).withColumns({"likelihood": F.round(browse.result_likelihood(), 9), "search_score": F.pmod(F.col("id") * 7, F.lit(40)) / 100.0})
+    return browse.placed(browse.flagged(rows, fx.favourites(spark, folder)), searching=True).select("id", "search_score", "place")
 
 
 @query(f"WITH {o.RESULTS} SELECT id FROM results WHERE id % 17 <> 0")
@@ -526,12 +568,9 @@ def list_pages(spark, folder):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
     import uuid
 
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return f"{base.rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
+    return f"{tables.shared_dir(spark).rstrip('/')}/quillon-{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT p_partkey::VARCHAR AS key, p_name || ' \"' || p_brand || '\",' || chr(10) || p_type AS text, NULL::VARCHAR AS absent FROM part")
@@ -554,6 +593,21 @@ def profiles_from_json(spark, folder):
 
 
 
+@query("""WITH f AS (SELECT 'u' || (c_custkey % 20) || '.a.social' AS account, 'did:' || c_custkey AS did, c_name AS handle, c_custkey % 20 AS k, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey) - 1 AS place FROM customer),
+p AS (SELECT *, place // 5 AS page, place % 5 AS pos FROM f)
+SELECT account, page::INT AS page, pos::INT AS pos, did, handle FROM p WHERE page < 10 AND (k <> 7 OR page <= 3)""")
+def follow_pages(spark, folder):
+    """Follow lists landed in pages of five; every list but one has a cursor on all pages but the last."""
+    path, k = _scratch(spark, "follows"), F.col("c_custkey") % 20
+    from pyspark.sql import Window
+
+    numbered = tables.table(spark, folder, "customer").select(F.concat(F.lit("u"), k.cast("string"), F.lit(".a.social")).alias("account"), k.alias("k"), "c_custkey", "c_name", (F.row_number().over(Window.partitionBy(k).orderBy("c_custkey")) - 1).alias("at"))
+    row = F.struct(F.col("c_custkey").alias("at"), F.concat(F.lit("did:"), F.col("c_custkey").cast("string")).alias("did"), F.col("c_name").alias("handle"))
+    pages = numbered.groupBy("account", "k", F.floor(F.col("at") / 5).cast("int").alias("page")).agg(F.sort_array(F.collect_list(row)).alias("follows"))  # five rows each
+    pages.select("account", "page", F.when((F.col("k") != 7) | (F.col("page") != 3), "more").alias("cursor"), "follows").write.json(path)
+    return feeds.follow_pages(spark, path)
+
+
 # ------------------------------------------------------------- unicode text
 
 _emoji = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{1F900}-\\x{1F9FF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}]"
@@ -611,11 +665,11 @@ def stream_upsert(spark, folder):
     place = _scratch(spark, "stream")
     schema = tables.table(spark, folder, "events").schema
     tables.table(spark, folder, "events").repartition(4).write.parquet(f"{place}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    stream = upsert.polite(spark.readStream.schema(schema)).parquet(f"{place}/in")
     rows = stream.select("user_id", "event_type", F.col("value").alias("confidence"), F.col("event_id").alias("seq"))
     running = upsert.upsert_stream(rows, place, ["user_id", "event_type"])
     running.awaitTermination()
-    return upsert.current_state(spark, place, running)
+    return upsert.current_state(spark, place, rows.schema)
 
 
 @query(f"WITH {o.RESULTS} SELECT count(*) FILTER (id % 13 <> 0) AS good, count(*) FILTER (id % 13 = 0) AS bad FROM results")
@@ -631,6 +685,14 @@ def scan_complete(spark, folder):
     return upsert.scan_complete(rows.where("platform <> 'view'"), rows)
 
 
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'pattern-fallback' ELSE 'model' END AS method, CASE WHEN event_id % 3 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN event_id % 3 = 0 THEN 0.6::DOUBLE ELSE value / 100 END AS confidence FROM events")
+def fallback_verdicts(spark, folder):
+    """Events whose model verdict is missing fall back to the rules' one."""
+    verdict = lambda status, confidence: F.struct(F.lit(status).alias("status"), confidence.alias("confidence"))
+    rows = tables.table(spark, folder, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, verdict("open", F.col("value") / 100)).alias("model"), verdict("closed", F.lit(0.6)).alias("rules"))
+    return upsert.with_fallback(rows).select("event_id", "verdict.method", "verdict.status", "verdict.confidence")
+
+
 # ----------------------------------------------------------------- flagship
 
 

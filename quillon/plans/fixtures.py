@@ -60,8 +60,8 @@ def components(spark: SparkSession, folder: str) -> DataFrame:
     )
     items = table(spark, folder, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     item_key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    gallery = items.where("l_linenumber = 1").select(
-        F.col("o_custkey").alias("profile_id"), F.lit("gallery").alias("kind"), F.col("l_orderkey").alias("pos"), phrase(item_key).alias("text"),
+    gallery = items.select(
+        F.col("o_custkey").alias("profile_id"), F.lit("gallery").alias("kind"), item_key.alias("pos"), phrase(item_key).alias("text"),
         F.when(item_key % 11 != 0, as_of() - F.make_dt_interval((item_key % 100).cast("int"))).alias("event_time"), F.lit(False).alias("is_pinned"), (item_key % 22 != 0).alias("date_present"),
     )
     events = table(spark, folder, "events")

@@ -67,9 +67,9 @@ components AS MATERIALIZED (
   UNION ALL SELECT c_custkey, 'bio', 0, CASE WHEN c_custkey % 4 <> 3 THEN {PHRASE("c_custkey * 7 + 18")} ELSE '' END, NULL, false, false FROM customer
   UNION ALL SELECT c_custkey, 'commission_status', 0, CASE c_custkey % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE '' END, NULL, false, false FROM customer
   UNION ALL SELECT o_custkey, 'journal', k, {PHRASE("k")}, {TS} - to_days((k % 120)::INT), false, true FROM latest
-  UNION ALL SELECT o_custkey, 'gallery', l_orderkey, {PHRASE("l_orderkey * 8 + l_linenumber")},
+  UNION ALL SELECT o_custkey, 'gallery', l_orderkey * 8 + l_linenumber, {PHRASE("l_orderkey * 8 + l_linenumber")},
     CASE WHEN (l_orderkey * 8 + l_linenumber) % 11 <> 0 THEN {TS} - to_days(((l_orderkey * 8 + l_linenumber) % 100)::INT) END, false, (l_orderkey * 8 + l_linenumber) % 22 <> 0
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey
   UNION ALL SELECT user_id, 'post', event_id, {PHRASE("event_id")}, ts, event_id % 7 = 0, true FROM events)"""
 
 _name = bullet("text", "1.0::DOUBLE", True)

@@ -2,14 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 FEED_LIMIT, PAGE_LIMIT, PAGE_ROWS = 5, 10, 100
 POST = "struct<uri:string,cid:string,url:string,text:string,created_at:timestamp,author:struct<did:string,handle:string,display_name:string>,reply_count:bigint,repost_count:bigint,like_count:bigint,embed:string,is_pinned:boolean>"
@@ -51,36 +45,20 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-class FollowPages(DataSource):
-    """``spark.read.format("follow_pages").load(folder)``: landed pages of a follow
-    list, ``<account>.<page>.json`` with ``follows`` and ``cursor``; at most ten
-    pages of an account, the list ending at the first page without a cursor."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "follow_pages"
-
-    def schema(self) -> str:
-        return "account string, page int, pos int, did string, handle string"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _FollowReader(self.options["path"])
-
-
-class _FollowReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(a) for a in sorted({p.name.split(".")[0] for p in Path(self.path).glob("*.*.json")})]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for page in range(PAGE_LIMIT):
-            file = Path(self.path) / f"{partition.value}.{page}.json"
-            if not file.exists():
-                return
-            data = json.loads(file.read_text())
-            for pos, row in enumerate(data.get("follows", [])[:PAGE_ROWS]):
-                yield partition.value, page, pos, row.get("did"), row.get("handle")
-            if not data.get("cursor"):
-                return
+def follow_pages(spark: SparkSession, path: str, page_limit: int = PAGE_LIMIT, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """(account, page, pos, did, handle) of landed pages of follow lists.
+
+    A page is a JSON line with ``account``, ``page``, ``cursor`` and ``follows``; accounts are any
+    text, paths whatever Spark reads.  An account has at most ``page_limit`` pages of
+    ``page_rows`` rows, and its list ends behind the first page without a cursor, or
+    before the first that is missing; a page that landed twice counts once.
+    """
+    schema = "account string, page int, cursor string, follows array<struct<did:string,handle:string>>"
+    pages = spark.read.schema(schema).json(path).where((F.col("page") >= 0) & (F.col("page") < page_limit) & F.col("account").isNotNull())
+    once = pages.groupBy("account", "page").agg(F.max_by(F.struct("cursor", "follows"), F.struct(F.size("follows"), "cursor")).alias("p"))
+    # at most page_limit rows of an account
+    before = Window.partitionBy("account").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    led = F.count(F.when(F.coalesce(F.length("p.cursor"), F.lit(0)) > 0, 1)).over(before)
+    kept = once.withColumn("led", led).where("led = page")
+    rows = kept.select("account", "page", F.posexplode(F.slice("p.follows", 1, page_rows)).alias("pos", "row"))
+    return rows.select("account", "page", "pos", "row.did", "row.handle")

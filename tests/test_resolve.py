@@ -69,7 +69,7 @@ def test_stream_state_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     query = upsert.upsert_stream(stream, str(tmp_path), ["username"])
     query.awaitTermination()
-    state = {tuple(r) for r in upsert.current_state(spark, str(tmp_path), query).collect()}
+    state = {tuple(r) for r in upsert.current_state(spark, str(tmp_path), frame.schema).collect()}
     assert state == {tuple(r) for r in resolve.exact_dedupe(frame, ["username"]).collect()}
 
 
@@ -96,11 +96,60 @@ def test_gallery(spark):
 
 
 def test_follow_pages(spark, tmp_path):
-    (tmp_path / "me.0.json").write_text('{"follows": [{"did": "d1", "handle": "a"}], "cursor": "x"}')
-    (tmp_path / "me.1.json").write_text('{"follows": [{"did": "d2", "handle": "b"}]}')
-    (tmp_path / "me.2.json").write_text('{"follows": [{"did": "d3", "handle": "c"}]}')
-    spark.dataSource.register(feeds.FollowPages)
-    assert sorted(r["did"] for r in spark.read.format("follow_pages").load(str(tmp_path)).collect()) == ["d1", "d2"]
+    page = lambda account, n, did, cursor="": f'{{"account": "{account}", "page": {n}, "follows": [{{"did": "{did}", "handle": "h"}}], "cursor": "{cursor}"}}'
+    lines = [page("me", 0, "d1", "x"), page("me", 1, "d2"), page("me", 2, "d3"), page("a.b.social", 0, "d4", "x"), page("a.b.social", 2, "d5", "x"), page("a.b.social", 0, "d4", "x")]
+    (tmp_path / "one.json").write_text("\n".join(lines[:3]))
+    (tmp_path / "two.json").write_text("\n".join([*lines[3:], "no json"]))
+    assert sorted(r["did"] for r in feeds.follow_pages(spark, str(tmp_path)).collect()) == ["d1", "d2", "d4"]
+
+
+def test_stream_state_is_kept_in_parts(spark, tmp_path):
+    schema = "k long, confidence double, seq long"
+    rows = [(k % 7, k * 37 % 11 / 11, k) for k in range(60)]
+    for n in range(6):
+        spark.createDataFrame(rows[n * 10 : n * 10 + 10], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = upsert.polite(spark.readStream.schema(schema)).parquet(f"{tmp_path}/in/*")
+        running = upsert.upsert_stream(stream, str(tmp_path / "out"), ["k"])  # stopped and resumed each time
+        running.awaitTermination()
+    want = {}
+    for k, c, s in rows:
+        if k not in want or c > want[k][0]:
+            want[k] = (c, s)
+    got = upsert.current_state(spark, str(tmp_path / "out"), stream.schema)
+    assert {r["k"]: (r["confidence"], r["seq"]) for r in got.collect()} == want
+    assert len(list((tmp_path / "out" / "versions").iterdir())) == upsert.VERSIONS
+    assert upsert.current_state(spark, str(tmp_path / "none"), stream.schema).count() == 0
+
+
+def test_errors_are_counted(spark):
+    from pyspark.sql import functions as F
+
+    rows, seen = upsert.counted_errors(spark.range(10), F.col("id") % 3 == 0)
+    assert rows.count() == 10
+    assert seen.get == {"total": 10, "errors": 4}
+
+
+def test_long_names_meet_on_grams(spark):
+    random.seed(9)
+    base = "".join(random.choice("abcdefgh") for _ in range(90))
+    names = [base, base[:60], base[20:], base[:40], base[5:52], base[:30], "x" * 70, "x" * 50, base[10:45]] + [base] * 4
+    frame = people(spark, [(k, "a", n, n, "open", 0.5, None, k) for k, n in enumerate(names)])
+    got = {tuple(r) for r in resolve.name_pairs(frame, frame).collect()}
+    similar = lambda x, y: min(x, y, key=len) in max(x, y, key=len) and min(len(x), len(y)) / max(len(x), len(y)) >= 0.7
+    assert got == {(i, j) for (i, x), (j, y) in itertools.product(enumerate(names), repeat=2) if similar(x, y)}
+
+
+@pytest.mark.parametrize("form", ["NFC", "NFD", "NFKC", "NFKD"])
+def test_normal_forms(spark, form):
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    from quillon.functions import unicode as uni
+
+    texts = [None, "", "abc", "e" + chr(769) + chr(0xE9), chr(0xFB01) + " " + chr(0x2460), chr(0xAC00)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", uni.normalise(F.col("t"), form).alias("n")).collect()
+    assert all(r["n"] == (r["t"] if r["t"] is None else unicodedata.normalize(form, r["t"])) for r in rows)
 
 
 def test_csv(spark, tmp_path):
