@@ -126,12 +126,27 @@ def approximate_score(text: str, pattern: str, threshold: float = THRESHOLD, dis
     return best
 
 
+def may_match(column: Column, pattern: str, threshold: float = THRESHOLD) -> Column:
+    """Whether an approximate occurrence is possible; it never rules one out.
+
+    Of one more pieces of the pattern than errors are allowed, one occurs as it
+    is.  Texts beyond ASCII always may match, as their lower case may depend on
+    the engine.
+    """
+    m = len(pattern)
+    n = 1 + sum(e / m <= threshold for e in range(1, m + 1))
+    cuts = [m * k // n for k in range(n + 1)]
+    pieces = sorted({pattern[a:b] for a, b in zip(cuts, cuts[1:])})
+    text = F.coalesce(column, F.lit(""))
+    return F.exists(F.array(*[F.lit(p) for p in pieces]), lambda p: F.contains(F.lower(text), p)) | text.rlike(r"[^\x00-\x7F]")
+
+
 def fuzzy_search(rows: DataFrame, term: str, keys: dict[str, float] | None = None) -> DataFrame:
     """Rows with a search_score (lower is better); the blank term keeps all at 0.
 
     Scores of the columns that match multiply, each raised to its weight by the
-    field's length norm.  The approximate matcher is an Arrow UDF; apply cheap
-    filters before it.
+    field's length norm.  The approximate matcher is an Arrow UDF; rows in which
+    no column ``may_match`` never reach it.
     """
     if not term.strip():
         return rows.withColumn("search_score", F.lit(0.0))
@@ -152,6 +167,7 @@ def fuzzy_search(rows: DataFrame, term: str, keys: dict[str, float] | None = Non
             out.append(product if any_hit else None)
         return pd.Series(out, dtype="float64")
 
+    rows = rows.where(reduce(lambda a, b: a | b, [may_match(F.col(k), pattern) for k in keys]))
     return rows.withColumn("search_score", score(*[F.col(k) for k in keys])).where("search_score is not null")
 
 

@@ -345,7 +345,20 @@ def substring_search(spark, folder):
     return browse.substring_search(tables.table(spark, folder, "part"), "Ring", ["p_name"]).select("p_partkey", F.col("place").cast("long").alias("place"))
 
 
-@query()
+def _approximate(column: str, term: str, weight: float) -> str:
+    """SQL: (p_partkey, factor) of the best substring by edit distance, any text against the whole term."""
+    m, norm = len(term), f"sqrt(greatest(1, len(regexp_extract_all({column}, '[^ ]+'))))"
+    score = f"levenshtein(substr(lower({column}), s, e - s + 1), '{term}') / {m}::DOUBLE + greatest(0, e - {m}) / {browse.DISTANCE}::DOUBLE"
+    ends = f"SELECT p_partkey, {column}, unnest(range(1, length({column}) + 1)) AS e FROM part"
+    places = f"SELECT p_partkey, {column}, e, unnest(range(greatest(1, e - {2 * m} + 1), e + 1)) AS s FROM ({ends})"
+    return f"SELECT p_partkey, pow(greatest(min({score}), pow(2::DOUBLE, -52)), {weight}::DOUBLE / {norm}) AS f FROM ({places}) WHERE {score} <= {browse.THRESHOLD}::DOUBLE GROUP BY p_partkey, {column}"
+
+
+_terms = {"p_name": 0.4, "p_brand": 0.3, "p_type": 0.15}  # the weights of display_name, username and bio
+_factors = " UNION ALL ".join(_approximate(c, "smal rng", w / sum(_terms.values())) for c, w in _terms.items())
+
+
+@query(f"SELECT p_partkey, any_value(p_name) AS display_name, round(product(f), 9) AS search_score FROM ({_factors}) JOIN part USING (p_partkey) GROUP BY p_partkey")
 def fuzzy_search(spark, folder):
     rows = tables.table(spark, folder, "part").select("p_partkey", F.col("p_name").alias("display_name"), F.col("p_type").alias("bio"), F.col("p_brand").alias("username"))
     return browse.fuzzy_search(rows, "smal rng").select("p_partkey", "display_name", F.round("search_score", 9).alias("search_score"))

@@ -195,3 +195,15 @@ def test_substring_blocking_loses_nothing(spark):
         return x == y or (short in long and len(short) / len(long) >= (0.6 if len(short) < 6 else 0.7))
 
     assert got == {(i, j) for (i, x), (j, y) in itertools.product(enumerate(names), repeat=2) if similar(x, y)}
+
+
+def test_approximate_search_leaves_nothing_out(spark):
+    from quillon.operators import browse
+
+    random.seed(11)
+    for term in ("a", "ab", "fox art", "fuchs zeichnet tiere"):
+        texts = ["", None, "İ" + term, term.upper(), *("".join(random.choice(term + "xyZ ") for _ in range(random.randrange(1, 40))) for _ in range(150))]
+        texts += ["".join(random.choice(term) if random.random() < 0.25 else c for c in term) for _ in range(50)]
+        rows = spark.createDataFrame(list(enumerate(texts)), "k long, display_name string")
+        want = {k for k, t in enumerate(texts) if t and browse.approximate_score(t.lower(), term) is not None}
+        assert {r["k"] for r in browse.fuzzy_search(rows, term).collect()} == want
