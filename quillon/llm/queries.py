@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, lbl, line_crf, mixing, rabitq, simhash, token_files, toxicity, warc
+from . import bpe, kdtree, lbl, line_crf, mixing, rabitq, simhash, template, token_files, toxicity, warc, wavelet, yinyang
 from .shared import table
 
 
@@ -72,10 +72,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_embedding_near_dedup, op2_kdtree_shards, op3_simhash, op4_warc_index, op5_quality_crf, op6_poisson_mixing, op7_lbl_scoring, op8_byte_bpe, op9_token_files, op10_toxicity]
+    found = [op1_embedding_near_dedup, op2_kdtree_shards, op3_simhash, op4_warc_index, op5_quality_crf, op6_poisson_mixing, op7_lbl_scoring, op8_byte_bpe, op9_token_files, op10_toxicity, op11_html_template, op12_yinyang_clusters, op13_wavelet_search]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": rabitq.SQL, "op4_warc_index": warc.SQL, "op6_poisson_mixing": mixing.MIX_SQL}
+    return {"op1_embedding_near_dedup": rabitq.SQL, "op4_warc_index": warc.SQL, "op6_poisson_mixing": mixing.MIX_SQL, "op12_yinyang_clusters": yinyang.SQL, "op13_wavelet_search": wavelet.SQL}
