@@ -7,7 +7,8 @@ others; support counts distinct min-hash signatures, so a text copied fifty
 times is one witness.  Features are densities of lexicon words and stems, their
 proximity to second-person words, rates of capitals, punctuation, symbols,
 digits and obfuscated spellings, and length.  Trees are grown in numpy on
-histograms; rows of one fold calibrate the scores with pool-adjacent violators.
+histograms; rows of one fold, which neither lexicon nor trees have seen, calibrate
+the scores with pool-adjacent violators.
 Every text is scored as a whole in one pass that never leaves its partition.
 
 Edge cases: a null text is empty; empty texts have zero features and get the
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bytes_of, encode_dictionary, materialise, plain, remainder, slices, split_words, sums_between
+from .shared import bytes_of, encode_dictionary, materialise, plain, remainder, slices, split_words, sums_between, tidy
 
 #: Labelled rows that are learned from, at most; they bound the lexicon, too.
 MOST_LABELS = 20_000
@@ -203,7 +204,16 @@ def _signed_terms(batch: pa.RecordBatch) -> Iterator[tuple[int, set[str]]]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MOST_LABELS) -> Model:
-    """Fit on labelled rows whose crc32(id) mod 4 is not 2; those with 1 calibrate."""
+    """Fit on labelled rows whose crc32(id) mod 4 is not 2.
+
+    Rows with 0 and 3 give the lexicon and the trees; rows with 1 have no part in
+    either and only calibrate, so the knots are fitted on margins of unseen texts.
+    """
+    with tidy(docs.sparkSession):
+        return _train(docs, labels, id_col, text_col, label_col, most)
+
+
+def _train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> Model:
     fold = remainder(id_col, 4)
     sample = (
         labels.where(F.col(label_col).isNotNull())
@@ -226,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 out.update((t, s) for w in words for t in terms_of(w))
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([s for _, s in out], pa.int64())], ["term", "signature"])
 
-    counted = materialise(rows.where("toxic = 1").select("text").mapInArrow(toxic_terms, "term string, signature long").distinct().groupBy("term").agg(F.count("*").alias("n")), "toxic-terms")
+    counted = materialise(rows.where("toxic = 1 and fold <> 1").select("text").mapInArrow(toxic_terms, "term string, signature long").distinct().groupBy("term").agg(F.count("*").alias("n")), "toxic-terms")
     n_toxic = (counted.where("term = ''").first() or {"n": 0})["n"]
     least = max(LEAST, SUPPORT * n_toxic)
     support = {r["term"]: r["n"] for r in counted.where((F.col("term") != "") & (F.col("n") >= least)).orderBy(F.desc("n"), "term").collect()}
@@ -241,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             counts[""] = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-    clean = {r["term"]: r["n"] for r in rows.where("toxic = 0").select("text").mapInArrow(clean_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    clean = {r["term"]: r["n"] for r in rows.where("toxic = 0 and fold <> 1").select("text").mapInArrow(clean_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n_clean = max(1, clean.pop("", 0))
     lift = {t: (n / n_toxic) / ((clean.get(t, 0) + 0.5) / n_clean) for t, n in support.items()}
     lexicon = {t: math.log(v) for t, v in lift.items() if v >= LIFT}
