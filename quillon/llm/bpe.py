@@ -5,9 +5,19 @@ contracted once.  Pieces that are tokens themselves need no merging.  For the
 others a recursive query keeps one row per open piece: its tokens are unnested
 into token-position rows, adjacent rows join the merge table, the smallest
 (rank, position) of each piece is contracted, and pieces without a mergeable
-pair leave the recursion.  Long pieces have a query of their own, which contracts
-all places of a piece's smallest rank in one step.  Each text is decoded from its own ids, by a lookup
-of token bytes in their order; ``bpe_decode`` is an ordered aggregation of them.
+pair leave the recursion.  Each text is decoded from its own ids: they are
+position rows again, joined with the tokens' bytes, sorted, and put together in that
+order by an aggregation.
+
+Long pieces are cut first where two bytes stand together in no token, as no merge
+crosses such a place.  What is still long goes through the query in short
+overlapping windows.  Two windows are joined at a place where both have a border
+and the tokens beside it stay apart when their bytes are encoded alone: a sequence
+of tokens is the encoding of its bytes exactly if that holds for all neighbours.
+Where windows have no such place (repetitive texts, whose windows are out of step),
+a wide window is encoded from a border of the last one, by a query that contracts
+all places of a piece's smallest rank in one step.  Time grows with the length, and
+memory is that of a window's query and of the ids.
 
 Pieces are worked off in batches of bounded size, so memory does not grow with
 the partition; a batch of rows is bounded by bytes, a long text is a batch of
@@ -37,6 +47,10 @@ from .shared import CACHES, slices
 PIECES, REMEMBERED = 50_000, 250_000
 #: Bytes from which a piece is a long one, and of the long pieces of one query.
 LONG, LONG_BYTES = 128, 1 << 18
+#: Bytes of the windows of a long piece, and of what two of them share; bytes of a wide window.
+WINDOW, OVERLAP, WIDE = 120, 48, 1 << 15
+#: Parts of a long piece that are encoded together, and ids of one decoded group.
+PARTS, DECODED = 50_000, 1 << 18
 
 CONTRACT = """
 WITH RECURSIVE state(w, ids, done) AS (
@@ -79,9 +93,11 @@ WITH RECURSIVE state(w, ids, done) USING KEY (w) AS (
    FROM state s LEFT JOIN few c ON c.w = s.w LEFT JOIN many m ON m.w = s.w WHERE NOT s.done))
 SELECT w, ids FROM state
 """
-EXPAND = """
-SELECT w, string_agg(t.hex, '' ORDER BY pos) AS hex, string_agg(id::VARCHAR, ',' ORDER BY pos) AS said
-FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) x JOIN tokens t USING (id)
+#: Rows are sorted by text and place and put together in that order: one thread reads them as they
+#: come, which costs a fifth of an order inside the aggregate.
+DECODE = """
+SELECT w, string_agg(bytes, '') AS bytes
+FROM (SELECT w, pos, t.bytes FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM encoded) x JOIN tokens t USING (id) ORDER BY w, pos)
 GROUP BY w
 """
 
@@ -101,14 +117,19 @@ class Encoder:
         self.cut = regex.compile(pattern).findall
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
         self.db = connect()
-        tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        #: bytes of a token as characters 0 to 255
+        tokens = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})
         pairs = [(self.ranks[t[:i]] << 32 | self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         merges = pa.table({"pair": pa.array([p for p, _ in pairs], pa.int64()), "rank": pa.array([r for _, r in pairs], pa.int32())})
         first = [(p, r) for p, r in pairs if r < max(p >> 32, p & 0xFFFFFFFF)]  # tokens of smaller rank than one of their parts
         early = pa.table({"pair": pa.array([p for p, _ in first], pa.int64()), "rank": pa.array([r for _, r in first], pa.int32())})
-        by_id: list[bytes | None] = [None] * (max(self.ranks.values()) + 1)
+        self.size = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.together = np.zeros(1 << 16, bool)  # bytes that are neighbours in a token
+        self.by_id = dict(zip(self.ranks.values(), self.ranks, strict=True))
         for t, r in self.ranks.items():
-            by_id[r] = t
+            self.size[r] = len(t)
+            for a, b in zip(t, t[1:]):
+                self.together[a << 8 | b] = True
         for name, rows in (("tokens", tokens), ("merges", merges), ("early", early)):
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
@@ -116,28 +137,111 @@ class Encoder:
         #: piece -> its ids as decimal text, of this and the last generation
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        #: bytes of every token, by id
-        self.bytes = pa.array(by_id, pa.binary())
+        #: whether two tokens stay apart, in this piece
+        self.apart: dict[tuple[int, int], bool] = {}
 
     def learn(self, pieces: list[str]) -> None:
         """Encode pieces that are not known yet."""
         for at in range(0, len(pieces), PIECES):
-            part = pieces[at : at + PIECES]
-            raw = [p.encode() for p in part]
-            whole = [self.ranks.get(r) for r in raw]
-            starts = [[self.byte[b] for b in r] if w is None else [w] for r, w in zip(raw, whole, strict=True)]
-            kind = pa.list_(pa.int32())
-            todo = [k for k, w in enumerate(whole) if w is None]
-            merged = pa.concat_tables([self._contract(CONTRACT, [k for k in todo if len(raw[k]) < LONG], starts), *[self._contract(CONTRACT_LONG, some, starts) for some in _bundles([k for k in todo if len(raw[k]) >= LONG], raw)]])
-            done = [k for k, w in enumerate(whole) if w is not None]
-            single = pa.table({"w": pa.array(done, pa.int32()), "ids": pa.array([starts[k] for k in done], kind)})
-            self.db.register("encoded", pa.concat_tables([merged, single]))
-            out = self.db.sql(EXPAND).to_arrow_table()
-            for k, said in zip(out["w"].to_pylist(), out["said"].to_pylist(), strict=True):
-                self.known[part[k]] = said
-            self.db.unregister("encoded")
-
-    def _contract(self, query: str, todo: list[int], starts: list[list[int]]) -> pa.Table:
+            raw = [(p, p.encode()) for p in pieces[at : at + PIECES]]
+            short = [(p, r) for p, r in raw if len(r) < LONG or r in self.ranks]
+            for (p, _), ids in zip(short, self.merge([r for _, r in short]), strict=True):
+                self.known[p] = ",".join(map(str, ids.tolist()))
+            for p, r in raw:
+                if len(r) >= LONG and r not in self.ranks:
+                    self.known[p] = ",".join(map(str, self.encode_long(r).tolist()))
+
+    def merge(self, raw: list[bytes]) -> list[np.ndarray]:
+        """Ids of byte strings, by the recursive queries."""
+        whole = [self.ranks.get(r) for r in raw]
+        out: list[np.ndarray] = [np.array([w], np.int32) if w is not None else np.zeros(0, np.int32) for w in whole]
+        todo = [k for k, w in enumerate(whole) if w is None and raw[k]]
+        starts = {k: [self.byte[b] for b in raw[k]] for k in todo}
+        merged = [self._contract(CONTRACT, [k for k in todo if len(raw[k]) < LONG], starts)]
+        merged += [self._contract(CONTRACT_LONG, some, starts) for some in _bundles([k for k in todo if len(raw[k]) >= LONG], raw)]
+        for table in merged:
+            for part in table.to_batches():
+                flat, ends = part["ids"].flatten().to_numpy(), np.concatenate(([0], np.cumsum(part["ids"].value_lengths().to_numpy())))
+                for n, k in enumerate(part["w"].to_pylist()):
+                    out[k] = flat[ends[n] : ends[n + 1]]
+        return out
+
+    # ------------------------------------------------------------ long pieces
+
+    def encode_long(self, raw: bytes) -> np.ndarray:
+        """Ids of a long piece, part by part."""
+        data = np.frombuffer(raw, np.uint8).astype(np.int32)
+        cuts = np.flatnonzero(~self.together[data[:-1] << 8 | data[1:]]) + 1
+        ends = [0, *cuts.tolist(), len(raw)]
+        found: list[np.ndarray] = []
+        for at in range(0, len(ends) - 1, PARTS):
+            parts = [raw[a:b] for a, b in zip(ends[at : at + PARTS], ends[at + 1 : at + PARTS + 1])]
+            short = list({p for p in parts if len(p) < LONG})
+            known = dict(zip(short, self.merge(short), strict=True))
+            found += [known[p] if p in known else self._windows(p) for p in parts]
+        self.apart.clear()
+        return np.concatenate(found)
+
+    def _apart(self, pairs: set[tuple[int, int]]) -> None:
+        """Learn of pairs of tokens whether they stay apart when they are encoded together."""
+        new = [p for p in pairs if p not in self.apart]
+        for (a, b), ids in zip(new, self.merge([self.by_id[a] + self.by_id[b] for a, b in new]), strict=True):
+            self.apart[a, b] = ids.tolist() == [a, b]
+
+    def _windows(self, raw: bytes) -> np.ndarray:
+        """Ids of a part without sure cuts, from windows that overlap."""
+        starts = list(range(0, max(1, len(raw) - OVERLAP), WINDOW - OVERLAP))
+        texts = [raw[s : s + WINDOW] for s in starts]
+        ids: dict[bytes, np.ndarray] = {}
+        distinct = list(set(texts))
+        for at in range(0, len(distinct), PIECES):
+            ids |= zip(distinct[at : at + PIECES], self.merge(distinct[at : at + PIECES]), strict=True)
+        ends = {t: np.cumsum(self.size[i]) for t, i in ids.items()}
+        step, cache = WINDOW - OVERLAP, {}
+        for a, b in zip(texts, texts[1:]):
+            if (a, b) not in cache:
+                cache[a, b] = _borders(ids[a], ends[a], ids[b], ends[b] + step)
+        self._apart({(int(ids[a][i]), int(ids[b][j])) for (a, b), places in cache.items() for i, j in places})
+        out: list[np.ndarray] = []
+        k, mine, first, begin = 0, ids[texts[0]], 0, 0  # the window in hand, its ids, those already given out, its place
+        while True:
+            wide = begin != starts[k] or mine is not ids[texts[k]]
+            if not wide and k + 1 == len(texts):
+                break
+            if wide:
+                end = begin + int(self.size[mine].sum())
+                if end >= len(raw):
+                    break
+                nxt = max(0, end - OVERLAP) // step
+                places = _borders(mine, begin + np.cumsum(self.size[mine]), ids[texts[nxt]], starts[nxt] + ends[texts[nxt]])
+                self._apart({(int(mine[i]), int(ids[texts[nxt]][j])) for i, j in places})
+            else:
+                nxt, places = k + 1, cache[texts[k], texts[k + 1]]
+            good = next(((i, j) for i, j in places if i >= first and self.apart[int(mine[i]), int(ids[texts[nxt]][j])]), None)
+            if good:
+                out.append(mine[first : good[0] + 1])
+                k, mine, first, begin = nxt, ids[texts[nxt]], good[1], starts[nxt]
+                continue
+            # out of step: go on from a border of the window in hand
+            last, i, own = begin + np.cumsum(self.size[mine]), len(mine) - 2, None
+            while i >= first and own is None:
+                at = int(last[i])
+                text = raw[at : at + WIDE]
+                if text not in ids:
+                    ids[text] = self.merge([text])[0]
+                pair = int(mine[i]), int(ids[text][0])
+                self._apart({pair})
+                own = ids[text] if self.apart[pair] and (at + len(text) == len(raw) or len(ids[text]) > 1) else None
+                i -= own is None
+            if own is None:  # no border will do: the rest at once
+                out.append(self.merge([raw[begin + int(self.size[mine[:first]].sum()) :]])[0])
+                return np.concatenate(out)
+            out.append(mine[first : i + 1])
+            mine, first, begin = own.copy(), 0, at
+        out.append(mine[first:])
+        return np.concatenate(out)
+
+    def _contract(self, query: str, todo: list[int], starts: dict[int, list[int]]) -> pa.Table:
         """(w, ids) of the pieces in ``todo``, by the recursive query."""
         schema = pa.schema([("w", pa.int32()), ("ids", pa.list_(pa.int32()))])
         given = pa.table({"w": pa.array(todo, pa.int32()), "ids": pa.array([starts[k] for k in todo], pa.list_(pa.int32()))}, schema)
@@ -158,16 +262,46 @@ class Encoder:
         for p in self.older.keys() & new:
             self.known[p] = self.older[p]
         self.learn(list(new.difference(self.older)))
-        for pieces in cut:
-            said = ",".join(map(self.known.__getitem__, pieces))
-            yield said, self.decode(said)
+        said = [",".join(map(self.known.__getitem__, pieces)) for pieces in cut]
+        yield from zip(said, decode(self.db, [ids_of(x) for x in said]), strict=True)
 
-    def decode(self, said: str) -> bytes:
-        """The bytes of the tokens that a text's own ids name, in their order."""
-        if not said:
-            return b""
-        _, offsets, data = self.bytes.take(pa.array(np.fromstring(said, dtype=np.int32, sep=","))).buffers()
-        return data.to_pybytes()[: int(np.frombuffer(offsets, np.int32)[count_ids(said)])]
+
+def ids_of(said: str) -> np.ndarray:
+    return np.fromstring(said, dtype=np.int32, sep=",") if said else np.zeros(0, np.int32)
+
+
+def decode(db, ids: list[np.ndarray]) -> list[bytes]:
+    """Bytes of each list of ids, by the ordered aggregation over the tokens' table."""
+    parts = [(k, i[at : at + DECODED]) for k, i in enumerate(ids) for at in range(0, len(i), DECODED)]
+    out: list[list[bytes]] = [[] for _ in ids]
+    for some in _by_size(parts):
+        lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(i) for _, i in some]))).astype(np.int32), np.concatenate([i for _, i in some]))
+        db.register("encoded", pa.table({"w": pa.array(range(len(some)), pa.int32()), "ids": lists}))
+        found = db.sql(DECODE).to_arrow_table()
+        text = dict(zip(found["w"].to_pylist(), found["bytes"].to_pylist(), strict=True))
+        db.unregister("encoded")
+        for n, (k, _) in enumerate(some):
+            out[k].append(text[n].encode("latin-1"))
+    return [b"".join(x) for x in out]
+
+
+def _by_size(parts: list[tuple[int, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray]]]:
+    some, size = [], 0
+    for part in parts:
+        if some and size + len(part[1]) > 4 * DECODED:
+            yield some
+            some, size = [], 0
+        some.append(part)
+        size += len(part[1])
+    if some:
+        yield some
+
+
+def _borders(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> list[tuple[int, int]]:
+    """(token of a, token of b) beside up to four places where both windows have a border, the middle ones first."""
+    _, i, j = np.intersect1d(a_ends[:-1], b_ends[:-1], assume_unique=True, return_indices=True)
+    middle = np.argsort(np.abs(np.arange(len(i)) - len(i) // 2), kind="stable")[:4]
+    return [(int(i[m]), int(j[m]) + 1) for m in middle]
 
 
 def connect():
@@ -228,7 +362,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
             n, ids, same = [], [], []
             for text, (said, raw) in zip(texts, encoder(path, pattern).encode(texts), strict=True):
                 n.append(count_ids(said))
-                ids.append(np.fromstring(said, dtype=np.int32, sep=",") if said else np.zeros(0, np.int32))
+                ids.append(ids_of(said))
                 same.append(raw == (text or "").encode())
             names = [f.name for f in carried]
             lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(n))).astype(np.int32), np.concatenate(ids))
@@ -245,13 +379,9 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", carry:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         db = connect()
         ranks = load_ranks(path)
-        db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        db.register("tokens", pa.table({"id": pa.array(ranks.values(), pa.int32()), "bytes": [t.decode("latin-1") for t in ranks]}))
         for batch in batches:
-            ids = batch.column("bpe_ids").to_pylist()
-            db.register("encoded", pa.table({"w": pa.array(range(len(ids)), pa.int32()), "ids": pa.array([x or [] for x in ids], pa.list_(pa.int32()))}))
-            out = db.sql(EXPAND).to_arrow_table()
-            texts = dict(zip(out["w"].to_pylist(), out["hex"].to_pylist(), strict=True))
-            db.unregister("encoded")
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in carried], pa.array([bytes.fromhex(texts.get(k, "")).decode("utf-8", "replace") for k in range(len(ids))])], [*[f.name for f in carried], "text"])
+            texts = [raw.decode("utf-8", "replace") for raw in decode(db, [np.array(x or [], np.int32) for x in batch.column("bpe_ids").to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in carried], pa.array(texts, pa.string())], [*[f.name for f in carried], "text"])
 
     return encoded.select(*[F.col(f.name) for f in carried], F.col(ids_col).alias("bpe_ids")).mapInArrow(run, schema)

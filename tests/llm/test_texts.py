@@ -5,10 +5,12 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -441,6 +443,57 @@ def test_bpe_of_long_pieces():
         assert raw == text.encode()
 
 
+def own_tokenizer(encoder):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=queries.byte_bpe()[1], mergeable_ranks=encoder.ranks, special_tokens={})
+
+
+def test_bpe_of_pieces_of_any_shape():
+    """Random, repetitive and mixed long pieces over small and large alphabets."""
+    encoder = bpe.Encoder(*queries.byte_bpe())
+    given, rng = own_tokenizer(encoder), random.Random(8)
+    for _ in range(120):
+        of = rng.choice(["ab", "abc", "aaaaab", "theandingofion", "abcdefghijklmnopqrstuvwxyz", chr(233) + chr(224) + "a", "=-", chr(0x4E2D) + chr(0x6587)])
+        n = rng.randrange(120, 900)
+        unit = "".join(rng.choice(of) for _ in range(rng.randrange(1, 9)))
+        loose = "".join(rng.choice(of) for _ in range(n))
+        text = rng.choice([loose, (unit * n)[:n], (unit * n)[:n] + loose, loose + (unit * n)[:n] + loose])
+        said, raw = next(encoder.encode([text]))
+        assert (said, raw) == (",".join(map(str, given.encode_ordinary(text))), text.encode())
+
+
+def test_bpe_of_windows_out_of_step(monkeypatch):
+    """Wide windows and the last resort give the same ids."""
+    monkeypatch.setattr(bpe, "WIDE", 400)
+    encoder = bpe.Encoder(*queries.byte_bpe())
+    given = own_tokenizer(encoder)
+    for unit in ("a", "abc", "the", "=", "xyzzy", "ing"):
+        text = unit * (6000 // len(unit))
+        assert next(encoder.encode([text]))[0] == ",".join(map(str, given.encode_ordinary(text)))
+    monkeypatch.setattr(bpe, "_borders", lambda *_: [])
+    for text in ("xyzzy" * 300, "".join(random.Random(2).choice("etaoin") for _ in range(2000))):
+        assert next(encoder.encode([text]))[0] == ",".join(map(str, given.encode_ordinary(text)))
+
+
+@pytest.mark.parametrize(("make", "limit"), [(lambda: "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), 60), (lambda: "a" * 10_000_000, 60), (lambda: "abc" * 1_000_000, 60)])
+def test_bpe_of_very_long_pieces_in_time(make, limit):
+    encoder, text = bpe.Encoder(*queries.byte_bpe()), make()
+    began = time.perf_counter()
+    said, raw = next(encoder.encode([text]))
+    assert time.perf_counter() - began < limit
+    assert raw == text.encode()
+    assert said == ",".join(map(str, own_tokenizer(encoder).encode_ordinary(text)))
+
+
+def test_token_stage_takes_a_very_long_piece(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a" * 10_000_000), (2, "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=300_000))), (3, None)], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    rows = corpus_pipeline.tokens(spark, docs, str(tmp_path)).select("doc_id", "round_trip", F.size("token_ids").alias("n"), "n_tokens").collect()
+    assert len(rows) == 3 and all(r["round_trip"] and r["n"] == r["n_tokens"] for r in rows)
+
+
 def test_bpe_decodes_each_text_from_its_own_ids():
     encoder = bpe.Encoder(*queries.byte_bpe())
     text = "Ein kleiner Ring, größer als fünf."
@@ -462,6 +515,43 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
+def test_toxicity_calibration_labels_move_only_the_knots(spark):
+    folder = "/root/testdata/sf0.01"
+    frame, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    turned = labels.withColumn("toxic", F.when(fold == 1, (F.xxhash64("doc_id") % 2 == 0).cast("int")).otherwise(F.col("toxic")))
+    a, b = toxicity.train(frame, labels), toxicity.train(frame, turned)
+    assert a.lexicon == b.lexicon and len(a.trees) == len(b.trees)
+    assert all((x[0] == y[0]).all() and (x[1] == y[1]).all() and (x[2] == y[2]).all() for x, y in zip(a.trees, b.trees, strict=True))
+    assert [k.tolist() for k in a.knots] != [k.tolist() for k in b.knots]
+
+
+def plain_margin(model, row):
+    """A margin by walking each tree with plain comparisons."""
+    out = model.base
+    for split_on, split_at, leaf in model.trees:
+        node = 0
+        for level in range(int(math.log2(len(leaf)))):
+            k, at = int(split_on[2**level - 1 + node]), int(split_at[2**level - 1 + node])
+            node = 2 * node + (sum(1 for e in model.edges[k] if e < row[k]) > at)
+        out += float(leaf[node])
+    return out
+
+
+def test_toxicity_scores_equal_plain_loops(spark):
+    folder = "/root/testdata/sf0.001"
+    frame, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    assert len(model.trees[0][2]) == 8  # depth 3
+    texts = {r["doc_id"]: r["text"] for r in frame.collect()}
+    for r in toxicity.score(frame, model).collect():
+        row = toxicity.features(pa.array([texts[r["doc_id"]]], pa.string()), model.lexicon)[0].tolist()
+        m, (xs, ys) = plain_margin(model, row), model.knots
+        at = sum(1 for x in xs if x <= m)
+        want = ys[0] if at == 0 else ys[-1] if at == len(xs) else ys[at - 1] + (ys[at] - ys[at - 1]) * (m - xs[at - 1]) / (xs[at] - xs[at - 1])
+        assert abs(r["score"] - min(1, max(0, want))) < 1e-9
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     folder = "/root/testdata/sf0.001"
     frame, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
@@ -496,12 +586,18 @@ def test_toxicity_learns_from_one_text_of_an_id(spark):
     labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)] * 3, "doc_id long, toxic int")
     seen = {}
     real = toxicity.materialise
-    toxicity.materialise = lambda df, name, **k: seen.setdefault(name, real(df, name, **k))
+
+    def written(df, name, **how):
+        out = real(df, name, **how)
+        seen[name] = out.collect()  # the table goes when training ends
+        return out
+
+    toxicity.materialise = written
     try:
         toxicity.train(frame, labels)
     finally:
         toxicity.materialise = real
-    learned = seen["toxic-labelled"].collect()
+    learned = seen["toxic-labelled"]
     assert len(learned) == len({r["doc_id"] for r in learned}) <= 40
     assert all(r["text"] == min(t for i, t, _ in rows if i == r["doc_id"]) for r in learned)
 
