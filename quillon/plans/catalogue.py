@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon, rules, scalars
 from ..functions import unicode as uni
-from ..operators import browse, components, ensemble, resolve
+from ..operators import blocks, browse, components, ensemble, resolve
 from ..sources import feeds, html, tables
-from ..streaming import upsert
+from ..streaming import arrivals, upsert
 from . import fixtures as fx
 from . import oracle as o
 
@@ -685,6 +685,38 @@ def stream_upsert(spark, folder):
     return upsert.current_state(spark, place, rows.schema)
 
 
+def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """Both platforms' profiles, then every fourth customer once more with another verdict."""
+    a, b, key = fx.platform_a(spark, folder), fx.platform_b(spark, folder), F.col("id")
+    again = a.where(key % 4 == 0).withColumns({"status": F.when(key % 3 == 1, "open").otherwise("unclear"), "confidence": F.pmod(key * 29, F.lit(101)) / 100.0, "last_updated": fx.as_of()})
+    later = lambda rows, by: rows.withColumn("seq", F.col("seq") + by)
+    return arrivals.arrived(a.unionByName(later(b, 1_000_000)).unionByName(later(again, 2_000_000)))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    said = F.transform(F.array_sort(F.map_entries("platform_data")), lambda e: F.concat(e["key"], F.lit("="), e["value"]["status"]))
+    return arrivals.results_of(rows).select("id", "username", "platform", "status", "confidence", joined("platforms").alias("platforms"), F.coalesce(F.array_join(said, "|"), F.lit("")).alias("platform_data"))
+
+
+@query(o.ARRIVALS)
+def arrivals_merged(spark, folder):
+    """Cross-platform merging of all arrivals as one batch."""
+    rows = _arrivals(spark, folder)
+    return _merged(arrivals.merge_arrivals(rows, blocks.name_blocks(rows.select("username", "display_name"))))
+
+
+@query(o.ARRIVALS)
+def arrivals_stream(spark, folder):
+    """The same as a stream of two files, by two runs of the query: the second goes on from the saved state and offsets."""
+    place, rows = _scratch(spark, "arrivals"), _arrivals(spark, folder)
+    known = tables.settled(blocks.name_blocks(rows.select("username", "display_name")))
+    for part in ("seq < 1000050", "seq >= 1000050"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{place}/in")
+        stream = upsert.polite(spark.readStream.schema(arrivals.ARRIVAL)).parquet(f"{place}/in")
+        arrivals.merge_stream(stream, known, place).awaitTermination()
+    return _merged(arrivals.merged_results(spark, place))
+
+
 @query(f"WITH {o.RESULTS} SELECT count(*) FILTER (id % 13 <> 0) AS good, count(*) FILTER (id % 13 = 0) AS bad FROM results")
 def dead_letters(spark, folder):
     good, bad = upsert.dead_letters(fx.results(spark, folder))

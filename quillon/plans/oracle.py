@@ -170,3 +170,33 @@ RELATIVE = f"""CASE WHEN t IS NULL THEN 'never' WHEN {_seconds} < 60 THEN 'just
  WHEN {_seconds} // 86400 < 7 THEN ({_seconds} // 86400)::VARCHAR || 'd ago' WHEN {_seconds} // 604800 < 4 THEN ({_seconds} // 604800)::VARCHAR || 'w ago'
  WHEN {_seconds} // 2592000 < 12 THEN ({_seconds} // 2592000)::VARCHAR || 'mo ago' ELSE ({_seconds} // 31536000)::VARCHAR || 'y ago' END"""
 SHORT = f"""CASE WHEN {_seconds} // 60 < 1 THEN 'just now' WHEN {_seconds} // 60 < 60 THEN ({_seconds} // 60)::VARCHAR || 'm ago' WHEN {_seconds} // 3600 < 24 THEN ({_seconds} // 3600)::VARCHAR || 'h ago' ELSE ({_seconds} // 86400)::VARCHAR || 'd ago' END"""
+
+#: Arrivals of both platforms and a second look at every fourth customer, one step after the other.
+ARRIVALS = """WITH first AS (
+  SELECT c_custkey AS k, 'Maker' || lpad(c_custkey::VARCHAR, 6, '0') AS username, 'furaffinity' AS platform,
+    CASE c_custkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'unclear' END AS status, ((c_custkey * 37) % 101) / 100.0::DOUBLE AS confidence, -(c_custkey % 50) AS age
+  FROM customer),
+second AS (
+  SELECT s_suppkey AS k, 'maker' || lpad(s_suppkey::VARCHAR, 6, '0') || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '.bsky.social' ELSE '_art' END AS username, 'bluesky' AS platform,
+    CASE WHEN s_suppkey % 2 = 0 THEN 'open' ELSE 'closed' END AS status, ((s_suppkey * 53) % 101) / 100.0::DOUBLE AS confidence, -(s_suppkey % 40) AS age
+  FROM supplier),
+third AS (
+  SELECT k, username, platform, CASE WHEN k % 3 = 1 THEN 'open' ELSE 'unclear' END AS status, ((k * 29) % 101) / 100.0::DOUBLE AS confidence FROM first WHERE k % 4 = 0),
+ranks AS (SELECT 'open' AS status, 3 AS r UNION ALL SELECT 'unclear', 2 UNION ALL SELECT 'closed', 1),
+met AS (
+  SELECT f AS f, s AS s, s.k IS NOT NULL AND (rs.r, s.confidence, s.age) > (rf.r, f.confidence, f.age) AS new_wins
+  FROM first f LEFT JOIN second s ON s.k = f.k AND (f.k % 3 <> 1 OR f.k % 5 = 0)
+  JOIN ranks rf ON rf.status = f.status LEFT JOIN ranks rs ON rs.status = s.status),
+merged AS (
+  SELECT f.k AS id, CASE WHEN new_wins THEN s ELSE f END AS base, s.k IS NOT NULL AS two,
+    CASE WHEN s.k IS NULL THEN 'furaffinity' WHEN new_wins THEN 'bluesky|furaffinity' ELSE 'furaffinity|bluesky' END AS platforms, f.status AS on_first, s.status AS on_second
+  FROM met),
+looked AS (
+  SELECT merged.*, t AS t, t.k IS NOT NULL AND base.platform = 'furaffinity' AND t.confidence > base.confidence AS updated, t.k IS NOT NULL AND base.platform = 'bluesky' AS apart
+  FROM merged LEFT JOIN third t ON t.k = merged.id)
+SELECT id, base.username AS username, CASE WHEN updated THEN t.platform ELSE base.platform END AS platform, CASE WHEN updated THEN t.status ELSE base.status END AS status,
+  CASE WHEN updated THEN t.confidence ELSE base.confidence END AS confidence, platforms,
+  CASE WHEN two THEN 'bluesky=' || on_second || '|furaffinity=' || CASE WHEN updated THEN t.status ELSE on_first END WHEN updated THEN 'furaffinity=' || t.status ELSE '' END AS platform_data
+FROM looked
+UNION ALL SELECT 2000000 + id, t.username, t.platform, t.status, t.confidence, 'furaffinity', '' FROM looked WHERE apart
+UNION ALL SELECT 1000000 + k, username, platform, status, confidence, 'bluesky', '' FROM second WHERE NOT EXISTS (SELECT 1 FROM met WHERE met.s.k = second.k)"""
