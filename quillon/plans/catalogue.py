@@ -11,7 +11,7 @@ from ..functions import lexicon, rules, scalars
 from ..functions import unicode as uni
 from ..operators import blocks, browse, components, ensemble, resolve
 from ..sources import feeds, html, tables
-from ..streaming import arrivals, upsert
+from ..streaming import arrivals, upsert, watch
 from . import fixtures as fx
 from . import oracle as o
 
@@ -685,6 +685,30 @@ def stream_upsert(spark, folder):
     return upsert.current_state(spark, place, rows.schema)
 
 
+@query("SELECT count(*) AS rows_seen, count(*) FILTER (value > 90) AS errors, count(DISTINCT (user_id, event_type)) AS results FROM events")
+def scan_resumed(spark, folder):
+    """The events in three files, stopped behind the first batch and resumed; rows and bad rows counted by batches."""
+    place, events = _scratch(spark, "scan"), tables.table(spark, folder, "events")
+    for n in range(3):
+        events.where(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    name = place.rsplit("/", 1)[1]
+
+    def start(every=None):
+        stream = upsert.polite(spark.readStream.schema(events.schema)).parquet(f"{place}/in")
+        rows = stream.select("user_id", "event_type", F.col("value").alias("confidence"), F.col("event_id").alias("seq"))
+        return upsert.upsert_stream(watch.counted(rows, F.col("confidence") > 90), place, ["user_id", "event_type"], every=every, name=name)
+
+    seen = watch.watched(spark, name)
+    try:
+        watch.stop_after(start("1 second"), seen, 0)
+        watch.patiently(start, seen)
+        seen.wait_for(2)
+    finally:
+        spark.streams.removeListener(seen)
+    results = upsert.current_state(spark, place, tables.table(spark, folder, "events").select("user_id", "event_type", F.col("value").alias("confidence"), F.col("event_id").alias("seq")).schema)
+    return results.agg(F.lit(seen.seen.rows).cast("long").alias("rows_seen"), F.lit(seen.seen.errors).cast("long").alias("errors"), F.count("*").alias("results"))
+
+
 def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """Both platforms' profiles, then every fourth customer once more with another verdict."""
     a, b, key = fx.platform_a(spark, folder), fx.platform_b(spark, folder), F.col("id")

@@ -28,7 +28,7 @@ def merged(state: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
 VERSIONS, PARTS = 2, 16
 
 
-def upsert_stream(source: DataFrame, folder: str, keys: list[str], every: str | None = None, parts: int = PARTS) -> StreamingQuery:
+def upsert_stream(source: DataFrame, folder: str, keys: list[str], every: str | None = None, parts: int = PARTS, name: str | None = None) -> StreamingQuery:
     """Merge every micro-batch into a Parquet state of its own version.
 
     Version n is a function of version n - 1 and batch n, so a batch that is
@@ -57,7 +57,8 @@ def upsert_stream(source: DataFrame, folder: str, keys: list[str], every: str |
         _drop_old(spark, folder, number, {x for v in _versions(spark, folder, number - VERSIONS + 1).values() for x in v.values()})
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return source.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint").trigger(**trigger).start()
+    sink = source.writeStream.foreachBatch(apply).option("checkpointLocation", f"{folder}/checkpoint")
+    return (sink.queryName(name) if name else sink).trigger(**trigger).start()
 
 
 def _listed(spark: SparkSession, path: str) -> list[str]:
