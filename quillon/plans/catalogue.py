@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, rules, scalars
 from ..functions import unicode as uni
 from ..operators import blocks, browse, components, ensemble, resolve
-from ..sources import feeds, html, tables
+from ..sources import feeds, html, landing, tables
 from ..streaming import arrivals, upsert, watch
 from . import fixtures as fx
 from . import oracle as o
@@ -621,6 +621,77 @@ def follow_pages(spark, folder):
     return feeds.follow_pages(spark, path)
 
 
+FOLLOWS_SQL = """WITH f AS (SELECT 'u' || (c_custkey % 20) || '/b.social' AS account, 'did:' || c_custkey AS did, c_name AS handle, c_custkey % 20 AS k, row_number() OVER (PARTITION BY c_custkey % 20 ORDER BY c_custkey) - 1 AS place FROM customer)
+SELECT account, (place // 5)::INT AS page, (place % 5)::INT AS pos, did, handle FROM f WHERE place // 5 < 10 AND (k <> 7 OR place // 5 <= 3)"""
+
+
+def _follow_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as follow lists in pages of five, each page a JSON document; the list of account 7 ends at its page 3."""
+    from pyspark.sql import Window
+
+    k = F.col("c_custkey") % 20
+    account = F.concat(F.lit("u"), k.cast("string"), F.lit("/b.social"))
+    numbered = tables.table(spark, folder, "customer").select(account.alias("account"), k.alias("k"), "c_custkey", "c_name", (F.row_number().over(Window.partitionBy(k).orderBy("c_custkey")) - 1).alias("at"))
+    row = F.struct("at", F.concat(F.lit("did:"), F.col("c_custkey").cast("string")).alias("did"), F.col("c_name").alias("handle"))
+    pages = numbered.groupBy("account", "k", F.floor(F.col("at") / 5).cast("int").alias("page")).agg(F.sort_array(F.collect_list(row)).alias("follows"))  # five rows each
+    return pages.select("account", "page", F.to_json(F.struct(F.when((F.col("k") != 7) | (F.col("page") != 3), "more").alias("cursor"), "follows")).alias("body"))
+
+
+@query(FOLLOWS_SQL)
+def follow_source(spark, folder):
+    """Follow lists landed as one file a page, read by a task for each few accounts."""
+    path = _scratch(spark, "landed")
+    landing.land(_follow_pages(spark, folder), path)
+    return landing.follows(spark, path)
+
+
+@query(FOLLOWS_SQL)
+def follow_stream(spark, folder):
+    """The same as a stream: two pages of each list, then the rest; the second run goes on at its cursors."""
+    place, pages = _scratch(spark, "landed"), _follow_pages(spark, folder)
+    for part in ("page < 2", "page >= 2"):
+        landing.land(pages.where(part), f"{place}/in")
+        rows = landing.follow_stream(spark, f"{place}/in")
+        rows.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/at").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(landing.FOLLOWS).parquet(f"{place}/out")
+
+
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events),
+p AS (SELECT c_custkey AS k, c_name, list(event_id ORDER BY nth) FILTER (nth <= 5) AS feed, any_value(event_id) FILTER (nth = 3 AND c_custkey % 2 = 0) AS pinned FROM customer LEFT JOIN n ON user_id = c_custkey AND nth <= 6 GROUP BY c_custkey, c_name),
+q AS (SELECT *, CASE WHEN pinned IS NULL THEN coalesce(feed, []) ELSE [pinned] || list_filter(feed, lambda x: x <> pinned) END AS posts FROM p)
+SELECT 'a' || k || '.social' AS username, CASE WHEN k % 3 = 0 THEN 'a' || k || '.social' ELSE c_name END AS display_name, CASE WHEN k % 5 = 0 THEN 0 ELSE k END AS follower_count, len(posts)::INT AS n_posts, array_to_string(posts, ',') AS posts,
+  pinned AS pinned_post, CASE WHEN pinned IS NULL THEN posts[1] ELSE posts[2] END AS recent_post FROM q""")
+def people_source(spark, folder):
+    """Customers' profiles with the first of their events as feed and every second one's third event pinned, landed and read in one go."""
+    from pyspark.sql import Window
+
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    path, key = _scratch(spark, "people"), F.col("c_custkey")
+    people = tables.table(spark, folder, "customer").select("c_custkey", "c_name", text("a", key, ".social").alias("account"))
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    posts = tables.table(spark, folder, "events").withColumn("at", at).where("at <= 6").join(people, F.col("user_id") == key)
+    post = F.struct(text("at://did:", key, "/app.bsky.feed.post/", F.col("event_id")).alias("uri"), F.struct(F.col("account").alias("handle")).alias("author"), F.struct(F.col("event_type").alias("text"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt")).alias("record"))
+    uri = F.max(F.when((F.col("at") == 3) & (key % 2 == 0), post))
+    fed = posts.groupBy("account").agg(F.sort_array(F.collect_list(F.struct("at", post.alias("post")))).alias("feed"), uri.alias("pinned"))  # at most six posts of a person
+    rows = people.join(fed, "account", "left")
+    profile = F.to_json(F.struct(F.col("account").alias("handle"), F.when(key % 3 != 0, F.col("c_name")).otherwise("").alias("displayName"), F.when(key % 5 != 0, key).alias("followersCount"), F.when(F.col("pinned").isNotNull(), F.struct("pinned.uri")).alias("pinnedPost")))
+    bodies = {"profile": profile, "feed": F.to_json(F.struct(F.coalesce("feed", F.array()).alias("feed"))), "pinned": F.to_json(F.struct(F.struct(F.col("pinned").alias("post")).alias("thread")))}
+    landing.land(rows.select("account", F.explode(F.array(*[F.struct(F.lit(k).alias("page"), v.alias("body")) for k, v in bodies.items()])).alias("p")).select("account", "p.page", "p.body"), path)
+    number = lambda p: feeds.last_segment(p["uri"])
+    got = landing.people(spark, path)
+    return got.select("username", "display_name", "follower_count", F.size("posts").alias("n_posts"), F.array_join(F.transform("posts", number), ",").alias("posts"), number(F.col("pinned_post")).cast("long").alias("pinned_post"), number(F.col("recent_post")).cast("long").alias("recent_post"))
+
+
+@query("SELECT row_number() OVER (ORDER BY k) AS line_number, line FROM (SELECT 0 AS k, 'key,text' AS line UNION ALL SELECT p_partkey + 1, '\"' || p_partkey || '\",\"' || replace(p_name || ' \"' || p_brand || '\"', '\"', '\"\"') || '\"' FROM part)")
+def csv_file(spark, folder):
+    """An export in one file: parts written by tasks, joined in order; read back as lines."""
+    path = f"{_scratch(spark, 'export')}/export.csv"
+    rows = tables.table(spark, folder, "part").select(F.col("p_partkey").alias("key"), F.concat("p_name", F.lit(' "'), "p_brand", F.lit('"')).alias("text"))
+    landing.write_csv_file(rows.repartitionByRange(8, "key").sortWithinPartitions("key"), path)
+    lines = F.split(F.col("value"), "\n")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("at", "line")).select((F.col("at") + 1).cast("long").alias("line_number"), "line")
+
+
 # ------------------------------------------------------------- unicode text
 
 _emoji = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{1F900}-\\x{1F9FF}\\x{2600}-\\x{26FF}\\x{2700}-\\x{27BF}]"
