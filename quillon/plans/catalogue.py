@@ -535,21 +535,28 @@ def capture_and_collapse(spark, folder):
     return tables.table(spark, folder, "pages").select("page_id", F.regexp_extract("url", "://([^/]+)", 1).alias("host"), F.md5(scalars.collapsed_long_text(F.col("html")).cast("binary")).alias("collapsed"))
 
 
-@query(f"""WITH {o.PLATFORM_A} SELECT 'https://x.example/user/' || username AS url, username, display_name, 'https://a.example/' || id || '.gif' AS avatar_url, CASE WHEN id % 3 = 0 THEN NULL ELSE 'Bio of ' || display_name END AS bio,
-CASE id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'unknown' END AS commission_status FROM a""")
+@query(f"""WITH {o.PLATFORM_A} SELECT 'https://x.example/user/' || username AS url, username, display_name, 'https://a.example/' || id || '.gif' AS avatar_url, CASE WHEN id % 3 = 0 THEN '' ELSE 'Bio of ' || display_name || ' & co' END AS bio,
+substr('News ' || repeat('<' || id || '> ', 1800), 1, 5000) AS journal, CASE id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'unknown' END AS commission_status FROM a WHERE id % 2 = 0
+UNION ALL SELECT 'https://x.example/user/' || username, username, display_name, 'https://a.example/' || id || '.gif', CASE WHEN id % 3 = 0 THEN '' ELSE 'Bio of ' || display_name || ' & co' END, 'News',
+CASE id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'unknown' END FROM a WHERE id % 2 = 1""")
 def profile_extract(spark, folder):
-    """Profile pages are put together from rows, then read back by the parser."""
+    """Profile pages are put together from rows, then read back by selectors; every second journal is beyond the limit."""
     key = F.col("id")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-    bio = F.when(key % 3 == 0, "").otherwise(text('<div class="userpage-profile"><div class="section-body">Bio of <b>', F.col("display_name"), "</b></div></div>"))
+    bio = F.when(key % 3 == 0, "").otherwise(text('<section class="userpage-profile section-body"><div>Bio of <b>', F.col("display_name"), "</b></div> &amp; co</section>"))
     row = F.when(key % 4 == 0, "Yes").when(key % 4 == 1, "No").otherwise("?")
-    page = text('<img class="user-nav-avatar" src="//a.example/', key, '.gif"><span class="js-displayName"> ', F.col("display_name"), "</span>", bio, '<div class="table-row"><div>Accepting Commissions</div><span>', row, "</span></div>")
+    journal = text('<div class="user-submitted-links">\n News ', F.when(key % 2 == 0, F.repeat(text("&lt;", key, "&gt; "), F.lit(1800))).otherwise(""), "</div>")
+    page = text(
+        '<userpage-nav-avatar><a><img src="//a.example/', key, '.gif"></a></userpage-nav-avatar><span class="js-displayName"> ', F.col("display_name"), "</span>", bio,
+        '<div class="table-row">No<div class="userpage-profile-question">Another</div></div><div class="table-row"><div class="userpage-profile-question"><b>Accepting Commissions</b></div><span>', row, "</span></div>", journal,
+    )
     pages = fx.platform_a(spark, folder).select(F.concat(F.lit("https://x.example/user/"), "username").alias("url"), page.alias("html"))
-    return html.profile_pages(pages).drop("journal")
+    return html.profile_pages(pages)
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem)
-SELECT 'p' || l_orderkey AS url, pos::INT AS pos, (l_orderkey || '-' || pos) AS id, CASE WHEN pos % 2 = 0 THEN 'Title ' || l_partkey ELSE '' END AS title, 'fox n' || l_linenumber AS tags, CASE WHEN pos % 2 = 0 THEN 'Jan 5, 2024 03:04 PM' END AS date_raw, CASE WHEN pos % 2 = 0 THEN TIMESTAMP '2024-01-05 15:04:00' END AS event_time, 'https://x.example/view/' || l_partkey AS item_url FROM x WHERE pos < 10""")
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem)
+SELECT 'p' || l_orderkey AS url, pos::INT AS pos, l_orderkey || '-' || pos AS id, CASE WHEN pos % 2 = 0 THEN 'Title <' || l_partkey || '>' ELSE '' END AS title, CASE WHEN l_linenumber = 3 THEN '' ELSE 'fox & n' || l_linenumber END AS tags,
+  CASE WHEN pos % 2 = 0 THEN 'Jan 5, 2024 03:04 PM' END AS date_raw, CASE WHEN pos % 2 = 0 THEN TIMESTAMP '2024-01-05 15:04:00' END AS event_time, 'https://x.example/view/' || l_partkey || '?a=1&b=2' AS item_url FROM x WHERE pos < 10""")
 def gallery_extract(spark, folder):
     """Gallery pages with their embedded metadata are put together from rows, then read back."""
     from pyspark.sql import Window
@@ -558,10 +565,11 @@ def gallery_extract(spark, folder):
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) - 1
     rows = tables.table(spark, folder, "lineitem").withColumn("pos", place)
     ident = text(F.col("l_orderkey"), "-", F.col("pos"))
-    figure = text('<figure id="sid-', ident, '" class="t"><a href="/view/', F.col("l_partkey"), '"><img data-tags="fox n', F.col("l_linenumber"), '"></a></figure>')
-    meta = F.when(F.col("pos") % 2 == 0, text('"', ident, '": {"title": "Title ', F.col("l_partkey"), '", "date_full": "Jan 5, 2024 03:04 PM"}'))
+    tags = F.when(F.col("l_linenumber") == 3, "").otherwise(text("fox &amp; n", F.col("l_linenumber")))
+    figure = text('<figure id="sid-', ident, '" class="t"><b><u><a href="/view/', F.col("l_partkey"), '?a=1&amp;b=2"><img data-tags="', tags, '"></a></u></b></figure>')
+    meta = text('"', ident, '": {"title": "', F.when(F.col("pos") % 2 == 0, text("Title <", F.col("l_partkey"), ">")).otherwise(""), '", "date_fuzzy": "a while ago"', F.when(F.col("pos") % 2 == 0, ', "date_full": "Jan 5, 2024 03:04 PM"').otherwise(""), "}")
     grouped = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("pos", figure.alias("f"), meta.alias("m")))).alias("x"))
-    page = text(F.array_join("x.f", ""), '<script id="js-submissionData" type="application/json">{', F.array_join("x.m", ", "), "}</script>")
+    page = text('<figure id="sid-0"><img data-tags="featured"></figure><section id="gallery-latest-submissions">', F.array_join("x.f", ""), '</section><script id="js-submissionData" type="application/json">{', F.array_join("x.m", ", "), "}</script>")
     out = html.gallery(grouped.select(text("p", F.col("l_orderkey")).alias("url"), page.alias("html")), "https://x.example")
     return out.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
 
@@ -569,13 +577,13 @@ def gallery_extract(spark, folder):
 @query("""WITH f AS (SELECT c_custkey // 100 AS page, c_custkey % 100 AS k, c_custkey FROM customer), w AS (SELECT s_suppkey // 10 + 1 AS page, s_suppkey % 10 AS k, s_suppkey FROM supplier)
 SELECT 'favourites' AS list, page, 'user' || c_custkey AS username FROM f UNION ALL SELECT 'watchlist', page, 'user' || s_suppkey FROM w""")
 def list_pages(spark, folder):
-    """Pages of both lists are put together from rows, then read back by the patterns."""
+    """Pages of both lists are put together from rows, then read back by selectors; names stand in nested elements."""
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    figure = text('<figure id="sid-', c, '"><p>t</p><p>by</p><p><a href="/user/user', c, '/">x</a></p></figure>')
-    favourites = tables.table(spark, folder, "customer").groupBy(F.floor(c / 100).alias("page")).agg(F.array_join(F.collect_list(figure), "").alias("html"))
-    item = text('<div class="flex-item-watchlist aligncenter"><a href="/user/user', s, '/">x</a></div>')
-    watch = tables.table(spark, folder, "supplier").groupBy((F.floor(s / 10) + 1).alias("page")).agg(F.array_join(F.collect_list(item), "").alias("html"))
+    figure = text('<figure id="sid-', c, '"><p>1</p><p>2</p><p><a href="/user/none/">x</a></p><figcaption><label><p>t<p>by<p><i>x</i><a href="/user/user', c, '/">x</a><a href="/user/none/">x</a></label></figcaption></figure>')
+    favourites = tables.table(spark, folder, "customer").groupBy(F.floor(c / 100).alias("page")).agg(text("<section>", F.array_join(F.collect_list(figure), ""), "</section>").alias("html"))
+    item = text('<div class="flex-item-watchlist aligncenter"><div><div>x</div></div><div><a href="/user/user', s, '/">x</a></div></div>')
+    watch = tables.table(spark, folder, "supplier").groupBy((F.floor(s / 10) + 1).alias("page")).agg(text('<div class="flex-watchlist">', F.array_join(F.collect_list(item), ""), '</div><a href="/user/none/">x</a>').alias("html"))
     both = html.favourites_page(favourites).withColumn("list", F.lit("favourites")).unionByName(html.watchlist_page(watch).withColumn("list", F.lit("watchlist")))
     return both.select("list", "page", "username")
 

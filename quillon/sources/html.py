@@ -1,23 +1,51 @@
 """Extraction of profiles, lists and galleries from landed HTML pages.
 
-Pages are rows (url, html).  Lists and links are pulled out with built-in
-regular expressions; nested markup goes through one Arrow pass with the
-standard library's parser.
+Pages are rows (url, html).  Links are pulled out with built-in regular expressions;
+everything else goes through one Arrow pass a page, in which selectors run over the
+markup's events: nested elements, references and unclosed tags are read as browsers
+read them.  A page whose html is null couldn't be fetched.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import find, inside
+
 JOURNAL_LIMIT, DESCRIPTION_LIMIT, GALLERY_LIMIT, LAST_PAGE = 5000, 1000, 10, 10
-# Elements without an end tag.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+def per_page(pages: DataFrame, keep: list[str], read: Callable[[str], list[tuple]], schema: str) -> DataFrame:
+    """Columns ``keep`` of each page with the rows (of texts and ints) that ``read`` makes of its html; pages without html have none."""
+    fields = [f for f in pages.schema.fields if f.name in keep]
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    names = [f.name for f in fields]
+    columns = [c.split()[0] for c in schema.split(",")]
+    kinds = [pa.int32() if c.split()[1] == "int" else pa.string() for c in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[] if html is None else read(html) for html in batch.column("html").to_pylist()]
+            places = pa.array([n for n, rows in enumerate(found) for _ in rows], pa.int64())
+            rows = [r for some in found for r in some]
+            if rows:
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(places) for c in names], *[pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]], [*names, *columns])
+
+    return pages.select(*names, "html").mapInArrow(run, f"{kept}, {schema}")
+
+
+def _user(match: object) -> str | None:
+    found = re.search("/user/([^/]+)", match.attributes.get("href", "")) if match else None
+    return found[1] if found else None
+
+
+def _numbered(names: list[str | None]) -> list[tuple[int, str]]:
+    return list(enumerate(dict.fromkeys(n for n in names if n)))
 
 
 def links(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
@@ -29,18 +57,46 @@ def links(pages: DataFrame, pattern: str, html: str = "html") -> DataFrame:
 
 
 def favourites_page(pages: DataFrame) -> DataFrame:
-    """Artists of a favourites page: the user link in the third paragraph of each figure."""
-    figures = F.regexp_extract_all("html", F.lit(r'(?s)<figure[^>]*id="sid-[^"]*"[^>]*>(.*?)</figure>'), F.lit(1))
-    third = F.transform(figures, lambda f: F.get(F.regexp_extract_all(f, F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1)), F.lit(2)))
-    users = F.array_distinct(F.filter(F.transform(third, lambda p: F.regexp_extract(F.coalesce(p, F.lit("")), "/user/([^/\"']+)", 1)), lambda u: u != ""))
-    return pages.select("page", F.posexplode(users).alias("pos", "username"))
+    """Artists of a favourites page: the first link in the third paragraph of each figure's label."""
+
+    def read(html: str) -> list[tuple]:
+        got = find(html, {"figure": 'section figure[id^="sid-"]', "link": "figcaption label p:nth-child(3) a"})
+        return _numbered([_user(next(iter(inside(f, got["link"])), None)) for f in got["figure"]])
+
+    return per_page(pages, ["page"], read, "pos int, username string")
 
 
 def watchlist_page(pages: DataFrame) -> DataFrame:
-    """Artists of a watchlist page: user links inside its items."""
-    items = F.regexp_extract_all("html", F.lit(r'(?s)<div[^>]*class="[^"]*flex-item-watchlist[^"]*"[^>]*>(.*?)</div>'), F.lit(1))
-    users = F.array_distinct(F.filter(F.transform(items, lambda i: F.regexp_extract(i, "href=\"/user/([^/\"']+)", 1)), lambda u: u != ""))
-    return pages.select("page", F.posexplode(users).alias("pos", "username"))
+    """Artists of a watchlist page: user links inside its items, however deep."""
+
+    def read(html: str) -> list[tuple]:
+        return _numbered([_user(m) for m in find(html, {"link": '.flex-watchlist .flex-item-watchlist a[href^="/user/"]'})["link"]])
+
+    return per_page(pages, ["page"], read, "pos int, username string")
+
+
+def scanned_lists(favourites: DataFrame, watchlist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both lists of pages (page, html) as one, and (list, errors).
+
+    A page that couldn't be fetched ends its list, is counted as its error if the
+    list has come as far, and doesn't touch the other list.
+    """
+    rows = [favourites_page(favourites), watchlist_page(watchlist)]
+    errors = []
+    for number, (pages, found) in enumerate(zip((favourites, watchlist), rows, strict=True)):
+        last = _bounded(found, number).agg(F.max("page").alias("last"))
+        lost = pages.where("html is null").select("page").crossJoin(F.broadcast(last)).where(F.col("page") == F.coalesce(F.col("last") + 1, F.lit(number)))  # one row on the right
+        errors.append(lost.agg(F.lit(number).alias("list"), F.count_distinct("page").alias("errors")))
+    return two_lists(*rows), errors[0].unionByName(errors[1])
+
+
+def _bounded(rows: DataFrame, number: int) -> DataFrame:
+    """Rows of a list up to its end, with its number; favourites count from page 0, the watchlist from 1."""
+    rows = rows.where(F.col("page") <= LAST_PAGE)
+    first = rows.groupBy("username").agg(F.min("page").alias("page"))
+    new = first.groupBy("page").agg(F.count("*").alias("n"))  # at most 11 pages
+    last = new.select("page", (F.col("page") - F.row_number().over(Window.orderBy("page"))).alias("gap")).where(F.col("gap") == number - 1).agg(F.max("page").alias("last"))
+    return rows.crossJoin(F.broadcast(last)).where("page <= last").drop("last").withColumn("list", F.lit(number))
 
 
 def two_lists(favourites: DataFrame, watchlist: DataFrame) -> DataFrame:
@@ -49,15 +105,7 @@ def two_lists(favourites: DataFrame, watchlist: DataFrame) -> DataFrame:
     A list ends before an empty page, before a page without a name new to it, and
     after page 10, favourites counting from 0 and the watchlist from 1.
     """
-    def bounded(rows: DataFrame, number: int) -> DataFrame:
-        rows = rows.where(F.col("page") <= LAST_PAGE)
-        first = rows.groupBy("username").agg(F.min("page").alias("page"))
-        new = first.groupBy("page").agg(F.count("*").alias("n"))  # at most 11 pages
-        start = 0 if number == 0 else 1
-        last = new.select("page", (F.col("page") - F.row_number().over(Window.orderBy("page"))).alias("gap")).where(F.col("gap") == start - 1).agg(F.max("page").alias("last"))
-        return rows.crossJoin(F.broadcast(last)).where("page <= last").drop("last").withColumn("list", F.lit(number))
-
-    both = bounded(favourites, 0).unionByName(bounded(watchlist, 1))
+    both = _bounded(favourites, 0).unionByName(_bounded(watchlist, 1))
     return both.groupBy("username").agg(F.min(F.struct("list", "page", "pos")).alias("p")).select("p.*", "username")
 
 
@@ -66,66 +114,34 @@ def stated_status(row_text: Column) -> Column:
     return F.when(F.contains(row_text, F.lit("Yes")), "open").when(F.contains(row_text, F.lit("No")), "closed").otherwise("unknown")
 
 
-class _Page(HTMLParser):
-    """Text of elements by class, and attributes of some tags."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str]] = []
-        self.texts: dict[str, list[str]] = {}
-        self.first: dict[str, str] = {}
-        self.rows: list[list[str]] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        classes = a.get("class") or ""
-        if tag == "img" and "avatar" in classes + " ".join(c for _, c in self.stack):
-            self.first.setdefault("avatar", a.get("src") or "")
-        if "table-row" in classes.split():
-            self.rows.append([])
-        for c in classes.split():
-            self.texts.setdefault(c, []).append("")
-        if tag not in VOID:
-            self.stack.append((tag, classes))
-
-    def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
-
-    def handle_data(self, data: str) -> None:
-        if any(t in ("script", "style") for t, _ in self.stack):
-            return
-        for c in {c for _, classes in self.stack for c in classes.split()}:
-            self.texts[c][-1] += data
-        if self.rows and any("table-row" in classes.split() for _, classes in self.stack):
-            self.rows[-1].append(data)
+_PROFILE = {
+    "avatar": "userpage-nav-avatar img", "name": "span.js-displayName", "bio": ".userpage-profile.section-body", "row": ".table-row", "question": ".table-row .userpage-profile-question",
+    "journal": ".user-submitted-links",
+}
 
 
 def profile_pages(pages: DataFrame) -> DataFrame:
     """(url, username, display_name, avatar_url, bio, journal, commission_status) of profile pages.
 
-    A page that can't be read gives nulls and the status unknown.
+    Texts are trimmed; bio and journal are empty where a page has none.  A page that
+    couldn't be fetched gives nulls and the status unknown.
     """
-    schema = "url string, username string, display_name string, avatar_url string, bio string, journal string, accepting string"
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for url, html in zip(frame["url"], frame["html"], strict=True):
-                page = _Page()
-                page.feed(html or "")
-                text = lambda c, p=page: next((t.strip() for t in p.texts.get(c, []) if t.strip()), None)
-                user = re.search(r"/user/([^/?#]+)", url or "")
-                accepting = next((" ".join(r) for r in page.rows if "Accepting Commissions" in " ".join(r)), None)
-                avatar = page.first.get("avatar") or None
-                out.append((url, user and user[1], text("js-displayName"), "https:" + avatar if avatar and avatar.startswith("//") else avatar, text("section-body"), text("user-submitted-links"), accepting))
-            yield pd.DataFrame(out, columns=["url", "username", "display_name", "avatar_url", "bio", "journal", "accepting"])
-
-    read = pages.select("url", "html").mapInPandas(parse, schema)
-    status = stated_status(F.coalesce("accepting", F.lit("")))
-    return read.withColumns({"journal": F.substring("journal", 1, JOURNAL_LIMIT), "display_name": F.coalesce("display_name", "username"), "commission_status": status}).drop("accepting")
+
+    def read(html: str) -> list[tuple]:
+        got = find(html, _PROFILE, raw_text=True)
+        text = lambda name: got[name][0].text.strip() if got[name] else ""
+        asked = next((r for r in got["row"] if any("Accepting Commissions" in q.text for q in inside(r, got["question"]))), None)
+        avatar = got["avatar"][0].attributes.get("src") if got["avatar"] else None
+        return [(text("name"), "https:" + avatar if avatar and avatar.startswith("//") else avatar, text("bio"), text("journal"), asked.text if asked else None)]
+
+    schema = "shown string, avatar_url string, bio string, whole_journal string, accepting string"
+    read_pages = per_page(pages.where("html is not null"), ["url"], read, schema)
+    none = [F.lit(None).cast("string").alias(c) for c in ("shown", "avatar_url", "bio", "whole_journal", "accepting")]
+    rows = read_pages.unionByName(pages.where("html is null").select("url", *none))
+    user = F.nullif(F.regexp_extract("url", "/user/([^/?#]+)", 1), F.lit(""))
+    return rows.select(
+        "url", user.alias("username"), F.coalesce(F.nullif("shown", F.lit("")), user).alias("display_name"), "avatar_url", "bio", F.substring("whole_journal", 1, JOURNAL_LIMIT).alias("journal"), stated_status(F.coalesce("accepting", F.lit(""))).alias("commission_status"),
+    )
 
 
 SUBMISSIONS = "map<string,struct<title:string,date_full:string,date_fuzzy:string,username:string,lower:string,icon_rating:string>>"
@@ -137,15 +153,37 @@ def submissions(json_text: Column) -> Column:
 
 
 def gallery(pages: DataFrame, base_url: str) -> DataFrame:
-    """First ten figures of a page that have tags: (url, pos, id, title, tags, date_raw, event_time, item_url)."""
-    data = submissions(F.regexp_extract("html", r'(?s)id="js-submissionData"[^>]*>(.*?)</script>', 1))
-    figures = F.slice(F.regexp_extract_all("html", F.lit(r'(?s)(<figure[^>]*id="sid-[^"]*".*?</figure>)'), F.lit(1)), 1, GALLERY_LIMIT)
-    rows = pages.select("url", data.alias("data"), F.posexplode(figures).alias("pos", "figure"))
-    ident = F.regexp_extract("figure", 'id="sid-([^"]*)"', 1)
-    rows = rows.withColumns({"id": ident, "tags": F.regexp_extract("figure", r'<img[^>]*data-tags="([^"]*)"', 1), "href": F.regexp_extract("figure", r'<a[^>]*href="([^"]*)"', 1), "meta": F.try_element_at("data", ident)})
-    date = F.coalesce("meta.date_full", "meta.date_fuzzy")
+    """Of the first ten figures of a page's latest submissions, those with an image that has tags, be they empty:
+    (url, pos, id, title, tags, date_raw, event_time, item_url)."""
+
+    def read(html: str) -> list[tuple]:
+        got = find(html, {"data": "#js-submissionData", "part": "#gallery-latest-submissions", "figure": 'figure[id^="sid-"]', "image": "img[data-tags]", "link": "a"}, raw_text=True)
+        figures = inside(got["part"][0], got["figure"])[:GALLERY_LIMIT] if got["part"] else []
+        data = got["data"][0].text if got["data"] else None
+        rows = []
+        for f in figures:
+            images, links = inside(f, got["image"]), inside(f, got["link"])
+            if images:
+                rows.append((len(rows), f.attributes["id"].replace("sid-", "", 1), images[0].attributes["data-tags"], links[0].attributes.get("href", "") if links else "", data))
+        return rows
+
+    rows = per_page(pages, ["url"], read, "pos int, id string, tags string, href string, data string")
+    meta = F.try_element_at(submissions(F.col("data")), F.col("id"))
+    date = F.nullif(meta["date_full"], F.lit(""))
     item_url = F.when(F.startswith("href", F.lit("/")), F.concat(F.lit(base_url), "href")).otherwise(F.col("href"))
-    return rows.where("tags <> ''").select("url", "pos", "id", F.coalesce("meta.title", F.lit("")).alias("title"), "tags", date.alias("date_raw"), F.try_to_timestamp(date, F.lit("MMM d, yyyy hh:mm a")).alias("event_time"), item_url.alias("item_url"))
+    return rows.select("url", "pos", "id", F.coalesce(meta["title"], F.lit("")).alias("title"), "tags", date.alias("date_raw"), F.try_to_timestamp(date, F.lit("MMM d, yyyy hh:mm a")).alias("event_time"), item_url.alias("item_url"))
+
+
+def submission_pages(pages: DataFrame) -> DataFrame:
+    """(item_url, title, tags, description, event_time) of submissions' own pages (item_url, html)."""
+
+    def read(html: str) -> list[tuple]:
+        got = find(html, {"title": "div.submission-title h2 p", "date": "span.popup_date", "description": "div.submission-description", "tag": "section.tags-row a"}, raw_text=True)
+        text = lambda name: got[name][0].text.strip() if got[name] else ""
+        return [(text("title"), ", ".join(m.text.strip() for m in got["tag"]), text("description")[:DESCRIPTION_LIMIT], got["date"][0].attributes.get("title", "") if got["date"] else "")]
+
+    rows = per_page(pages, ["item_url"], read, "title string, tags string, description string, date_raw string")
+    return rows.select("item_url", "title", "tags", "description", F.try_to_timestamp("date_raw", F.lit("MMM d, yyyy hh:mm a")).alias("event_time"))
 
 
 def enriched(items: DataFrame, details: DataFrame) -> DataFrame:

@@ -30,8 +30,13 @@ Event = tuple[str, str, str]
 
 def events(html: str) -> Iterator[Event]:
     """("start", tag, raw attributes), ("end", tag, "") and ("text", "", decoded text) in page order."""
-    at, size, match = 0, len(html), _TOKEN.match
+    at, size, match, last = 0, len(html), _TOKEN.match, html.rfind(">")
     while at < size:
+        if at > last and not html.startswith(("<!--", "<![CDATA["), at):  # nothing closes any more
+            m = re.compile("<?[^<]*").match(html, at)
+            yield "text", "", unescape(m[0]) if "&" in m[0] else m[0]
+            at = m.end()
+            continue
         m = match(html, at)
         at = m.end()
         text = m[4]

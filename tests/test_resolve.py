@@ -74,22 +74,22 @@ def test_stream_state_equals_batch(spark, tmp_path):
 
 
 def test_lists_from_html(spark):
-    figure = '<figure id="sid-{n}"><p>a</p><p>b</p><p><a href="/user/{u}/">x</a></p></figure>'
+    figure = '<section><figure id="sid-{n}"><figcaption><label><p>a</p><p>b</p><p><a href="/user/{u}/">x</a></p></label></figcaption></figure></section>'
     pages = [(0, figure.format(n=1, u="ann") + figure.format(n=2, u="bob")), (1, figure.format(n=3, u="ann"))]
     favourites = html.favourites_page(spark.createDataFrame(pages, "page long, html string"))
-    watch = html.watchlist_page(spark.createDataFrame([(1, '<div class="flex-item-watchlist"><a href="/user/cy/">c</a></div>')], "page long, html string"))
+    watch = html.watchlist_page(spark.createDataFrame([(1, '<div class="flex-watchlist"><div class="flex-item-watchlist"><a href="/user/cy/">c</a></div></div>')], "page long, html string"))
     assert [(r["list"], r["username"]) for r in html.two_lists(favourites, watch).orderBy("list", "pos").collect()] == [(0, "ann"), (0, "bob"), (1, "cy")]
 
 
 def test_profile_page(spark):
-    page = '<img class="user-nav-avatar" src="//a.x/1.gif"><span class="js-displayName">Ann B</span><div class="userpage-profile"><div class="section-body">My <b>bio</b></div></div><div class="table-row"><div>Accepting Commissions</div><span>No</span></div>'
+    page = '<userpage-nav-avatar><img src="//a.x/1.gif"></userpage-nav-avatar><span class="js-displayName">Ann B</span><div class="userpage-profile section-body">My <b>bio</b></div><div class="table-row"><div class="userpage-profile-question">Accepting Commissions</div><span>No</span></div>'
     rows = html.profile_pages(spark.createDataFrame([("https://x/user/ann", page), ("https://x/user/bob", None)], "url string, html string")).collect()
     assert (rows[0]["display_name"], rows[0]["bio"], rows[0]["commission_status"], rows[0]["avatar_url"]) == ("Ann B", "My bio", "closed", "https://a.x/1.gif")
     assert (rows[1]["display_name"], rows[1]["commission_status"]) == ("bob", "unknown")
 
 
 def test_gallery(spark):
-    page = '<figure id="sid-7" class="r"><a href="/view/7/"><img data-tags="fox red"></a></figure><figure id="sid-8"><img></figure><script id="js-submissionData" type="application/json">{"7": {"title": "T", "date_full": "Jan 5, 2024 03:04 PM"}}</script>'
+    page = '<figure id="sid-6"><img data-tags="x"></figure><div id="gallery-latest-submissions"><figure id="sid-7" class="r"><a href="/view/7/"><img data-tags="fox red"></a></figure><figure id="sid-8"><img></figure></div><script id="js-submissionData" type="application/json">{"7": {"title": "T", "date_full": "Jan 5, 2024 03:04 PM"}}</script>'
     rows = html.gallery(spark.createDataFrame([("u", page)], "url string, html string"), "https://x").collect()
     assert len(rows) == 1
     assert (rows[0]["id"], rows[0]["title"], rows[0]["tags"], rows[0]["item_url"], rows[0]["event_time"].hour) == ("7", "T", "fox red", "https://x/view/7/", 15)
