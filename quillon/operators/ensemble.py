@@ -177,9 +177,11 @@ def first_triggers(items: DataFrame, key: str, pos: str, triggers: str, most: in
     """First distinct triggers of each group in order of position.
 
     Each trigger is reduced to its first place before groups are collected, so a
-    group collects no more than its distinct triggers.
+    group collects no more than its distinct triggers.  The outer form keeps Spark from
+    asking for the list's size in a filter of its own, which would find the triggers
+    twice more.
     """
-    said = items.select(key, pos, F.posexplode(triggers).alias("at", "trigger"))
+    said = items.select(key, pos, F.posexplode_outer(triggers).alias("at", "trigger")).where("trigger is not null")
     first = said.groupBy(key, "trigger").agg(F.min(F.struct(pos, "at")).alias("place"))
     ordered = F.array_sort(F.collect_list(F.struct("place", "trigger")))
     return first.groupBy(key).agg(F.slice(ordered["trigger"], 1, most).alias("triggers"))

@@ -24,3 +24,10 @@ def test_entry(spark):
     assert out.count() > 0
     assert {"username", "status", "likelihood"} <= set(out.columns)
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_triggers_are_found_once(spark, folder):
+    """The optimised plan holds each of the lexicon's patterns once."""
+    plan = QUERIES["top5_triggers"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    once = QUERIES["rule_verdict"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == once.count("regexp_extract(")
