@@ -9,6 +9,7 @@ same files there.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import tempfile
@@ -55,26 +56,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base if "://" in base or base.startswith("file:") else f"file://{base}"
 
 
-#: Paths written inside each open ``tidy`` block.
-_written: list[list[str]] = []
+#: Paths written inside each open ``tidy`` block of this thread.
+_written: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("written", default=())
 
 
 def scratch(spark: SparkSession, name: str, temporary: bool = False) -> str:
     """A fresh path in the shared folder; a temporary one goes with the ``tidy`` block."""
     path = f"{shared_dir(spark).rstrip('/')}/quillon/{name}-{uuid.uuid4().hex}"
-    if temporary and _written:
-        _written[-1].append(path)
+    if temporary and _written.get():
+        _written.get()[-1].append(path)
     return path
 
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what ``materialise`` has written inside, but for what it was told to keep."""
-    _written.append([])
+    paths: list[str] = []
+    before = _written.set((*_written.get(), paths))
     try:
         yield
     finally:
-        remove(spark, _written.pop())
+        _written.reset(before)
+        remove(spark, paths)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -92,9 +95,10 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     small_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
-    owner = len(_written) - 1 - keep
+    blocks = _written.get()
+    owner = len(blocks) - 1 - keep
     if owner >= 0:
-        _written[owner].append(path)
+        blocks[owner].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

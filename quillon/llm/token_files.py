@@ -1,6 +1,6 @@
 """Token-id files with Elias-Fano coded document boundaries.
 
-Rows are range-partitioned by id, sorted, tokenised and streamed into one file
+Rows are range-partitioned by id, rows of an id by a hash of their text, sorted, tokenised and streamed into one file
 per partition: the ids of all documents as one array (two bytes each while the
 vocabulary allows it), then the document boundaries and the document ids as
 Elias-Fano sequences, then a footer.  A boundary costs 2 + log2(tokens / documents)
@@ -12,7 +12,8 @@ A task writes under a name of its own attempt and reports it in the manifest,
 which is written as a table before anything reads the files.
 
 Edge cases: a null or empty text is the end id alone; a null id orders first
-(their number is in the footer); repeated rows are repeated documents; an empty
+(their number is in the footer); repeated rows are repeated documents, rows of one
+id stand in the order of their texts' hashes and may lie in several files; an empty
 table makes no file and an empty result; extra columns are ignored; a document
 may be longer than any buffer, since ids are streamed.
 """
@@ -237,7 +238,10 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([f"{folder}/{name}"]), pa.array([len(lengths)], pa.int64()), pa.array([footer["tokens"]], pa.int64())], ["part", "uri", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id are dealt on by their text, equal rows by their place, so a hot id is many files
+    keys = ("doc_id", "by_text")
+    placed = rows.withColumns({"by_text": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(*keys, "place").sortWithinPartitions(*keys, "text").select("doc_id", "text")
     return materialise(ordered.mapInArrow(write, "part int, uri string, n_docs long, n_tokens long"), "token-manifest")
 
 

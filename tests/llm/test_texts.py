@@ -430,6 +430,50 @@ def test_tokenizers_of_another_kind_encode_whole_texts(spark, tmp_path):
     assert {r["doc_id"]: r["ids_crc32"] for r in out} == want
 
 
+def test_token_files_split_a_hot_id(spark):
+    """A third of the rows without an id, and equal rows among them, are dealt to several files."""
+    docs = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("text number "), F.col("id").cast("string"))).otherwise("the same text").alias("text"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_files(docs, queries.word_bpe())
+        sizes = [r["n_docs"] for r in manifest.collect()]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 8 and sum(sizes) == 600 and max(sizes) < 150
+    rows = token_files.read_files(manifest).orderBy("start").collect()
+    names = [r["doc_id"] for r in rows]
+    assert names == sorted(names, key=lambda i: (i is not None, i or 0)) and names.count(None) == 200
+    assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:k]) for k in range(600)]
+
+
+def test_blocks_of_threads_are_their_own(spark):
+    """A block that ends in one thread leaves another thread's tables alone."""
+    import threading
+
+    from quillon.llm.shared import materialise, tidy
+
+    inside, ended, seen = threading.Event(), threading.Event(), []
+
+    def other():
+        with tidy(spark):
+            table = materialise(spark.range(5), "other")
+            inside.set()
+            ended.wait(60)
+            seen.append(table.count())
+
+    worker = threading.Thread(target=other)
+    worker.start()
+    inside.wait(60)
+    with tidy(spark):
+        materialise(spark.range(3), "mine")
+    ended.set()
+    worker.join(60)
+    assert seen == [5]
+
+
 def test_bpe_of_long_pieces():
     import tiktoken
 
