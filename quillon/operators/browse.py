@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,6 +127,55 @@ def approximate_score(text: str, pattern: str, threshold: float = THRESHOLD, dis
     return best
 
 
+def approximate_scores(texts: list[str | None], pattern: str, threshold: float = THRESHOLD, distance: int = DISTANCE) -> np.ndarray:
+    """``approximate_score`` of many texts at once, NaN where there is none.
+
+    A step takes the next character of all texts.  For patterns of up to 63
+    characters a text's column of the edit-distance table is two bit words, whose
+    vertical steps up and down are carried over by a dozen operations (Myers' bit
+    vectors); longer ones keep the table's column as numbers.
+    """
+    m, width = len(pattern), int(threshold * distance) + len(pattern) + 1
+    out = np.full(len(texts), np.nan)
+    given = np.array([t is not None for t in texts], bool)
+    if not m:
+        out[given] = 0.0
+        return out
+    cut = [(t or "")[:width] for t in texts]
+    length = np.array([len(t) for t in cut], np.int64)
+    codes = np.array(cut, dtype=f"U{width}").view(np.uint32).reshape(len(cut), width) if cut else np.zeros((0, width), np.uint32)
+    signs = np.array(sorted({ord(c) for c in pattern}), np.uint32)
+    masks = np.zeros(len(signs) + 1, np.uint64)  # places of each sign in the pattern; the last: of none
+    for k, c in enumerate(pattern):
+        masks[np.searchsorted(signs, ord(c))] |= np.uint64(1 << min(k, 63))
+    errors = np.full(len(cut), m, np.int64)
+    one, top = np.uint64(1), np.uint64(min(m, 63) - 1)
+    up, down = np.full(len(cut), (1 << 64) - 1, np.uint64), np.zeros(len(cut), np.uint64)
+    table = np.repeat(np.arange(m + 1)[:, None], len(cut), axis=1)
+    with np.errstate(over="ignore"):
+        for at in range(int(length.max()) if len(cut) else 0):
+            column = codes[:, at]
+            if m < 64:
+                place = np.minimum(np.searchsorted(signs, column), len(signs) - 1)
+                equal = np.where(signs[place] == column, masks[place], masks[-1])
+                vertical = equal | down
+                across = (((equal & up) + up) ^ up) | equal
+                more, less = down | ~(across | up), up & across
+                errors += ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)
+                more, less = more << one, less << one
+                up, down = less | ~(vertical | more), more & vertical
+            else:
+                diagonal = table[0].copy()
+                for k in range(1, m + 1):
+                    here = np.minimum(np.minimum(table[k], table[k - 1]) + 1, diagonal + (column != ord(pattern[k - 1])))
+                    diagonal, table[k] = table[k].copy(), here
+                errors = table[m]
+            score = errors / m + max(0, at - m + 1) / distance
+            better = given & (at < length) & (score <= threshold) & ~(score >= out)
+            out[better] = score[better]
+    return out
+
+
 def may_match(column: Column, pattern: str, threshold: float = THRESHOLD) -> Column:
     """Whether an approximate occurrence is possible; it never rules one out.
 
@@ -146,7 +196,7 @@ def fuzzy_search(rows: DataFrame, term: str, keys: dict[str, float] | None = Non
 
     Scores of the columns that match multiply, each raised to its weight by the
     field's length norm.  The approximate matcher is an Arrow UDF; rows in which
-    no column ``may_match`` never reach it.
+    no column ``may_match`` never reach it, and equal values of a batch are scored once.
     """
     if not term.strip():
         return rows.withColumn("search_score", F.lit(0.0))
@@ -155,17 +205,16 @@ def fuzzy_search(rows: DataFrame, term: str, keys: dict[str, float] | None = Non
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
-        out = []
-        for values in zip(*columns, strict=True):
-            product, any_hit = 1.0, False
-            for value, weight in zip(values, keys.values(), strict=True):
-                s = approximate_score(value.lower(), pattern) if value else None
-                if s is not None:
-                    any_hit = True
-                    norm = 1 / math.sqrt(max(1, len(value.split())))
-                    product *= max(s, 2.0**-52) ** (weight / total * norm)
-            out.append(product if any_hit else None)
-        return pd.Series(out, dtype="float64")
+        product, hit = np.ones(len(columns[0])), np.zeros(len(columns[0]), bool)
+        for values, weight in zip(columns, keys.values(), strict=True):
+            where, once = pd.factorize(values.fillna("").astype(object))
+            s = approximate_scores([t.lower() or None for t in once], pattern)[where]
+            norm = np.array([1 / math.sqrt(max(1, len(t.split()))) for t in once])[where]
+            found = ~np.isnan(s)
+            with np.errstate(invalid="ignore"):
+                product = np.where(found, product * np.maximum(s, 2.0**-52) ** (weight / total * norm), product)
+            hit |= found
+        return pd.Series(np.where(hit, product, np.nan)).astype(object).where(hit, None)
 
     rows = rows.where(reduce(lambda a, b: a | b, [may_match(F.col(k), pattern) for k in keys]))
     return rows.withColumn("search_score", score(*[F.col(k) for k in keys])).where("search_score is not null")
