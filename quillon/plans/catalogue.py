@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon, rules, scalars
 from ..functions import unicode as uni
 from ..operators import blocks, browse, components, ensemble, resolve
-from ..sources import feeds, html, landing, tables
+from ..sources import feeds, html, landing, models, tables
 from ..streaming import arrivals, upsert, watch
 from . import fixtures as fx
 from . import oracle as o
@@ -742,6 +742,30 @@ def dataset_unicode_stats(spark, folder):
     return uni.statistics(_decorate(spark, folder), "text")
 
 
+@query(f"""WITH x AS (SELECT doc_id, {_decorated} AS t FROM documents), c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(t, '[^\\x00-\\x7F]'))) AS c FROM x), k AS (SELECT doc_id, {_case} AS kind FROM c),
+n AS (SELECT doc_id, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds FROM k GROUP BY doc_id)
+SELECT x.doc_id, md5(trim(regexp_replace(nfc_normalize(translate(t, chr(8203), '')), '\\s+', ' ', 'g'))) AS processed, regexp_matches(t, '{_emoji}') AS has_emojis, len(regexp_extract_all(t, '{_emoji}+'))::INT AS emoji_count, coalesce(kinds, '') AS kinds FROM x LEFT JOIN n USING (doc_id)""")
+def text_process(spark, folder):
+    """Texts cleaned with their emoji kept, and what they hold beyond ASCII."""
+    out = uni.process(_decorate(spark, folder), "text", "keep", analysis=True)
+    return out.select("doc_id", F.md5(F.col("text_processed").cast("binary")).alias("processed"), F.col("text_has_emojis").alias("has_emojis"), F.col("text_emoji_count").alias("emoji_count"), F.array_join(F.array_sort("text_unicode_categories"), "|").alias("kinds"))
+
+
+@query("""WITH n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS words FROM documents), y AS (SELECT doc_id, words * 0.01 - 1 AS o, 1 - words * 0.02 AS c, 0.5 AS u FROM n)
+SELECT doc_id, CASE WHEN o >= c AND o >= u THEN 'open' WHEN c >= u THEN 'closed' ELSE 'unclear' END AS status FROM y""")
+def model_scores(spark, folder):
+    """Documents scored by a linear head over their number of words; the preferred variant is broken, so the next one scores."""
+    import numpy as np
+
+    place = _scratch(spark, "models")
+    body = models.head(np.array([[0.01, -0.02, 0.0]]), np.array([-1.0, 1.0, 0.5]))
+    for variant in ("fp16", "full"):
+        models.save(place, variant, {models.HEAD: body})
+    models.Folder(place).write(f"fp16/{models.HEAD}", body[:-20])
+    rows = tables.table(spark, folder, "documents").select("doc_id", "text")
+    return models.model_scorer(place)(rows).select("doc_id", F.col("model_status").alias("status"))
+
+
 # ---------------------------------------------------------------- streaming
 
 
@@ -827,6 +851,14 @@ def dead_letters(spark, folder):
     return count(good, "good").crossJoin(count(bad, "bad"))  # one row each
 
 
+@query("SELECT count(*) AS total, count(*) FILTER (value > 90) AS errors FROM events")
+def counted_errors(spark, folder):
+    """Bad rows counted while another action runs over all of them."""
+    rows, seen = upsert.counted_errors(tables.table(spark, folder, "events"), F.col("value") > 90)
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["total"], seen.get["errors"])], "total long, errors long")
+
+
 @query("SELECT count(DISTINCT event_type) FILTER (event_type <> 'view') AS completed, count(DISTINCT event_type) AS active, count(DISTINCT event_type) FILTER (event_type <> 'view') >= count(DISTINCT event_type) AS complete FROM events")
 def scan_complete(spark, folder):
     rows = tables.table(spark, folder, "events").select(F.col("event_type").alias("platform"))
