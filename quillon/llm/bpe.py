@@ -50,7 +50,7 @@ LONG, LONG_BYTES = 128, 1 << 18
 #: Bytes of the windows of a long piece, and of what two of them share; bytes of a wide window.
 WINDOW, OVERLAP, WIDE = 120, 48, 1 << 15
 #: Parts of a long piece that are encoded together, and ids of one decoded group.
-PARTS, DECODED = 50_000, 1 << 18
+PARTS, DECODED = 50_000, 1 << 16
 
 CONTRACT = """
 WITH RECURSIVE state(w, ids, done) AS (
