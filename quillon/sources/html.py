@@ -132,15 +132,15 @@ def profile_pages(pages: DataFrame) -> DataFrame:
         text = lambda name: got[name][0].text.strip() if got[name] else ""
         asked = next((r for r in got["row"] if any("Accepting Commissions" in q.text for q in inside(r, got["question"]))), None)
         avatar = got["avatar"][0].attributes.get("src") if got["avatar"] else None
-        return [(text("name"), "https:" + avatar if avatar and avatar.startswith("//") else avatar, text("bio"), text("journal"), asked.text if asked else None)]
+        return [(text("name"), "https:" + avatar if avatar and avatar.startswith("//") else avatar, text("bio"), text("journal")[:JOURNAL_LIMIT], asked.text if asked else None)]
 
-    schema = "shown string, avatar_url string, bio string, whole_journal string, accepting string"
+    schema = "shown string, avatar_url string, bio string, journal string, accepting string"
     read_pages = per_page(pages.where("html is not null"), ["url"], read, schema)
-    none = [F.lit(None).cast("string").alias(c) for c in ("shown", "avatar_url", "bio", "whole_journal", "accepting")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("shown", "avatar_url", "bio", "journal", "accepting")]
     rows = read_pages.unionByName(pages.where("html is null").select("url", *none))
     user = F.nullif(F.regexp_extract("url", "/user/([^/?#]+)", 1), F.lit(""))
     return rows.select(
-        "url", user.alias("username"), F.coalesce(F.nullif("shown", F.lit("")), user).alias("display_name"), "avatar_url", "bio", F.substring("whole_journal", 1, JOURNAL_LIMIT).alias("journal"), stated_status(F.coalesce("accepting", F.lit(""))).alias("commission_status"),
+        "url", user.alias("username"), F.coalesce(F.nullif("shown", F.lit("")), user).alias("display_name"), "avatar_url", "bio", "journal", stated_status(F.coalesce("accepting", F.lit(""))).alias("commission_status"),
     )
 
 

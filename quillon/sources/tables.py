@@ -39,6 +39,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, each: int = 5000) -> DataFrame:
+    """Rows dealt evenly over tasks, about ``each`` rows to a task.
+
+    A table of few bytes is one task, however long its rows take; call this on narrow rows,
+    before they are made wide or go through Python.
+    """
+    return rows.repartition(max(1, -(-rows.count() // each)))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; quoted fields may hold line breaks and doubled quotes."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
