@@ -60,6 +60,8 @@ def scored_items(components: DataFrame, as_of: Column, scorer: Scorer = rule_sco
 
 
 def _group_status(s: Column) -> Column:
+    """Status of a mean, rounded first: sums of doubles vary with the order of rows, so a mean of just 0.2 would be on either side."""
+    s = F.round(s, 9)
     return F.when(s > 0.2, "open").when(s < -0.2, "closed").otherwise("unclear")
 
 

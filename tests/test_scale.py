@@ -45,3 +45,11 @@ def test_log_odds_are_of_scores_between_nought_and_one(spark):
     scores = spark.createDataFrame([(-0.1,), (0.0,), (0.5,), (1.0,), (1.12,), (None,)], "s double")
     got = [r["o"] for r in scores.select(scalars.temperature_log_odds(F.col("s"), F.lit(2.0)).alias("o")).collect()]
     assert got == [None, None, 0.5, None, None, None]
+
+
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_a_mean_on_the_border_is_unclear_in_any_order(spark, sign):
+    """(0.1 + 0.2 + 0.3) / 3 is above 0.2 in doubles, (0.3 + 0.2 + 0.1) / 3 is not."""
+    rows = [(k, "gallery", sign * s, 1.0, abs(s)) for k, order in enumerate([(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)]) for s in order]
+    items = spark.createDataFrame(rows, "profile_id long, kind string, s double, tw double, confidence double").coalesce(1)
+    assert [r["gallery_status"] for r in ensemble.gallery_ensemble(items).collect()] == ["unclear", "unclear"]
