@@ -21,12 +21,13 @@ JOURNAL_LIMIT, DESCRIPTION_LIMIT, GALLERY_LIMIT, LAST_PAGE = 5000, 1000, 10, 10
 
 
 def per_page(pages: DataFrame, keep: list[str], read: Callable[[str], list[tuple]], schema: str) -> DataFrame:
-    """Columns ``keep`` of each page with the rows (of texts and ints) that ``read`` makes of its html; pages without html have none."""
+    """Columns ``keep`` of each page with the rows (of texts, lists of texts and ints) that ``read`` makes of its html; pages without html have none."""
     fields = [f for f in pages.schema.fields if f.name in keep]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     names = [f.name for f in fields]
     columns = [c.split()[0] for c in schema.split(",")]
-    kinds = [pa.int32() if c.split()[1] == "int" else pa.string() for c in schema.split(",")]
+    types = {"int": pa.int32(), "array<string>": pa.list_(pa.string())}
+    kinds = [types.get(c.split()[1], pa.string()) for c in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,18 +161,23 @@ def gallery(pages: DataFrame, base_url: str) -> DataFrame:
         got = find(html, {"data": "#js-submissionData", "part": "#gallery-latest-submissions", "figure": 'figure[id^="sid-"]', "image": "img[data-tags]", "link": "a"}, raw_text=True)
         figures = inside(got["part"][0], got["figure"])[:GALLERY_LIMIT] if got["part"] else []
         data = got["data"][0].text if got["data"] else None
-        rows = []
+        ids, tags, hrefs = [], [], []
         for f in figures:
             images, links = inside(f, got["image"]), inside(f, got["link"])
             if images:
-                rows.append((len(rows), f.attributes["id"].replace("sid-", "", 1), images[0].attributes["data-tags"], links[0].attributes.get("href", "") if links else "", data))
-        return rows
-
-    rows = per_page(pages, ["url"], read, "pos int, id string, tags string, href string, data string")
-    meta = F.try_element_at(submissions(F.col("data")), F.col("id"))
-    date = F.nullif(meta["date_full"], F.lit(""))
+                ids.append(f.attributes["id"].replace("sid-", "", 1))
+                tags.append(images[0].attributes["data-tags"])
+                hrefs.append(links[0].attributes.get("href", "") if links else "")
+        return [(ids, tags, hrefs, got["data"][0].text if got["data"] else None)] if ids else []
+
+    # the metadata of a page is parsed once, before its items part
+    whole = per_page(pages, ["url"], read, "ids array<string>, tags array<string>, hrefs array<string>, data string")
+    parsed = whole.select("url", submissions(F.col("data")).alias("known"), "ids", "tags", "hrefs")
+    items = parsed.select("url", "known", F.posexplode(F.arrays_zip("ids", "tags", "hrefs")).alias("pos", "item"))
+    rows = items.select("url", "pos", F.col("item.ids").alias("id"), F.col("item.tags").alias("tags"), F.col("item.hrefs").alias("href"), F.try_element_at("known", F.col("item.ids")).alias("meta"))
+    date = F.nullif("meta.date_full", F.lit(""))
     item_url = F.when(F.startswith("href", F.lit("/")), F.concat(F.lit(base_url), "href")).otherwise(F.col("href"))
-    return rows.select("url", "pos", "id", F.coalesce(meta["title"], F.lit("")).alias("title"), "tags", date.alias("date_raw"), F.try_to_timestamp(date, F.lit("MMM d, yyyy hh:mm a")).alias("event_time"), item_url.alias("item_url"))
+    return rows.select("url", "pos", "id", F.coalesce("meta.title", F.lit("")).alias("title"), "tags", date.alias("date_raw"), F.try_to_timestamp(date, F.lit("MMM d, yyyy hh:mm a")).alias("event_time"), item_url.alias("item_url"))
 
 
 def submission_pages(pages: DataFrame) -> DataFrame:

@@ -68,3 +68,13 @@ def test_hash_of_characters_beyond_the_base_plane(spark):
     for unit in (0x61, 0xD83D, 0xDE00, 0x62):
         want = (want * 31 + unit) & 0xFFFFFFFF
     assert [r["h"] for r in got] == [want - 2**32 if want >= 2**31 else want, 0, 0]
+
+
+def test_metadata_of_a_page_are_parsed_once(spark):
+    """Below the explosion into items, not above it."""
+    figures = "".join(f'<figure id="sid-{k}"><a href="/v/{k}"><img data-tags="t{k}"></a></figure>' for k in range(12))
+    page = f'<section id="gallery-latest-submissions">{figures}</section><script id="js-submissionData">{{"3": {{"title": "x"}}}}</script>'
+    out = html.gallery(spark.createDataFrame([("u", page)], "url string, html string"), "https://h")
+    assert [(r["pos"], r["id"], r["title"], r["tags"], r["item_url"]) for r in out.orderBy("pos").collect()] == [(k, str(k), "x" if k == 3 else "", f"t{k}", f"https://h/v/{k}") for k in range(10)]
+    said = plan(out)
+    assert said.count("from_json(") == 1 and said.index("Generate") < said.index("from_json("), said
