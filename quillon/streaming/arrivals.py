@@ -108,16 +108,18 @@ def results_of(rows: DataFrame) -> DataFrame:
     return rows.select("id", "username", "display_name", "platform", "status", "confidence", F.timestamp_micros("updated").alias("last_updated"), platforms.alias("platforms"), F.from_json("platform_data", DATA).alias("platform_data"))
 
 
-def merge_arrivals(arrivals: DataFrame, blocks: DataFrame) -> DataFrame:
-    """All results after all arrivals, as one batch; a block is worked off in one group."""
+def merge_arrivals(arrivals: DataFrame, blocks: DataFrame, each: int = 5000) -> DataFrame:
+    """All results after all arrivals, as one batch; most blocks hold few rows, so a group takes many, of about ``each`` arrivals together."""
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        results: dict[int, dict] = {}
+        results: dict[int, dict[int, dict]] = {}
         for a in clean(rows):
-            absorb(results, a)
-        return frame(results, list(results))
+            absorb(results.setdefault(a["block"], {}), a)
+        whole = {i: r for block in results.values() for i, r in block.items()}
+        return frame(whole, list(whole))
 
-    return with_blocks(arrivals, blocks).groupBy("block").applyInPandas(fold, RESULT)
+    groups = max(1, -(-arrivals.count() // each))
+    return with_blocks(arrivals, blocks).groupBy(F.pmod("block", F.lit(groups)).alias("group")).applyInPandas(fold, RESULT)
 
 
 class Merging(StatefulProcessor):
