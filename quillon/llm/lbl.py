@@ -11,8 +11,9 @@ log-probabilities.  A word's own probability inside a suffix unit is its smoothe
 share of the unit's training tokens, so the model is a distribution over words.
 
 Training is by noise-contrastive estimation in numpy.  In each of ``ROUNDS`` rounds
-every task trains a copy of the model on ``SHARE`` of the places of its own texts,
-so the steps grow with the corpus and no task sees more than its split; the copies
+every task trains a copy of the model on the places of its own texts that are the
+round's turn, so all places are learned from once, the steps grow with the corpus
+and no task sees more than its split; the copies
 are averaged, weighted by their places, in two levels of tasks.  After the
 first round the units are grouped by halving the set of their vectors.
 
@@ -46,8 +47,8 @@ END = UNITS - 1
 GROUPS = 128
 FREQUENT = 65_536
 DIM, NOISE, BATCH = 24, 64, 512
-#: Rounds of training, and one of how many places of a text is learned from in each.
-ROUNDS, SHARE = 2, 10
+#: Rounds of training, which share out all places.
+ROUNDS = 2
 #: Contexts whose scores are held at once.
 CONTEXTS = 1 << 15
 SMOOTH = 0.1
@@ -324,6 +325,11 @@ def averaged(copies: DataFrame, model: Model) -> Model:
 BLOCK = 1 << 15
 
 
+def turn(seen: int, n: int, at_round: int) -> np.ndarray:
+    """Of the ``n`` places behind the first ``seen`` ones of a task, those that are a round's turn; each is the turn of one round."""
+    return np.arange((at_round - seen) % ROUNDS, n, ROUNDS)
+
+
 def fitted(texts: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Model:
     """The model after ``ROUNDS`` rounds over the training texts."""
     model = Model.start(unigram)
@@ -333,11 +339,13 @@ def fitted(texts: DataFrame, vocabulary: Vocabulary, unigram: np.ndarray) -> Mod
             part = TaskContext.get().partitionId()
             copy = Model(*[p.copy() for p in model.parameters()], model.of)
             trainer = Trainer(copy, unigram, 1000 * part + at_round)
+            seen = 0
             for batch in slices(batches, "text"):
                 offsets, flat = split_words(batch.column("text"), lower=True)
                 codes, distinct = encode_dictionary(flat)
                 now, one, two = with_ends(units(distinct, vocabulary.find(distinct))[codes], offsets)
-                chosen = np.nonzero(trainer.rng.random(len(now)) * SHARE < 1)[0]
+                chosen = turn(seen, len(now), at_round)
+                seen += len(now)
                 trainer.rng.shuffle(chosen)
                 for k in range(0, len(chosen), BATCH):
                     at = chosen[k : k + BATCH]
