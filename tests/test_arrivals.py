@@ -103,9 +103,9 @@ def test_a_group_takes_many_blocks(spark):
     """The number of groups grows with the arrivals, not with their blocks, and the results are those of one block a group."""
     rows = [(k, f"name{k:05d}x", None, "furaffinity" if k % 2 else "bluesky", "open", (k % 7) / 10, k) for k in range(300)]
     rows += [(1000 + k, f"name{k:05d}x", None, "furaffinity", "closed", 0.65, k) for k in range(0, 300, 3)]
-    given = spark.createDataFrame(rows, arrivals.ARRIVAL)
+    given = spark.createDataFrame(rows, ar.ARRIVAL)
     blocks = spark.createDataFrame([], "name_key long, block long")
-    out = arrivals.merge_arrivals(given, blocks)
+    out = ar.merge_arrivals(given, blocks)
     assert "pmod(" in out._jdf.queryExecution().optimizedPlan().toString()
-    one = arrivals.merge_arrivals(given, blocks, each=1)
+    one = ar.merge_arrivals(given, blocks, each=1)
     assert sorted(map(str, out.collect())) == sorted(map(str, one.collect()))
