@@ -93,8 +93,15 @@ def categories(text: Column) -> Column:
     )
 
 
+#: Texts of an Arrow batch, unless the session asks for another number: whole texts are long, and a worker holds a batch several times.
+BATCH_TEXTS = 500
+
+
 def process(df: DataFrame, column: str, emoji: str = "keep", analysis: bool = False) -> DataFrame:
     """Add the cleaned text and, if asked for, emoji counts and non-empty categories."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_TEXTS))
     out = df.withColumn(f"{column}_processed", clean(F.col(column), emoji))
     if not analysis:
         return out

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars
+from quillon.functions import unicode as uni
 from quillon.operators import ensemble
 from quillon.plans import catalogue
 from quillon.sources import html, tables
@@ -78,3 +79,16 @@ def test_metadata_of_a_page_are_parsed_once(spark):
     assert [(r["pos"], r["id"], r["title"], r["tags"], r["item_url"]) for r in out.orderBy("pos").collect()] == [(k, str(k), "x" if k == 3 else "", f"t{k}", f"https://h/v/{k}") for k in range(10)]
     said = plan(out)
     assert said.count("from_json(") == 1 and said.index("Generate") < said.index("from_json("), said
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """A worker's memory is bounded by a batch; a number that the session was given stays."""
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([("e\u0301",)], "t string")
+    before = spark.conf.get(key)
+    try:
+        for given, want in (("10000", str(uni.BATCH_TEXTS)), ("77", "77")):
+            spark.conf.set(key, given)
+            assert uni.process(docs, "t").first()["t_processed"] == "\u00e9"
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
