@@ -348,15 +348,27 @@ def hub_pairs(prefixes: DataFrame, points: DataFrame, similarity: float, each: b
     return met.where(F.col("a.component") != F.col("b.component")).where(may_be_similar(similarity)).select("src", "dst")
 
 
+def meetings(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst, a, b, i, j): rows (shingle, v, place, size, component, sketch) of two components that meet on
+    a shingle, with sizes and places, where sizes, sketches and places allow the similarity.
+
+    A similar pair has at least ``need`` shingles in common, so the first ``SHARED`` of them lie before
+    size - need + SHARED on both sides.  Prefixes are longer, as their length is for the smallest partner;
+    what they share farther on lies behind, so it is bounded by the sizes as everything there is.
+    """
+    need = F.ceil((F.col("a.size") + F.col("b.size")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+    early = (F.col("a.place") < F.col("a.size") - need + SHARED) & (F.col("b.place") < F.col("b.size") - need + SHARED)
+    met = rows.alias("a").join(rows.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where("a.v < b.v and a.component <> b.component").where(early & may_be_similar(similarity))
+    return met.select(F.col("a.v").alias("src"), F.col("b.v").alias("dst"), F.col("a.size").alias("a"), F.col("b.size").alias("b"), F.col("a.place").alias("i"), F.col("b.place").alias("j"))
+
+
 def prefix_pairs(prefixes: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
     """(src, dst): all pairs of different components whose sets may have the
     similarity, each once.  The shingles after the last one shared in the prefixes
     bound what else is shared."""
     least = lambda size: F.ceil(size * F.lit(similarity) - F.lit(1e-6))
     rows = materialise(_open(prefixes, points).drop("component").join(points, "v"), "near-sketched")
-    met = rows.alias("a").join(rows.alias("b"), F.col("a.shingle") == F.col("b.shingle")).where("a.v < b.v and a.component <> b.component").where(may_be_similar(similarity))
-    met = met.select(F.col("a.v").alias("src"), F.col("b.v").alias("dst"), F.col("a.size").alias("a"), F.col("b.size").alias("b"), F.col("a.place").alias("i"), F.col("b.place").alias("j"))
-    shared = met.groupBy("src", "dst", "a", "b").agg(F.count("*").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"))
+    shared = meetings(rows, similarity).groupBy("src", "dst", "a", "b").agg(F.count("*").alias("n"), F.max("i").alias("i"), F.max("j").alias("j"))
     most = F.col("n") + F.least(F.col("a") - F.col("i"), F.col("b") - F.col("j")) - 1
     return shared.where((F.col("n") >= F.least(F.lit(SHARED), least(F.greatest("a", "b")))) & (most >= (F.col("a") + F.col("b")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))).select("src", "dst")
 

@@ -153,6 +153,13 @@ def test_near_duplicates_lose_no_pair(spark, bits):
     assert {r["component_id"] for r in got} == set(want.values())
 
 
+def test_sets_meet_where_their_own_sizes_allow_it(spark):
+    """Of two sets of 900 and one of 720, the first places are 183; two of 900 can be similar only if they share one before 103."""
+    rows = [(1, 0, 10, 900), (1, 1, 10, 900), (2, 0, 102, 900), (2, 1, 102, 900), (3, 0, 103, 900), (3, 1, 90, 900), (4, 0, 150, 900), (4, 2, 2, 720), (5, 0, 150, 900), (5, 2, 60, 720)]
+    frame = spark.createDataFrame([(s, v, p, n, v, *[0] * simhash.SKETCH) for s, v, p, n in rows], "shingle int, v long, place int, size int, component long, " + ", ".join(f"s{k} long" for k in range(simhash.SKETCH)))
+    assert sorted((r["src"], r["dst"], r["i"], r["j"]) for r in simhash.meetings(frame, 0.8).collect()) == [(0, 1, 10, 10), (0, 1, 102, 102), (0, 2, 150, 2)]
+
+
 # ------------------------------------------------------------------ WARC
 
 
