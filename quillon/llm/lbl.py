@@ -97,19 +97,30 @@ class Model:
         return self.r @ self.c[0], self.r @ self.c[1]
 
     def logs(self, two: np.ndarray, one: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """log10 P(now | two, one) of every place, by matrix products."""
+        """log10 P(now | two, one) of every place, by matrix products; of places with equal units once."""
+        key, at = np.unique((two * UNITS + one) * UNITS + now, return_inverse=True)
+        before, now = np.divmod(key, UNITS)
+        return self._logs(*np.divmod(before, UNITS), now)[at]
+
+    def _logs(self, two: np.ndarray, one: np.ndarray, now: np.ndarray) -> np.ndarray:
         far, near = self.contexts()
         out = np.zeros(len(now))
         for at in range(0, len(now), CONTEXTS):
             part = slice(at, at + CONTEXTS)
             predicted = far[two[part]] + near[one[part]]
             group = self.of[now[part]]
-            out[part] = _log_share(predicted @ self.g.T + self.h, group)
+            # places are in the order of their contexts
+            new = np.concatenate(([True], (np.diff(two[part]) != 0) | (np.diff(one[part]) != 0)))
+            score = predicted[new] @ self.g.T + self.h
+            context = np.cumsum(new) - 1
+            out[part] = score[context, group] - _log_sum(score)[context]
             order = np.argsort(group, kind="stable")
             cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
             for k in np.nonzero(np.diff(cuts))[0]:
                 places, members = order[cuts[k] : cuts[k + 1]], self.members[k]
-                out[at + places] += _log_share(predicted[places] @ self.r[members].T + self.b[members], self.place[now[part][places]])
+                score = predicted[places] @ self.r[members].T + self.b[members]
+                own = score[np.arange(len(places)), self.place[now[part][places]]]
+                out[at + places] += own - _log_sum(score)
         return out / np.log(10)
 
     @property
@@ -122,11 +133,13 @@ class Model:
         return self._members
 
 
-def _log_share(score: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _log_sum(score: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials of every row, as doubles; the scores stay."""
+    most = np.zeros((len(score), 1), np.float32)
     if score.max(initial=0) > 60 or score.min(initial=0) < -60:  # else nothing overflows or vanishes
-        score -= score.max(axis=1, keepdims=True)
-    own = score[np.arange(len(at)), at].astype(np.float64)
-    return own - np.log(np.exp(score, out=score).sum(axis=1, dtype=np.float64))
+        most = score.max(axis=1, keepdims=True)
+        score = score - most
+    return np.log(np.exp(score).sum(axis=1).astype(np.float64)) + most[:, 0]
 
 
 class Trainer:
@@ -139,52 +152,67 @@ class Trainer:
 
     def __init__(self, model: Model, unigram: np.ndarray, seed: int) -> None:
         self.model, self.rng = model, np.random.default_rng(seed)
+        # a vector and its bias are one row, so a batch reads and moves both at once
+        self.units, self.groups = np.column_stack((model.r, model.b)), np.column_stack((model.g, model.h))
+        model.r, model.b, model.g, model.h = self.units[:, :DIM], self.units[:, DIM], self.groups[:, :DIM], self.groups[:, DIM]
         self.ladder = np.cumsum(unigram)
         mass = np.bincount(model.of, unigram, GROUPS)
         self.log_noise = np.log(NOISE * unigram).astype(np.float32)
         self.log_group, self.group_ladder = np.log(NOISE * mass).astype(np.float32), np.cumsum(mass)
-        self.squares = [np.full_like(p, 1e-3) for p in model.parameters()]
+        self.squares = [np.full_like(p, 1e-3) for p in (self.units, self.groups, model.c)]
         self.places = 0
 
     def step(self, two: np.ndarray, one: np.ndarray, now: np.ndarray, rate: float) -> None:
-        m, n = self.model, len(now)
+        c, n = self.model.c, len(now)
         self.places += n
         noise = self._draw(self.ladder)
-        ra, rb, rw, rn = m.r[two], m.r[one], m.r[now], m.r[noise]
-        predicted = ra @ m.c[0] + rb @ m.c[1]
-        data = _sigmoid((predicted * rw).sum(axis=1) + m.b[now] - self.log_noise[now]) - 1
-        false = _sigmoid(predicted @ rn.T + (m.b[noise] - self.log_noise[noise]))
-        d_pred = data[:, None] * rw + false @ rn
-        group, other = m.of[now], self._draw(self.group_ladder)
-        data_group = _sigmoid((predicted * m.g[group]).sum(axis=1) + m.h[group] - self.log_group[group]) - 1
-        false_group = _sigmoid(predicted @ m.g[other].T + (m.h[other] - self.log_group[other]))
-        d_pred += data_group[:, None] * m.g[group] + false_group @ m.g[other]
-        zeros = np.zeros(2 * n, np.float32)
+        around = self.units[np.concatenate((two, one))]
+        ra, rb = around[:n, :DIM], around[n:, :DIM]
+        predicted = np.ones((n, DIM + 1), np.float32)
+        predicted[:, :DIM] = ra @ c[0] + rb @ c[1]
+        group, other = self.model.of[now], self._draw(self.group_ladder)
+        d_pred, of_units = self._apart(self.units, self.log_noise, predicted, now, noise)
+        more, of_groups = self._apart(self.groups, self.log_group, predicted, group, other)
+        d_pred = (d_pred + more)[:, :DIM]
         moves = np.stack((ra.T @ d_pred, rb.T @ d_pred)) / n
-        self._rows(3, 4, (group, other), (data_group[:, None] * predicted, false_group.T @ predicted), (data_group, false_group.sum(axis=0)), n, rate)
-        self._rows(0, 1, (now, two, one, noise), (data[:, None] * predicted, d_pred @ m.c[0].T, d_pred @ m.c[1].T, false.T @ predicted), (data, zeros, false.sum(axis=0)), n, rate)
-        self.squares[2] += moves * moves
-        m.c -= rate * moves / np.sqrt(self.squares[2])
+        # biases of the units before aren't used, so their part is zero
+        before = np.zeros((2 * n, DIM + 1), np.float32)
+        before[:n, :DIM], before[n:, :DIM] = d_pred @ c[0].T, d_pred @ c[1].T
+        hit = np.zeros((GROUPS, n + NOISE), np.float32)
+        hit[np.concatenate((group, other)), np.arange(n + NOISE)] = 1
+        self._move(self.groups, self.squares[1], slice(None), hit @ np.concatenate(of_groups) / n, rate)
+        rows = np.concatenate((now, noise, two, one))
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort, as for all numbers of 16 bits
+        rows = rows[order]
+        starts = np.concatenate(([0], np.nonzero(np.diff(rows))[0] + 1))
+        self._move(self.units, self.squares[0], rows[starts], np.add.reduceat(np.concatenate((*of_units, before))[order], starts, axis=0) / n, rate)
+        self._move(c, self.squares[2], slice(None), moves, rate)
 
     def _draw(self, ladder: np.ndarray) -> np.ndarray:
         return np.minimum(np.searchsorted(ladder, self.rng.random(NOISE)), len(ladder) - 1)
 
-    def _rows(self, vectors: int, biases: int, index: tuple, parts: tuple, bias: tuple, n: int, rate: float) -> None:
-        """Update the rows that a batch has touched."""
-        rows = np.concatenate(index)
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        starts = np.concatenate(([0], np.nonzero(np.diff(rows))[0] + 1))
-        hit = rows[starts]
-        for k, part in ((vectors, parts), (biases, bias)):
-            p, s = self.model.parameters()[k], self.squares[k]
-            gradient = np.add.reduceat(np.concatenate(part)[order], starts, axis=0) / n
-            s[hit] += gradient * gradient
-            p[hit] -= rate * gradient / np.sqrt(s[hit])
+    @staticmethod
+    def _apart(table: np.ndarray, log_noise: np.ndarray, predicted: np.ndarray, now: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Gradients of telling rows of a table from noise: by predicted vectors, and by the rows and the noise."""
+        own, others = table[now], table[noise]
+        data = _sigmoid(np.einsum("ij,ij->i", predicted, own) - log_noise[now])[:, None] - 1
+        false = _sigmoid(predicted @ others.T - log_noise[noise])
+        return data * own + false @ others, (data * predicted, false.T @ predicted)
+
+    @staticmethod
+    def _move(table: np.ndarray, squares: np.ndarray, rows: np.ndarray | slice, gradient: np.ndarray, rate: float) -> None:
+        seen = squares[rows] + gradient * gradient
+        squares[rows] = seen
+        table[rows] -= rate * gradient / np.sqrt(seen)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).astype(np.float32)
+    """Of float32, in place."""
+    np.negative(x, out=x)
+    np.minimum(x, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 # -------------------------------------------------------------------- units

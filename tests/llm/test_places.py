@@ -27,3 +27,16 @@ def test_all_training_places_are_learned_from(spark, monkeypatch):
     out = lbl.score(docs).collect()
     assert sum(counted) == out[0]["train_tokens"] == sum(r["n_tokens"] for r in out if not r["held_out"])
     assert np.isfinite([r["score"] for r in out]).all()
+
+
+def test_equal_places_are_scored_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = lbl.Model.start(rng.random(lbl.UNITS) / lbl.UNITS)
+    two, one, now = (rng.integers(0, 4, 500) for _ in range(3))
+    seen, logs = [], lbl.Model._logs
+    monkeypatch.setattr(lbl.Model, "_logs", lambda self, *units: seen.append(len(units[0])) or logs(self, *units))
+    got = model.logs(two, one, now)
+    assert seen == [64]
+    monkeypatch.undo()
+    assert np.allclose(got, [model.logs(two[k : k + 1], one[k : k + 1], now[k : k + 1])[0] for k in range(500)], atol=1e-5)
+    assert len(model.logs(two[:0], one[:0], now[:0])) == 0
