@@ -1,7 +1,9 @@
 """Data sources for landed API pages, and one-file CSV.
 
 ``quillon_pages`` lands pages: rows (account, page, body) become one file each,
-``<path>/<account>/<page>.json``, put in place when all tasks are done.
+``<path>/<account>/<page>.json``, put in place when all tasks are done; with the option
+``together`` a task's pages become one file of lines (account, page, body) in ``<path>/_together``,
+for landings of very many accounts, of which each is one task's.
 ``quillon_follows`` reads follow lists, a task for some accounts, following cursors;
 the option ``only`` keeps other accounts' files closed.  (It isn't a pushed filter:
 Spark 4.1 keeps what a Python source was asked first for all frames of a load, so an
@@ -16,10 +18,12 @@ Files are opened through pyarrow's file systems, by path or URI.
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +32,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from .feeds import FEED_LIMIT, PAGE_LIMIT, PAGE_ROWS, latest_unpinned, post_url, promoted
 
-#: Accounts that one task reads.
-ACCOUNTS = 16
+#: Accounts that one task reads, at least, and such tasks, at most.
+ACCOUNTS, TASKS = 16, 4096
+#: Pages that land in one file together, about.
+PAGES_TOGETHER = 20_000
 FOLLOWS = "account string, page int, pos int, did string, handle string"
 POST = "struct<uri:string,cid:string,text:string,created_at:string,did:string,handle:string,display_name:string,reply_count:bigint,repost_count:bigint,like_count:bigint>"
 PEOPLE = f"account string, error string, did string, handle string, display_name string, description string, avatar string, followers bigint, follows bigint, posts bigint, pinned {POST}, feed array<{POST}>"
@@ -60,6 +66,10 @@ class Folder:
         except FileNotFoundError:
             return None
 
+    def lines(self, name: str) -> Iterator[list]:
+        with self.system.open_input_stream(f"{self.path}/{name}") as f:
+            yield from map(json.loads, io.BufferedReader(f))
+
     def write(self, name: str, body: bytes) -> None:
         self.system.create_dir(f"{self.path}/{name}".rsplit("/", 1)[0], recursive=True)
         with self.system.open_output_stream(f"{self.path}/{name}") as f:
@@ -116,6 +126,17 @@ class PageWriter(DataSourceWriter):
         Folder(self.path).remove(self.drafts)
 
 
+class TogetherWriter(PageWriter):
+    def write(self, iterator: Iterator) -> Landed:
+        folder, mine = Folder(self.path), f"{self.drafts}/{uuid.uuid4().hex}"
+        name = f"{folder.path}/{mine}/_together/{uuid.uuid4().hex}.jsonl"
+        folder.system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with folder.system.open_output_stream(name) as f:
+            for row in iterator:
+                f.write(json.dumps([row["account"], row["page"], row["body"]]).encode() + b"\n")
+        return Landed(mine)
+
+
 class Pages(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -125,7 +146,7 @@ class Pages(DataSource):
         return "account string, page string, body string"
 
     def writer(self, schema, overwrite: bool) -> PageWriter:
-        return PageWriter(self.options["path"])
+        return (TogetherWriter if self.options.get("together") == "true" else PageWriter)(self.options["path"])
 
 
 # -------------------------------------------------------------------- follows
@@ -164,7 +185,7 @@ class ByAccount(DataSourceReader):
     def partitions(self) -> list[Part]:
         known = [unquote(n) for n in Folder(self.path).names()]
         wanted = known if self.only is None else sorted(set(known) & set(self.only))
-        return _grouped([(a, 0, PAGE_LIMIT) for a in wanted], self.size) or [Part([])]
+        return _grouped([(a, 0, PAGE_LIMIT) for a in wanted], max(self.size, -(-len(wanted) // TASKS))) or [Part([])]
 
 
 class FollowReader(ByAccount):
@@ -224,21 +245,43 @@ def _post(post: dict | None) -> tuple | None:
     return (post.get("uri"), post.get("cid"), record.get("text") or "", record.get("createdAt"), author.get("did"), author.get("handle"), author.get("displayName"), post.get("replyCount") or 0, post.get("repostCount") or 0, post.get("likeCount") or 0)
 
 
+def _person(account: str, read: Callable[[str], dict | None]) -> tuple:
+    """The row of an account whose pages are got by name."""
+    try:
+        profile, feed, pinned = (read(page) for page in ("profile", "feed", "pinned"))
+        if profile is None or feed is None:
+            raise ValueError("no profile" if profile is None else "no feed")
+        posts = [_post(item.get("post")) for item in (feed.get("feed") or [])[:FEED_LIMIT]]
+        # the pinned post's own page counts only if the profile names one
+        own = _post(((pinned or {}).get("thread") or {}).get("post")) if profile.get("pinnedPost") else None
+        return (account, None, profile.get("did"), profile.get("handle") or account, profile.get("displayName"), profile.get("description"), profile.get("avatar"), profile.get("followersCount"), profile.get("followsCount"), profile.get("postsCount"), own, posts)
+    except (ValueError, AttributeError, TypeError) as e:  # a page that is no JSON, or of another shape
+        return (account, str(e)[:200], *[None] * 10)
+
+
+@dataclass
+class Together(InputPartition):
+    """A file of pages that landed together, those of an account behind each other."""
+
+    name: str
+
+
 class PeopleReader(ByAccount):
-    def read(self, partition: Part) -> Iterator[tuple]:
+    def partitions(self) -> list[InputPartition]:
+        return [Together(n) for n in Folder(self.path).names("_together")] or super().partitions()
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
         folder = Folder(self.path)
+        if isinstance(partition, Together):
+            only = None if self.only is None else set(self.only)
+            for account, rows in groupby(folder.lines(f"_together/{partition.name}"), key=lambda r: r[0]):
+                if only is None or account in only:
+                    bodies = {page: body for _, page, body in rows}
+                    yield _person(account, lambda page, bodies=bodies: json.loads(bodies[page]) if page in bodies else None)
+            return
         for account, _, _ in partition.accounts:
-            try:
-                at = quote(account, safe="")
-                profile, feed, pinned = (folder.read(f"{at}/{page}.json") for page in ("profile", "feed", "pinned"))
-                if profile is None or feed is None:
-                    raise ValueError("no profile" if profile is None else "no feed")
-                posts = [_post(item.get("post")) for item in (feed.get("feed") or [])[:FEED_LIMIT]]
-                # the pinned post's own page counts only if the profile names one
-                own = _post(((pinned or {}).get("thread") or {}).get("post")) if profile.get("pinnedPost") else None
-                yield (account, None, profile.get("did"), profile.get("handle") or account, profile.get("displayName"), profile.get("description"), profile.get("avatar"), profile.get("followersCount"), profile.get("followsCount"), profile.get("postsCount"), own, posts)
-            except (ValueError, AttributeError, TypeError) as e:  # a page that is no JSON, or of another shape
-                yield (account, str(e)[:200], *[None] * 10)
+            at = quote(account, safe="")
+            yield _person(account, lambda page, at=at: folder.read(f"{at}/{page}.json"))
 
 
 class People(DataSource):
@@ -318,10 +361,20 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def land(pages: DataFrame, path: str) -> None:
-    """Land pages (account, page, body)."""
+def land(pages: DataFrame, path: str, together: bool = False) -> None:
+    """Land pages (account, page, body).
+
+    One file a page means one move a page when the landing ends; ``together`` an account's pages are
+    dealt to one task and a task's pages are one file.  Such a landing is whole: it takes a folder
+    without pages, and no other landing follows there.
+    """
     register(pages.sparkSession)
-    pages.select("account", F.col("page").cast("string").alias("page"), "body").write.format("quillon_pages").mode("append").save(path)
+    rows, folder = pages.select("account", F.col("page").cast("string").alias("page"), "body"), Folder(path)
+    if folder.names("_together") or (together and folder.names()):
+        raise ValueError(f"{path} has pages; those that land together are alone in their folder")
+    if together:
+        rows = rows.repartition(max(1, -(-rows.count() // PAGES_TOGETHER)), "account").sortWithinPartitions("account", "page")
+    rows.write.format("quillon_pages").option("together", str(together).lower()).mode("append").save(path)
 
 
 def _load(spark: SparkSession, source: str, path: str, accounts: list[str] | None) -> DataFrame:

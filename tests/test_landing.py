@@ -96,6 +96,24 @@ def test_people_with_feed_and_pinned_post(spark, tmp_path):
     assert landing.people(spark, f"{tmp_path}/p", ["bob"]).count() == 1
 
 
+def test_people_that_land_together_are_a_few_files(spark, tmp_path):
+    body = {"profile": lambda k: {"handle": f"h{k}", "followersCount": k}, "feed": lambda k: {"feed": [{"post": post(n)} for n in range(k % 3)]}, "pinned": lambda k: {}}
+    rows = [(f"a/{k}", page, json.dumps(make(k))) for k in range(50) for page, make in body.items() if (k, page) != (7, "feed")] + [("bad", "profile", "no JSON"), ("bad", "feed", "{}")]
+    frame = spark.createDataFrame(rows, "account string, page string, body string").repartition(3)
+    one, many = f"{tmp_path}/one", f"{tmp_path}/many"
+    landing.land(frame, one, together=True)
+    landing.land(frame, many)
+    assert [p.name for p in Path(one).iterdir()] == ["_together"] and len(list(Path(f"{one}/_together").iterdir())) == 1
+    want = sorted(map(str, landing.people(spark, many).collect()))
+    assert len(want) == 51 and sorted(map(str, landing.people(spark, one).collect())) == want
+    assert {r["account"]: r["error"] for r in landing.people(spark, one, ["a/7", "a/8", "x"]).collect()} == {"a/7": "no feed", "a/8": None}
+    for again in (True, False):
+        with pytest.raises(ValueError, match="alone"):
+            landing.land(frame, one, together=again)
+    with pytest.raises(ValueError, match="alone"):
+        landing.land(frame, many, together=True)
+
+
 def test_csv_in_one_file(spark, tmp_path):
     rows = [(n, f'say "{n}",\nok' if n % 2 else None) for n in range(40)]
     frame = spark.createDataFrame(rows, "k int, text string").repartitionByRange(4, "k").sortWithinPartitions("k")
