@@ -6,8 +6,9 @@ that has a similar name; else it is a new result.  Which results can meet is kno
 beforehand: the follow lists name everybody before profiles arrive, and their names
 fall into blocks (``operators.blocks``).  A block is a key: its results lie in the
 state store, arrivals of a block are taken in order of ``seq``, and blocks have
-nothing to do with each other.  A batch therefore touches the keys of its own
-arrivals only.  Names that no list has are blocks of their own.
+nothing to do with each other.  A batch therefore touches the blocks of its own
+arrivals only.  Most blocks hold few results, so blocks are dealt into ``BUCKETS``, which are what
+Spark groups by and Python is called for.  Names that no list has are blocks of their own.
 
 The same steps run as a batch (``merge_arrivals``) and as a stream
 (``merge_stream``), whose changed results go to a table of runs.
@@ -35,9 +36,9 @@ VALUE = "username string, display_name string, platform string, status string, c
 RESULT = f"id long, {VALUE}"
 FIELDS = [f.split()[0] for f in VALUE.split(", ")]
 # built from names, as Python workers have no session to parse with
-VALUE_TYPE, ID_TYPE = StructType(), StructType().add("id", "long")
-for _field in VALUE.split(", "):
-    VALUE_TYPE.add(*_field.split())
+BLOCK_TYPE, RESULTS_TYPE = StructType().add("block", "long"), StructType().add("results", "string")
+#: Groups that blocks are dealt into; part of what a checkpoint holds.
+BUCKETS = 1024
 DATA = "map<string,struct<username:string,status:string,confidence:double,updated:long>>"
 
 
@@ -123,18 +124,24 @@ def merge_arrivals(arrivals: DataFrame, blocks: DataFrame, each: int = 5000) ->
 
 
 class Merging(StatefulProcessor):
-    """Results of a block in a map state by id."""
+    """Results of a bucket's blocks in a map state by block, those of a block in stored order."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.results = handle.getMapState("results", ID_TYPE, VALUE_TYPE)
+        self.results = handle.getMapState("blocks", BLOCK_TYPE, RESULTS_TYPE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        results = {k[0]: dict(zip(FIELDS, v, strict=True)) for k, v in sorted(self.results.iterator())} if self.results.exists() else {}
-        given = list(rows)
-        changed = dict.fromkeys(i for a in clean(pd.concat(given)) if (i := absorb(results, a)) is not None)
-        for i in changed:
-            self.results.updateValue((i,), tuple(results[i][k] for k in FIELDS))
-        yield frame(results, list(changed))
+        blocks: dict[int, dict[int, dict]] = {}
+        changed: dict[int, int] = {}
+        for a in clean(pd.concat(list(rows))):
+            block = int(a["block"])
+            if block not in blocks:
+                held = json.loads(self.results.getValue((block,))[0]) if self.results.containsKey((block,)) else []
+                blocks[block] = {i: dict(zip(FIELDS, values, strict=True)) for i, *values in held}
+            if (i := absorb(blocks[block], a)) is not None:
+                changed[i] = block
+        for block in dict.fromkeys(changed.values()):
+            self.results.updateValue((block,), (json.dumps([(i, *(r[k] for k in FIELDS)) for i, r in sorted(blocks[block].items())]),))
+        yield frame({i: blocks[block][i] for i, block in changed.items()}, list(changed))
 
     def close(self) -> None:
         pass
@@ -149,7 +156,7 @@ def merge_stream(arrivals: DataFrame, blocks: DataFrame, folder: str, every: str
     spark = arrivals.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     store = _store(spark, folder)
-    changed = with_blocks(arrivals, blocks).groupBy("block").transformWithStateInPandas(statefulProcessor=Merging(), outputStructType=StructType.fromDDL(RESULT), outputMode="Update", timeMode="None")
+    changed = with_blocks(arrivals, blocks).withColumn("bucket", F.pmod("block", F.lit(BUCKETS))).groupBy("bucket").transformWithStateInPandas(statefulProcessor=Merging(), outputStructType=StructType.fromDDL(RESULT), outputMode="Update", timeMode="None")
     sink = changed.writeStream.outputMode("update").foreachBatch(lambda batch, number: store.write(number, batch) and None).option("checkpointLocation", f"{folder}/checkpoint")
     return (sink.queryName(name) if name else sink).trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 

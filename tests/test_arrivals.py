@@ -109,3 +109,36 @@ def test_a_group_takes_many_blocks(spark):
     assert "pmod(" in out._jdf.queryExecution().optimizedPlan().toString()
     one = ar.merge_arrivals(given, blocks, each=1)
     assert sorted(map(str, out.collect())) == sorted(map(str, one.collect()))
+
+
+def test_a_call_of_the_stream_takes_many_blocks():
+    """Blocks of one call don't meet, and state is read and written for the call's blocks only."""
+    import pandas as pd
+
+    held, asked = {}, []
+
+    class State:
+        def containsKey(self, key):
+            asked.append(key)
+            return key in held
+
+        def getValue(self, key):
+            return held[key]
+
+        def updateValue(self, key, value):
+            held[key] = value
+
+    class Handle:
+        def getMapState(self, *_):
+            return State()
+
+    names = [f.split()[0] for f in ar.ARRIVAL.split(", ")]
+    rows = [(*r, r[0] % 2) for r in people(60, 9)]
+    for part in (rows[:30], rows[30:]):
+        merging = ar.Merging()
+        merging.init(Handle())
+        list(merging.handleInputRows((0,), iter([pd.DataFrame(part, columns=[*names, "block"])]), None))
+    got = {i: values for block in held.values() for i, *values in json.loads(block[0])}
+    want = {block: one_loop([r[:-1] for r in rows if r[-1] == block]) for block in (0, 1)}
+    assert shaped({"id": i, **dict(zip(ar.FIELDS, v, strict=True))} for i, v in got.items()) == want[0] | want[1]
+    assert len(asked) == 4
