@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.scalars import is_recent, label_score, time_weight
+from ..sources.tables import spread
 
 Scorer = Callable[[DataFrame], DataFrame]
+#: Texts that one task scores, about: they are narrow before and sorted by profile with their verdicts behind.
+TEXTS = 50_000
 
 
 def rule_scorer(components: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def scored_items(components: DataFrame, as_of: Column, scorer: Scorer = rule_sco
     tw = time_weight(when, as_of)
     fresh = F.when(kind.isin("gallery", "post") & ~F.coalesce("date_present", F.lit(True)), 1.0).when(kind == "bio", 1.0).otherwise(tw)
     bullet = F.when(kind == "display_name", rules.silver_bullet(F.col("text"), name=True)).when(kind != "commission_status", rules.silver_bullet(F.col("text"), fresh))
-    out = scorer(components.where(F.col("text") != "")).withColumns({"tw": tw, "bullet": bullet})
+    out = scorer(spread(components.where(F.col("text") != ""), TEXTS)).withColumns({"tw": tw, "bullet": bullet})
     out = out.withColumns({"status": F.coalesce("bullet.status", "model_status"), "confidence": F.coalesce("bullet.confidence", "model_confidence"), "is_bullet": F.col("bullet").isNotNull()})
     return out.withColumn("s", label_score(F.col("status"), F.col("confidence")))
 
@@ -141,7 +144,7 @@ def profile_rules(components: DataFrame, as_of: Column) -> DataFrame:
     (profile_id, status, confidence, triggers), the first five distinct triggers
     in that order.
     """
-    items = components.where(F.col("text") != "").withColumn("v", rules.rule_verdict(F.col("text")))
+    items = spread(components.where(F.col("text") != ""), TEXTS).withColumn("v", rules.rule_verdict(F.col("text")))
     value = F.struct("v.status", "v.confidence", "v.triggers")
     single = lambda kind, extra=F.lit(True): first_by(value, F.col("pos"), (F.col("kind") == kind) & extra)
     best = lambda when: F.max_by(F.when(when, value), F.when(when, F.struct("v.confidence", -F.col("pos"))))

@@ -9,6 +9,7 @@ from quillon.functions import scalars
 from quillon.functions import unicode as uni
 from quillon.operators import ensemble
 from quillon.plans import catalogue
+from quillon.plans import fixtures as fx
 from quillon.sources import html, tables
 from quillon.sources.markup import decoded
 
@@ -92,3 +93,13 @@ def test_texts_go_to_python_in_small_batches(spark):
             assert spark.conf.get(key) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_texts_are_dealt_before_verdicts(spark, monkeypatch):
+    """Tasks that score and sort hold a bounded number of texts, however few bytes these take."""
+    rows = spark.range(95).selectExpr("id % 9 as profile_id", "'post' as kind", "id as pos", "if(id % 19 = 0, '', 'comms open') as text", "cast(null as timestamp) as event_time", "false as is_pinned", "true as date_present").coalesce(1)
+    monkeypatch.setattr(ensemble, "TEXTS", 10)
+    for made in (ensemble.profile_rules(rows, fx.as_of()), ensemble.weighted_ensemble(rows, fx.as_of())):
+        assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+        assert made.count() == 9
+    assert ensemble.scored_items(rows, F.lit(fx.AS_OF).cast("timestamp")).rdd.getNumPartitions() == 9
