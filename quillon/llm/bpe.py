@@ -44,13 +44,15 @@ from pyspark.sql import functions as F
 from .shared import CACHES, slices
 
 #: Distinct pieces of one recursive query, and of each of the two generations kept between batches.
-PIECES, REMEMBERED = 50_000, 250_000
+PIECES, REMEMBERED = 20_000, 100_000
+#: Bytes of texts that are encoded at once.
+SLICE = 1 << 20
 #: Bytes from which a piece is a long one, and of the long pieces of one query.
 LONG, LONG_BYTES = 128, 1 << 18
 #: Bytes of the windows of a long piece, and of what two of them share; bytes of a wide window.
 WINDOW, OVERLAP, WIDE = 120, 48, 1 << 15
 #: Parts of a long piece that are encoded together, and ids of one decoded group.
-PARTS, DECODED = 50_000, 1 << 16
+PARTS, DECODED = 50_000, 1 << 14
 
 CONTRACT = """
 WITH RECURSIVE state(w, ids, done) AS (
@@ -305,10 +307,12 @@ def _borders(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarra
 
 
 def connect():
-    """A database in memory that never writes: what doesn't fit is an error, not a file beside the worker."""
+    """A database in memory that never writes: what doesn't fit is an error, not a file beside the worker.
+
+    Its allocator gives freed memory back after each task; by its defaults it keeps more than 100 MB."""
     import duckdb
 
-    return duckdb.connect(config={"threads": 1, "memory_limit": "800MB", "temp_directory": ""})
+    return duckdb.connect(config={"threads": 1, "memory_limit": "800MB", "temp_directory": "", "allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"})
 
 
 def _bundles(places: list[int], raw: list[bytes]) -> Iterator[list[int]]:
@@ -339,7 +343,7 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id"
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20, "bpe"):
+        for batch in slices(batches, "text", SLICE, "bpe"):
             n, ids, decoded = [], [], []
             for said, raw in encoder(path, pattern).encode(batch.column("text").to_pylist()):
                 n.append(count_ids(said))
@@ -357,7 +361,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried) + ", n_tokens long, token_ids array<int>, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bpe_text", 2 << 20, "bpe"):
+        for batch in slices(batches, "bpe_text", SLICE, "bpe"):
             texts = batch.column("bpe_text").to_pylist()
             n, ids, same = [], [], []
             for text, (said, raw) in zip(texts, encoder(path, pattern).encode(texts), strict=True):
