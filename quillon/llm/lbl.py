@@ -49,8 +49,8 @@ FREQUENT = 65_536
 DIM, NOISE, BATCH = 24, 64, 512
 #: Rounds of training, which share out all places.
 ROUNDS = 2
-#: Contexts whose scores are held at once.
-CONTEXTS = 1 << 15
+#: Places that are scored together, and rows of one product, which stays in a core's cache.
+CONTEXTS, PRODUCT = 1 << 17, 1 << 12
 SMOOTH = 0.1
 
 
@@ -103,24 +103,31 @@ class Model:
         return self._logs(*np.divmod(before, UNITS), now)[at]
 
     def _logs(self, two: np.ndarray, one: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """The same of places in the order of their contexts."""
         far, near = self.contexts()
+        of_groups = np.column_stack((self.g, self.h)).T.copy()
+        of_members = [np.column_stack((self.r[m], self.b[m])).T.copy() for m in self.members]
         out = np.zeros(len(now))
         for at in range(0, len(now), CONTEXTS):
             part = slice(at, at + CONTEXTS)
-            predicted = far[two[part]] + near[one[part]]
-            group = self.of[now[part]]
-            # places are in the order of their contexts
-            new = np.concatenate(([True], (np.diff(two[part]) != 0) | (np.diff(one[part]) != 0)))
-            score = predicted[new] @ self.g.T + self.h
-            context = np.cumsum(new) - 1
-            out[part] = score[context, group] - _log_sum(score)[context]
-            order = np.argsort(group, kind="stable")
+            a, b, unit, got = two[part], one[part], now[part], out[part]
+            group, own = self.of[unit], self.place[unit]
+            predicted = np.ones((len(unit), DIM + 1), np.float32)  # biases are the tables' last rows
+            np.add(far.take(a, axis=0), near.take(b, axis=0), out=predicted[:, :DIM])
+            starts = np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(b) != 0))))
+            ends = np.append(starts[1:], len(unit))
+            for k in range(0, len(starts), PRODUCT):
+                heads, tails = starts[k : k + PRODUCT], ends[k : k + PRODUCT]
+                score = predicted.take(heads, axis=0) @ of_groups
+                context, places = np.repeat(np.arange(len(heads)), tails - heads), slice(heads[0], tails[-1])
+                got[places] = score[context, group[places]] - _log_sum(score)[context]
+            order = np.argsort(group.astype(np.uint8), kind="stable")
             cuts = np.searchsorted(group[order], np.arange(GROUPS + 1))
-            for k in np.nonzero(np.diff(cuts))[0]:
-                places, members = order[cuts[k] : cuts[k + 1]], self.members[k]
-                score = predicted[places] @ self.r[members].T + self.b[members]
-                own = score[np.arange(len(places)), self.place[now[part][places]]]
-                out[at + places] += own - _log_sum(score)
+            for k in np.flatnonzero(np.diff(cuts)):
+                for start in range(cuts[k], cuts[k + 1], PRODUCT):
+                    places = order[start : min(start + PRODUCT, cuts[k + 1])]
+                    score = predicted.take(places, axis=0) @ of_members[k]
+                    got[places] += score[np.arange(len(places)), own[places]] - _log_sum(score)
         return out / np.log(10)
 
     @property
@@ -135,11 +142,12 @@ class Model:
 
 def _log_sum(score: np.ndarray) -> np.ndarray:
     """Logarithm of the sum of exponentials of every row, as doubles; the scores stay."""
-    most = np.zeros((len(score), 1), np.float32)
-    if score.max(initial=0) > 60 or score.min(initial=0) < -60:  # else nothing overflows or vanishes
-        most = score.max(axis=1, keepdims=True)
-        score = score - most
-    return np.log(np.exp(score).sum(axis=1).astype(np.float64)) + most[:, 0]
+    with np.errstate(over="ignore"):
+        total = np.exp(score) @ np.ones(score.shape[1], np.float32)
+    if total.min(initial=1) > 1e-30 and total.max(initial=1) < 1e30:  # else something overflows or vanishes
+        return np.log(total.astype(np.float64))
+    most = score.max(axis=1, keepdims=True)
+    return np.log(np.exp(score - most).sum(axis=1).astype(np.float64)) + most[:, 0]
 
 
 class Trainer:
@@ -155,61 +163,77 @@ class Trainer:
         # a vector and its bias are one row, so a batch reads and moves both at once
         self.units, self.groups = np.column_stack((model.r, model.b)), np.column_stack((model.g, model.h))
         model.r, model.b, model.g, model.h = self.units[:, :DIM], self.units[:, DIM], self.groups[:, :DIM], self.groups[:, DIM]
-        self.ladder = np.cumsum(unigram)
         mass = np.bincount(model.of, unigram, GROUPS)
-        self.log_noise = np.log(NOISE * unigram).astype(np.float32)
-        self.log_group, self.group_ladder = np.log(NOISE * mass).astype(np.float32), np.cumsum(mass)
+        self.ladder, self.group_ladder = np.cumsum(unigram), np.cumsum(mass)
+        self.log_noise, self.log_group = np.log(NOISE * unigram).astype(np.float32), np.log(NOISE * mass).astype(np.float32)
         self.squares = [np.full_like(p, 1e-3) for p in (self.units, self.groups, model.c)]
         self.places = 0
 
     def step(self, two: np.ndarray, one: np.ndarray, now: np.ndarray, rate: float) -> None:
+        with np.errstate(over="ignore"):  # an exponential beyond all numbers is a probability of zero
+            self._step(two, one, now, rate)
+
+    def _step(self, two: np.ndarray, one: np.ndarray, now: np.ndarray, rate: float) -> None:
         c, n = self.model.c, len(now)
         self.places += n
-        noise = self._draw(self.ladder)
-        around = self.units[np.concatenate((two, one))]
-        ra, rb = around[:n, :DIM], around[n:, :DIM]
+        noise, other, group = self._draw(self.ladder), self._draw(self.group_ladder), self.model.of[now]
+        # units and groups are told from their noise in the same products
+        rows = np.concatenate((now, noise, two, one))
+        around, mine = self.units.take(rows, axis=0), self.groups.take(group, axis=0)
+        first, second = n + NOISE, 2 * n + NOISE
+        own, ra, rb = around[:n], around[first:second, :DIM], around[second:, :DIM]
+        others = -np.concatenate((around[n:first], self.groups[other]))
+        others[:, DIM] += np.concatenate((self.log_noise[noise], self.log_group[other]))
         predicted = np.ones((n, DIM + 1), np.float32)
-        predicted[:, :DIM] = ra @ c[0] + rb @ c[1]
-        group, other = self.model.of[now], self._draw(self.group_ladder)
-        d_pred, of_units = self._apart(self.units, self.log_noise, predicted, now, noise)
-        more, of_groups = self._apart(self.groups, self.log_group, predicted, group, other)
-        d_pred = (d_pred + more)[:, :DIM]
+        np.add(ra @ c[0], rb @ c[1], out=predicted[:, :DIM])
+        false = _inverse(predicted @ others.T)
+        data = _inverse(self.log_noise[now] - np.einsum("ij,ij->i", predicted, own))[:, None] - 1
+        more = _inverse(self.log_group[group] - np.einsum("ij,ij->i", predicted, mine))[:, None] - 1
+        d_pred = data * own[:, :DIM] + more * mine[:, :DIM] - (false @ others)[:, :DIM]
+        of_noise = false.T @ predicted
         moves = np.stack((ra.T @ d_pred, rb.T @ d_pred)) / n
         # biases of the units before aren't used, so their part is zero
-        before = np.zeros((2 * n, DIM + 1), np.float32)
-        before[:n, :DIM], before[n:, :DIM] = d_pred @ c[0].T, d_pred @ c[1].T
-        hit = np.zeros((GROUPS, n + NOISE), np.float32)
-        hit[np.concatenate((group, other)), np.arange(n + NOISE)] = 1
-        self._move(self.groups, self.squares[1], slice(None), hit @ np.concatenate(of_groups) / n, rate)
-        rows = np.concatenate((now, noise, two, one))
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort, as for all numbers of 16 bits
-        rows = rows[order]
-        starts = np.concatenate(([0], np.nonzero(np.diff(rows))[0] + 1))
-        self._move(self.units, self.squares[0], rows[starts], np.add.reduceat(np.concatenate((*of_units, before))[order], starts, axis=0) / n, rate)
-        self._move(c, self.squares[2], slice(None), moves, rate)
+        gradient = np.zeros((len(rows), DIM + 1), np.float32)
+        np.multiply(data, predicted, out=gradient[:n])
+        gradient[n:first], gradient[first:second, :DIM], gradient[second:, :DIM] = of_noise[:NOISE], d_pred @ c[0].T, d_pred @ c[1].T
+        hit = np.zeros((GROUPS, first), np.float32)
+        hit[group, np.arange(n)], hit[other, np.arange(n, first)] = more[:, 0], 1
+        _move(self.groups, self.squares[1], hit @ np.concatenate((predicted, of_noise[NOISE:])) / n, rate)
+        self._move_units(*_sums_of(rows, gradient), n, rate)
+        _move(c, self.squares[2], moves, rate)
 
     def _draw(self, ladder: np.ndarray) -> np.ndarray:
         return np.minimum(np.searchsorted(ladder, self.rng.random(NOISE)), len(ladder) - 1)
 
-    @staticmethod
-    def _apart(table: np.ndarray, log_noise: np.ndarray, predicted: np.ndarray, now: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        """Gradients of telling rows of a table from noise: by predicted vectors, and by the rows and the noise."""
-        own, others = table[now], table[noise]
-        data = _sigmoid(np.einsum("ij,ij->i", predicted, own) - log_noise[now])[:, None] - 1
-        false = _sigmoid(predicted @ others.T - log_noise[noise])
-        return data * own + false @ others, (data * predicted, false.T @ predicted)
-
-    @staticmethod
-    def _move(table: np.ndarray, squares: np.ndarray, rows: np.ndarray | slice, gradient: np.ndarray, rate: float) -> None:
-        seen = squares[rows] + gradient * gradient
-        squares[rows] = seen
-        table[rows] -= rate * gradient / np.sqrt(seen)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """Of float32, in place."""
-    np.negative(x, out=x)
-    np.minimum(x, 30, out=x)
+    def _move_units(self, rows: np.ndarray, gradient: np.ndarray, n: int, rate: float) -> None:
+        gradient /= n
+        table, squares = self.units.take(rows, axis=0), self.squares[0].take(rows, axis=0)
+        _move(table, squares, gradient, rate)
+        self.units[rows], self.squares[0][rows] = table, squares
+
+
+def _move(table: np.ndarray, squares: np.ndarray, gradient: np.ndarray, rate: float) -> None:
+    squares += gradient * gradient
+    table -= rate * gradient / np.sqrt(squares)
+
+
+def _sums_of(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sum of the values of each; most rows are there once and are only copied."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort, as for all numbers of 16 bits
+    rows = rows[order]
+    bounds = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1], [True])))
+    once = np.diff(bounds) == 1
+    alone, firsts = bounds[:-1][once], bounds[:-1][~once]
+    repeated = np.ones(len(rows), bool)
+    repeated[alone] = False
+    sums = values.take(order[alone], axis=0)
+    if len(firsts):
+        sums = np.concatenate((sums, np.add.reduceat(values.take(order[repeated], axis=0), (np.cumsum(repeated) - 1)[firsts], axis=0)))
+    return rows[np.concatenate((alone, firsts))], sums
+
+
+def _inverse(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)) of float32, in place."""
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
